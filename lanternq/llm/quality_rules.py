@@ -17,6 +17,7 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +84,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _first_rows(docs: DataFrame, text: str, rows: int, files: int = 4) -> DataFrame:
+    """Texts of ``rows`` documents. Where ``docs`` is read from many files, only a few files, evenly spaced
+    in the listing, are opened; what the sample costs then does not grow with the input."""
+    own = docs.select(F.col(text).alias("text"))
+    found = sorted(docs.inputFiles())
+    if len(found) > files:
+        picked = [found[k * (len(found) - 1) // (files - 1)] for k in range(files)]
+        try:
+            return docs.where(F.col("_metadata.file_path").isin(picked)).select(F.col(text).alias("text")).limit(rows)
+        except AnalysisException:  # not read from files directly
+            pass
+    return own.limit(rows)
+
+
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
@@ -97,7 +112,7 @@ class Estimate:
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Estimate]:
     """Cost and rejected share of each rule over at most ``sample_rows`` documents. A rule's cost is
     the time of its own pass over the persisted sample, less that of a pass without a rule."""
-    sample = with_statistics(docs.select(F.col(text).alias("text")).limit(sample_rows)).persist()
+    sample = with_statistics(_first_rows(docs, text, sample_rows)).persist()
     try:
         rows = sample.count()
 
@@ -133,7 +148,11 @@ def first_rejection(rules: Sequence[Rule]) -> Column:
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> DataFrame:
     """``docs`` with the statistics, base_failed, rejected_by and kept."""
-    cascade = ordered(estimate(docs, rules, sample_rows, text))
+    return with_verdict(docs, ordered(estimate(docs, rules, sample_rows, text)), text)
+
+
+def with_verdict(docs: DataFrame, cascade: Sequence[Rule], text: str = "text") -> DataFrame:
+    """``docs`` with the statistics, base_failed, rejected_by and kept, asking the rules in the given order."""
     stats = with_statistics(docs, text).withColumn("base_failed", base_failed())
     stats = stats.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(first_rejection(cascade)))
     return stats.withColumn("kept", F.col("rejected_by").isNull())
@@ -141,14 +160,18 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SA
 
 def quality_report(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, the statistics, base_failed and kept."""
-    out = judged(docs.select("doc_id", "text"), rules, sample_rows)
+    out = with_verdict(docs.select("doc_id", "text"), ordered(estimate(docs, rules, sample_rows)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs`` as they were."""
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["text"].alias("text"))
-    return judged(row, rules, sample_rows).where("kept").select("row_.*")
+    cascade = ordered(estimate(docs, rules, sample_rows))
+    # Filtering the generator's output keeps the optimizer from copying the statistics into the filter,
+    # where they would be computed again for each time a rule reads them.
+    verdict = with_verdict(row, cascade).select("row_", F.explode(F.array("rejected_by")).alias("verdict_"))
+    return verdict.where("verdict_ IS NULL").select("row_.*")
 
 
 SQL = r"""
