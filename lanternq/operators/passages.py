@@ -46,7 +46,7 @@ def merged(spans: DataFrame) -> DataFrame:
 
 def joined_text(parts: Column) -> Column:
     """Texts joined in order, each common border written once."""
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), overlap_joined)
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, 1), lambda done, part: overlap_joined(done, part))
 
 
 def built(spans: DataFrame, chunks: DataFrame) -> DataFrame:
