@@ -9,6 +9,7 @@ from lanternq.config import Settings
 from lanternq.functions import text as T
 from lanternq.operators import fuse, index, passages, search
 from lanternq.plans.registry import table
+from lanternq.sources.tables import materialized
 from lanternq.streaming.ingest import chunks_of_texts
 
 
@@ -17,12 +18,12 @@ def hybrid(chunks: DataFrame, questions: DataFrame, documents: DataFrame, settin
     search_text, page_start, page_end) and documents (document_id, title)."""
     s = settings or Settings()
     asked = questions.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("search_text"))
-    posts = index.postings(chunks, analyzer)
-    qposts = index.postings(asked, analyzer).withColumnRenamed("chunk_id", "query_id")
+    posts = materialized(index.postings(chunks, analyzer), "postings")
+    qposts = materialized(index.postings(asked, analyzer).withColumnRenamed("chunk_id", "query_id"), "question-postings")
     lengths = index.chunk_lengths(chunks)
     k = s.candidates_per_retriever
     as_q = lambda df: df.withColumnRenamed("chunk_id", "query_id")
-    q_index = index.postings(asked, analyzer)
+    q_index = qposts.withColumnRenamed("query_id", "chunk_id")
     found = [
         ("lexical:0", search.top(search.bm25_scores(qposts, posts, lengths, index.corpus_stats(lengths), s.bm25_k1, s.bm25_b), k, True)),
         ("dense:0", search.top(search.sparse_scores(as_q(index.hashed_dense(q_index)), index.hashed_dense(posts)), k)),
@@ -35,13 +36,13 @@ def hybrid(chunks: DataFrame, questions: DataFrame, documents: DataFrame, settin
     hits = fuse.fused(lists, s.rrf_k, {n: s.weight(n) for n in ("dense", "lexical", "sparse")})
     terms = chunks.select("chunk_id", "document_id", "idx", T.simple_terms(F.col("search_text")).alias("ct"))
     hits = hits.join(terms, "chunk_id").join(questions.select("query_id", T.simple_terms(F.col("text")).alias("qt")), "query_id")
-    hits = fuse.reranked(hits.withColumn("rerank_score", T.overlap_share(F.col("qt"), F.col("ct"))), s.rerank_candidates)
+    hits = materialized(fuse.reranked(hits.withColumn("rerank_score", T.overlap_share(F.col("qt"), F.col("ct"))), s.rerank_candidates), "hits")
     confident = fuse.confidence(hits)
     pool = hits.where(F.col("final") <= 3 * s.top_k)
     relevance = F.coalesce("rerank_score", "score")
     chosen = diversified(pool.select("query_id", F.col("final").alias("position"), "chunk_id", relevance.alias("relevance"), F.array_distinct("ct").alias("terms")), s.top_k, s.mmr_lambda)
     kept = chosen.join(pool.select("query_id", "chunk_id", "document_id", "idx", F.col("rerank_score").alias("relevance")), ["query_id", "chunk_id"])
-    kept = kept.withColumn("position", F.col("pick"))
+    kept = materialized(kept.withColumn("position", F.col("pick")), "kept")
     spans = passages.merged(passages.expanded(chunks, kept, s.window))
     out = passages.ordered(passages.built(spans, chunks), kept, documents)
     return out.join(confident, "query_id").select("query_id", "id", "document_id", "title", "section", "start", "end", F.round("relevance", 6).alias("relevance"), "text", "chunk_ids", F.round("confidence", 6).alias("confidence"))
@@ -76,7 +77,8 @@ def searched(spark: SparkSession, sf_dir: str, settings: Settings | None = None)
     rows = chunks_of_texts(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "document_id")
     rows = rows.join(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title")), "document_id")
     rows = rows.withColumn("search_text", T.search_text(F.col("title"), F.col("section"), F.lit(""), F.col("text")))
-    rows = rows.withColumn("idx", F.col("idx").cast("long")).withColumn("chunk_id", F.col("document_id") * 100_000 + F.col("idx")).persist()
+    rows = rows.withColumn("idx", F.col("idx").cast("long")).withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("idx"))
+    rows = materialized(rows, "chunks")
     documents = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return hybrid(rows, asked, documents, settings)

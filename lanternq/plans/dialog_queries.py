@@ -9,6 +9,7 @@ from lanternq.operators import events as E
 from lanternq.operators import index
 from lanternq.plans.registry import query, table
 from lanternq.plans.retrieval_queries import lines
+from lanternq.sources.tables import materialized
 
 
 def registry(spark, sf):
@@ -77,14 +78,7 @@ def list_documents(spark, sf):
 @query(f"WITH {_L} SELECT id, document_id, idx, text FROM li")
 def index_roundtrip(spark, sf):
     """Chunks written to Parquet, clustered by document, and read back."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/index-{uuid.uuid4().hex}"
-    rows = _chunks(spark, sf)
-    rows.repartition("document_id").sortWithinPartitions("document_id", "idx").write.mode("overwrite").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return materialized(_chunks(spark, sf), "index", "document_id", "idx")
 
 
 @query("SELECT name, size_ok, status FROM (SELECT page_id || ['.html', '.exe'][page_id % 2 + 1] AS name, length(html) <= 3000 AS size_ok, CASE WHEN page_id % 2 = 1 THEN 415 WHEN length(html) > 3000 THEN 413 ELSE 202 END AS status FROM pages)")
