@@ -88,7 +88,7 @@ def join_overlap(spark, sf):
     return d.select("doc_id", T.overlap_joined(F.left("text", F.lit(400)), F.substring(F.col("text"), (F.col("doc_id") % 150).cast("int") + 300, F.lit(300))).alias("joined"))
 
 
-@query("SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda w: struct_pack(p := list_position(t, w), w := w))), lambda x: x.w), ' / ') AS asked FROM (SELECT conv_id, list_filter(list_transform(list(left(text, 12) || '  ' ORDER BY turn), lambda x: trim(x)), lambda x: x <> '') || ['x'] AS t FROM conversations GROUP BY conv_id)")
+@query("SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda w: struct_pack(p := list_position(t, w), w := w))), lambda x: x.w), ' / ') AS asked FROM (SELECT conv_id, list_filter(list_transform(list(left(text, 12) || '  ' ORDER BY turn), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') || ['x'] AS t FROM conversations GROUP BY conv_id)")
 def query_dedupe(spark, sf):
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
     asked = F.concat(F.transform("l", lambda x: F.concat(F.left(x["text"], F.lit(12)), F.lit("  "))), F.array(F.lit(" "), F.lit(" x "), F.lit("x")))
