@@ -23,7 +23,7 @@ extra columns are ignored, or kept as they are by ``mixed_rows``.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ SEED = 7
 #: Words that the dynamic programme fits in each source.
 DP_BUDGET = 50_000
 RANGES = 256
+#: Sources and sizes up to which their table is sent to every task.
+PLAN_ROWS = 300_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> list[float]:
@@ -107,8 +109,14 @@ def _measured(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("th_"), order.alias("o_"))
 
 
-def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
-    """doc_id, th_, source, size, source_size, target, times and taken of every row of ``docs``."""
+def _range(order: Column) -> Column:
+    """The hash range that comes first in the order of documents."""
+    return F.pmod(order, F.lit(RANGES)).cast("int")
+
+
+def _ranked(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, dp_budget: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` with its rank among those of its source and size, and the quota of each source
+    and size (epochs for all, one more for the first ``more``)."""
     spark = docs.sparkSession
     rows = written(_measured(docs, seed), "mixing")
     counts = rows.groupBy("source", "size").count()
@@ -132,7 +140,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
 
     quota = table.groupBy("source").applyInArrow(fitted, "source string, size long, source_size long, target double, epochs int, more long")
     quota = written(quota, "mixing-quota")
-    rows = rows.withColumn("b_", F.floor(F.pmod(F.col("o_"), F.lit(1 << 20)) / (1 << 20) * RANGES).cast("int"))
+    rows = rows.withColumn("b_", _range(F.col("o_")))
     ranges = rows.groupBy("source", "size", "b_").count()
     ahead = F.coalesce(F.sum("count").over(W.partitionBy("source", "size").orderBy("b_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranges = ranges.withColumn("ahead", ahead)
@@ -140,8 +148,15 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX
     ranges = ranges.alias("r").join(quota.alias("q"), key("r", "q")).select("r.source", "r.size", "b_", "ahead", "source_size", "target", "epochs", "more")
     out = rows.alias("d").join(ranges.alias("g"), key("d", "g") & (F.col("d.b_") == F.col("g.b_")))
     within = F.row_number().over(W.partitionBy("d.source", "d.size", "d.b_").orderBy("o_", "doc_id", "th_"))
-    out = out.withColumn("times", F.col("epochs") + (F.col("ahead") + within <= F.col("more")).cast("int"))
-    return out.select("doc_id", "th_", "d.source", "d.size", "source_size", "target", "times", (F.col("d.size") * F.col("times")).alias("taken"))
+    out = out.withColumn("rank", F.col("ahead") + within)
+    return out.select("doc_id", "th_", "o_", "d.b_", "d.source", "d.size", "source_size", "target", "epochs", "more", "rank"), quota
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """doc_id, source, size, source_size, target, times and taken of every row of ``docs``."""
+    rows, _ = _ranked(docs, weights, most, seed, dp_budget)
+    rows = rows.withColumn("times", F.col("epochs") + (F.col("rank") <= F.col("more")).cast("int"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -149,16 +164,31 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return mixture(docs, **options).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns as they were. Rows that
-    repeat doc_id and text share what is taken of them."""
-    times = mixture(docs, **options).where("times > 0 AND size > 0")
-    times = written(times.groupBy("doc_id", "th_").agg(F.sum("times").cast("long").alias("n_"), F.count("*").alias("rows_")), "mixing-times")
-    times = times.select(F.col("doc_id").alias("taken_id_"), F.col("th_").alias("taken_th_"), "n_", "rows_")
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["taken_id_"]) & (F.xxhash64(docs["text"]) == times["taken_th_"]))
-    if times.where("rows_ > 1").limit(1).count():
-        w = W.partitionBy("taken_id_", "taken_th_").orderBy(F.lit(0))
-        joined = joined.withColumn("k_", F.row_number().over(w))
-        joined = joined.withColumn("n_", F.floor((F.col("n_") + F.col("rows_") - F.col("k_")) / F.col("rows_"))).where("n_ > 0")
-    out = joined.withColumn("copy_", F.explode(F.array_repeat(F.lit(1), F.col("n_").cast("int"))))
-    return out.select(*[docs[c] for c in docs.columns])
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with their columns as they were.
+
+    Texts are not shuffled: each source and size has one last row that is taken once more, and a document
+    compares itself with that row. The table of these rows is sent to all tasks if it is small, which
+    follows the number of lengths and not of documents. Only rows that repeat the last row itself
+    are counted out one by one."""
+    rows, quota = _ranked(docs, weights, most, seed, dp_budget)
+    at = ["source", "size", "b_", "o_", "doc_id", "th_"]
+    ties = rows.groupBy(*at).agg(F.bool_or(F.col("rank") == F.col("more")).alias("last"), F.count("*").alias("rows_"), F.count_if(F.col("rank") <= F.col("more")).alias("taken_"))
+    last = ties.where("last").select("source", "size", F.struct("b_", "o_", "doc_id", "th_").alias("last_"), "rows_", "taken_")
+    same = F.col("q.source").eqNullSafe(F.col("l.source")) & (F.col("q.size") == F.col("l.size"))
+    plan = quota.alias("q").join(last.alias("l"), same, "left").select(F.col("q.source").alias("source_"), F.col("q.size").alias("size_"), "epochs", "last_", "rows_", "taken_")
+    plan = written(plan.where("size_ > 0 AND (epochs > 0 OR last_ IS NOT NULL)"), "mixing-plan")
+    if plan.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
+        plan = F.broadcast(plan)
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
+    order = F.xxhash64(F.lit(seed), F.col("row_.doc_id"))
+    own = own.withColumns({"n_": F.size(words(F.col("row_.text"))).cast("long"), "own_": F.struct(_range(order).alias("b_"), order.alias("o_"), F.col("row_.doc_id").alias("doc_id"), F.xxhash64("row_.text").alias("th_"))})
+    joined = own.join(plan, F.col("row_.source").eqNullSafe(F.col("source_")) & (F.col("n_") == F.col("size_")))
+    first = F.coalesce(F.col("own_") <= F.col("last_"), F.lit(False))
+    shared = F.coalesce((F.col("own_") == F.col("last_")) & (F.col("taken_") < F.col("rows_")), F.lit(False))
+    joined = joined.withColumns({"times_": F.col("epochs") + first.cast("int"), "shared_": shared})
+    if plan.where("taken_ < rows_").limit(1).count():
+        tied = joined.where("shared_").withColumn("k_", F.row_number().over(W.partitionBy("own_").orderBy(F.lit(0))))
+        tied = tied.withColumn("times_", F.col("epochs") + (F.col("k_") <= F.col("taken_")).cast("int")).drop("k_")
+        joined = joined.where("NOT shared_").unionByName(tied)
+    return joined.where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select("row_.*")
