@@ -45,6 +45,7 @@ RULES = (
     Rule("exclamation", "regexp_count(text, '!') * 10 > n_words"),
 )
 
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Rows on which costs and rejections are estimated; the bound of the sample, whatever the input.
@@ -77,7 +78,12 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     again = F.filter("g_", lambda x, i: (F.get("g_", i - 1)["g"] == x["g"]) | (F.get("g_", i + 1)["g"] == x["g"]))
     covered = F.flatten(F.transform(again, lambda x: F.array(x["p"], x["p"] + 1, x["p"] + 2)))
-    return step.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long")).drop("w_", "l_", "g_")
+    step = step.withColumn("n_repeat_words", F.size(F.array_distinct(covered)).cast("long"))
+    # The generator keeps the optimizer from copying these expressions into whatever filters on them,
+    # where the sorted windows would be computed again for every word.
+    kept = [c for c in docs.columns if c != "text" and c not in STATISTICS]
+    step = step.select(*kept, "text", F.explode(F.array(F.struct(*STATISTICS))).alias("s_"))
+    return step.select(*kept, "text", "s_.*")
 
 
 def base_failed() -> Column:
@@ -168,10 +174,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
     """The rows of ``docs`` that no rule rejects, with the columns of ``docs`` as they were."""
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs["text"].alias("text"))
     cascade = ordered(estimate(docs, rules, sample_rows))
-    # Filtering the generator's output keeps the optimizer from copying the statistics into the filter,
-    # where they would be computed again for each time a rule reads them.
-    verdict = with_verdict(row, cascade).select("row_", F.explode(F.array("rejected_by")).alias("verdict_"))
-    return verdict.where("verdict_ IS NULL").select("row_.*")
+    return with_verdict(row, cascade).where("kept").select("row_.*")
 
 
 SQL = r"""
