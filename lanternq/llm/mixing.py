@@ -74,12 +74,14 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
         if more > 0:
             take[k] += more
             rest -= more * lengths[k]
-    # Reachable sums up to ``rest``, and a little above it, as bits; a part is 2**i documents of one length.
-    mask = (1 << (rest + max(lengths) + 1)) - 1
+    # Reachable sums as bits; a part is 2**i documents of one length. A sum above twice ``rest`` is never
+    # nearer to it than taking nothing, so very long documents do not widen the bit set.
+    most = min(rest + max(lengths), 2 * rest)
+    mask = (1 << (most + 1)) - 1
     reach, trail = 1, []
     for k in sorted(order, key=lambda k: lengths[k]):
         left, part = counts[k] - take[k], 1
-        left = min(left, (rest + max(lengths)) // lengths[k])
+        left = min(left, most // lengths[k])
         while left > 0:
             part = min(part, left)
             grown = (reach | (reach << (part * lengths[k]))) & mask
