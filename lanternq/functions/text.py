@@ -47,8 +47,7 @@ def raw_terms(text: Column) -> Column:
 
 def simple_terms(text: Column) -> Column:
     """Lower-case ASCII words without stop words, duplicates and order kept."""
-    stop = F.split(F.lit(" ".join(STOPWORDS)), " ")  # folded to one literal
-    return F.filter(raw_terms(text), lambda w: ~F.array_contains(stop, w))
+    return F.filter(raw_terms(text), lambda w: ~w.isin(STOPWORDS))  # the optimizer makes it one hash set
 
 
 def stemmed(rows: DataFrame, column: str) -> DataFrame:

@@ -43,8 +43,20 @@ def term_rows(chunks: DataFrame, analyzer: str = "simple", id_: str = "chunk_id"
     return stemmed(rows, "term") if analyzer == "english" else rows
 
 
+def _counted_in_rows(chunks: DataFrame, id_: str = "chunk_id", text: str = "search_text") -> DataFrame:
+    """Runs of equal terms in each chunk's sorted terms: a run's length is the term's frequency."""
+    rows = chunks.select(F.col(id_).alias("chunk_id"), F.sort_array(simple_terms(F.col(text))).alias("t_")).where(F.size("t_") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("t_") - 1), lambda i: (i == 0) | (F.get("t_", i) != F.get("t_", i - 1)))
+    rows = rows.withColumn("at_", starts)
+    runs = F.transform("at_", lambda i, k: F.struct(F.get("t_", i).alias("term"), (F.coalesce(F.get("at_", k + 1), F.size("t_")) - i).cast("long").alias("tf")))
+    return rows.select("chunk_id", F.explode(runs).alias("r_")).select("chunk_id", "r_.term", "r_.tf")
+
+
 def postings(chunks: DataFrame, analyzer: str = "simple", **columns) -> DataFrame:
-    """(chunk_id, term, tf)."""
+    """(chunk_id, term, tf). The simple analyzer counts within each row, without a shuffle, so a chunk has to be
+    one row; the stemming one meets the stems of the vocabulary in a join and counts after it."""
+    if analyzer == "simple":
+        return _counted_in_rows(chunks, **columns)
     return term_rows(chunks, analyzer, **columns).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
 
 

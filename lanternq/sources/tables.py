@@ -21,3 +21,11 @@ def materialized(df: DataFrame, name: str, *cluster_by: str) -> DataFrame:
     rows = df.repartition(*cluster_by).sortWithinPartitions(*cluster_by) if cluster_by else df
     rows.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if its scan has fewer partitions than there are cores; else as it is. Splits
+    of a scan are at most ``spark.sql.files.maxPartitionBytes``, so only inputs of less than that for each
+    core are ever moved, and large inputs never."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
