@@ -206,19 +206,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     return rows.groupBy("n", "m", "i", "j").applyInArrow(compared, "a long, b long")
 
 
-def _classes(docs: DataFrame, radius: int, shingle: int, tile_rows: int) -> DataFrame:
-    """doc_id, th_, fp and root (the least fingerprint of the component) of every row."""
+def _classes(docs: DataFrame, least: Column, radius: int, shingle: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th_ and fp of every row; and fp, root (the least fingerprint of the component) and least (the
+    minimum of ``least`` over the rows of fp) of every distinct fingerprint."""
     rows = written(fingerprints(docs, shingle), "simhash")
-    distinct = written(rows.select("fp").distinct(), "simhash-distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
     roots = components(links(distinct, radius, tile_rows), "simhash-links").withColumnRenamed("node", "fp")
-    return rows.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id of the component) of every row."""
-    rows = _classes(docs, radius, shingle, tile_rows)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = rows.join(least, "root")
+    rows, classes = _classes(docs, F.col("doc_id"), radius, shingle, tile_rows)
+    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = rows.join(classes.join(names, "root").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -228,8 +229,8 @@ def _text_key(docs: DataFrame) -> Column:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row of each component of ``docs``, with its columns as they were: that of the smallest doc_id."""
-    rows = _classes(docs, radius, shingle, tile_rows)
-    chosen = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_")).alias("row"))
+    rows, classes = _classes(docs, F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_"), radius, shingle, tile_rows)
+    chosen = classes.groupBy("root").agg(F.min("least").alias("row"))
     kept = chosen.select(F.col("row.doc_id").alias("kept_id_"), F.col("row.th_").alias("kept_th_"))
     kept = written(kept, "simhash-kept")
     out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]) & (_text_key(docs) == kept["kept_th_"]), "left_semi")
