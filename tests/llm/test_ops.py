@@ -238,6 +238,7 @@ def test_fit_is_as_close_as_can_be():
     lengths, counts = list(range(1, 900)), [50] * 899
     got = mixing.fit(lengths, counts, 9_999_999)
     assert sum(n * g for n, g in zip(lengths, got)) == 9_999_999 and all(g <= 50 for g in got)
+    assert mixing.fit([3, 50_000_000], [10, 4], 20) == [7, 0]
 
 
 def test_mixing_report(spark):
