@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanternq.llm import decontaminate, mixing, quality_rules, sharding, simhash
+from lanternq.llm import decontaminate, mixing, near, quality_rules, sharding
 from lanternq.llm.common import table, written
 
 
@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("dedup", dedup), ("decontamination", decontamination), ("mix", mix), ("shard", shard)]
 
-#: Mixing fits a budget by dynamic programming and near-duplicates need a transitive closure over XXH64
-#: fingerprints; SQL expresses neither, so tests compare the stages with brute-force versions.
+#: Mixing fits a budget by dynamic programming and near-duplicates need a transitive closure over pairs
+#: of similar texts; SQL expresses neither, so tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,173 @@
+"""Near-duplicates by Jaccard similarity of word shingles, complete: an exact set-similarity join.
+
+*Sets.* Words are those of ``simhash``; a text is the set of XXH64 hashes of its 5-word shingles.
+Equal sets are collapsed first.
+
+*Candidates.* All shingles are put in one order, those that a sample of texts has often last. Two sets
+of similarity 80 % or more share at least ceil(0.8 n) shingles, n being the larger size, so they must
+share ``SHARED`` (or all of these, if fewer) among the first n - ceil(0.8 n) + ``SHARED`` of each. Texts
+that share fewer there are never compared and no pair is lost, whatever the sample was.
+
+*Links.* Every set is first compared with the least set of each group that shares a shingle; what that
+links is one component already, so dense groups of near copies stay small. Then all pairs of a group
+that lie in different components and whose sizes allow 80 % are compared. Pairs whose 256-bucket
+histograms differ by more than the sets may are left out (histograms never differ by more than their
+sets); every other comparison is an exact intersection. A component is what the confirmed pairs connect.
+
+Defined results: null, empty and blank texts have the empty set and are near-duplicates of one another
+only; texts of five words or fewer are one shingle; repeated rows, null doc_ids and extra columns are
+treated as ``simhash.keep_one`` treats them; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lanternq.llm.common import text_or_empty, written
+from lanternq.llm.graph import components
+from lanternq.llm.simhash import one_of_each, row_order, shingle_hashes
+
+SHINGLE = 5
+PERCENT = 80
+#: Texts and shingles that the order of shingles rests on; the result does not depend on them.
+SAMPLE_ROWS = 20_000
+FREQUENT = 100_000
+#: Counted rows up to which a table of keys is broadcast.
+BROADCAST_ROWS = 200_000
+#: Shingles that two prefixes must share; more lengthen the prefixes and leave fewer pairs to compare.
+SHARED = 10
+BUCKETS = 256
+
+
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of ``own`` of which a set of similarity ``percent`` must share SHARED: the first in the order."""
+    n = len(own)
+    size = min(n, n - -(-percent * n // 100) + SHARED)
+    weight = np.zeros(n, np.int64)
+    if len(frequent) and n:
+        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+        weight = np.where(frequent[at] == own, counts[at], 0)
+    return own[np.lexsort((own, weight))[:size]]
+
+
+def histogram(own: np.ndarray) -> bytes:
+    """Shingles in each of the buckets, at most 255."""
+    return np.minimum(np.bincount((own >> np.uint64(20)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that several texts of a sample have, and in how many."""
+    n = docs.count()
+    share = min(1.0, SAMPLE_ROWS / max(n, 1))
+
+    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], ["h"])
+
+    some = docs.select(text_or_empty().alias("text")).sample(share, 1)
+    rows = some.mapInArrow(listed, "h long").groupBy("h").count().where("count > 1")
+    rows = rows.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """doc_id, th_, id (a digest of the set), n (its size), heads (its prefix) and hist of every row."""
+    frequent, counts = _frequent(docs, shingle)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_set(x.as_py(), shingle) for x in batch.column("text")]
+            heads = [prefix(s, frequent, counts, percent).view(np.int64) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("th_"),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(heads, pa.list_(pa.int64())),
+                    pa.array([histogram(s) for s in sets], pa.binary()),
+                ],
+                ["doc_id", "th_", "id", "n", "heads", "hist"],
+            )
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th_"), text_or_empty().alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, th_ long, id binary, n int, heads array<long>, hist binary")
+
+
+def _confirmed(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) of set digests whose sets are similar."""
+
+    def possible(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("x", "y"))
+            sizes = batch.column("n").to_numpy().astype(np.int64) + batch.column("m").to_numpy()
+            keep = (100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * sizes
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = pairs.join(distinct.select(F.col("id").alias("a"), F.col("hist").alias("x"), "n"), "a")
+    both = both.join(distinct.select(F.col("id").alias("b"), F.col("hist").alias("y"), F.col("n").alias("m")), "b")
+    pairs = written(both.select("a", "b", "x", "y", "n", "m").mapInArrow(possible, "a binary, b binary"), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = written(distinct.join(ids, "id", "left_semi").select("id", F.col("least.doc_id").alias("own_id"), F.col("least.th_").alias("own_th")), "near-wanted")
+    n = wanted.count()
+    keys = F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted
+    texts = docs.join(keys, docs["doc_id"].eqNullSafe(wanted["own_id"]) & (F.xxhash64(docs["text"]) == wanted["own_th"]))
+    texts = texts.select("id", text_or_empty(docs["text"]).alias("text"))
+
+    def listed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    sets = written(texts.mapInArrow(listed, "id binary, s array<long>"), "near-sets")
+    if sets.count() > n:  # rows that repeat both doc_id and text
+        sets = sets.dropDuplicates(["id"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def _roots(docs: DataFrame, distinct: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, root) of the sets that are linked to a lesser one."""
+    heads = distinct.select("id", "n", F.explode("heads").alias("h"))
+    group = W.partitionBy("h")
+    heads = heads.withColumn("pivot", F.min(F.struct("id", "n")).over(group)).withColumn("size", F.count("*").over(group))
+    shared = written(heads.where("size > 1").select("h", "id", "n", "pivot"), "near-shared")
+    close = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    enough = F.col("c") >= F.least(F.lit(SHARED), F.expr(f"({percent} * greatest(n, m) + 99) div 100"))
+    counted = lambda rows: rows.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c")).where(enough).select("a", "b")
+    stars = shared.where((F.col("id") != F.col("pivot.id")) & close(F.col("n"), F.col("pivot.n")))
+    stars = counted(stars.select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.col("pivot.n").alias("m"), "n"))
+    first = written(_confirmed(docs, distinct, stars, shingle, percent), "near-first")
+    roots = components(first, "near-links").select(F.col("node").alias("id"), "root")
+    open_ = shared.select("h", "id", "n").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    open_ = open_.withColumn("low", F.min("root").over(group)).withColumn("high", F.max("root").over(group))
+    open_ = written(open_.where("low <> high").select("h", "id", "n", "root"), "near-open")
+    other = open_.select("h", F.col("id").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
+    rest = open_.join(other, "h").where((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & close(F.col("n"), F.col("m")))
+    second = _confirmed(docs, distinct, counted(rest.select(F.col("id").alias("a"), "b", "n", "m")), shingle, percent)
+    return components(first.unionByName(second), "near-links").select(F.col("node").alias("id"), "root")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of each component of ``docs``, with its columns as they were: that of the smallest doc_id."""
+    rows = written(_sets(docs, shingle, percent), "near")
+    distinct = rows.groupBy("id").agg(F.min(row_order()).alias("least"), F.first("n").alias("n"), F.first("heads").alias("heads"), F.first("hist").alias("hist"))
+    distinct = written(distinct, "near-distinct")
+    roots = _roots(docs, distinct, shingle, percent)
+    classes = distinct.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return one_of_each(docs, rows, classes)

@@ -227,9 +227,13 @@ def _text_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["text"])
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """One row of each component of ``docs``, with its columns as they were: that of the smallest doc_id."""
-    rows, classes = _classes(docs, F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_"), radius, shingle, tile_rows)
+def row_order() -> Column:
+    """What a component's row is chosen by, the least one: rows without doc_id come last."""
+    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the least row_order in each root of ``classes`` (root, least); ``rows``: doc_id, th_."""
     chosen = classes.groupBy("root").agg(F.min("least").alias("row"))
     kept = chosen.select(F.col("row.doc_id").alias("kept_id_"), F.col("row.th_").alias("kept_th_"))
     kept = written(kept, "simhash-kept")
@@ -239,3 +243,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile
         w = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
         out = out.withColumn("row_number_", F.row_number().over(w)).where("row_number_ = 1").drop("row_number_")
     return out
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """One row of each component of ``docs``, with its columns as they were: that of the smallest doc_id."""
+    return one_of_each(docs, *_classes(docs, row_order(), radius, shingle, tile_rows))
