@@ -15,7 +15,8 @@ surrogate is written back into the format and case of each occurrence.
 *Collisions.* A permutation gives distinct surrogates to distinct entities of one format. What can
 still go wrong is checked over the distinct entities of the whole corpus: a surrogate that equals a
 real entity of its type, or one that two name rules both give. Those entities get the next candidate
-(another tweak), checked against all entities and all surrogates given so far, until none is left.
+(another tweak), checked against all entities and all surrogates given so far, until none is left. After
+64 candidates the format counts as full and grows by a character (an address by the digits of an octet).
 The few entities with such a later candidate reach their documents by a join.
 
 Defined results: null texts stay null and empty texts empty; texts without entities are unchanged;
@@ -41,6 +42,8 @@ from lanternq.llm.common import written
 KEY = b"replace this key"
 TYPES = ("email", "phone", "card", "ip", "secret", "name")
 ROUNDS = 6
+#: Rounds with grown formats after the tries in an entity's own format.
+GROWN = 16
 
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 #: Signs that may stand between the groups of one number.
@@ -153,6 +156,17 @@ def surrogate(kind: str, canonical: str, key: bytes = KEY, tweak: int = 0) -> st
     return permute_text(canonical, key, label)
 
 
+def grown(kind: str, canonical: str, steps: int) -> str:
+    """``canonical`` in a format with more room; numbers of phones and cards have room enough."""
+    if not steps or kind in ("phone", "card"):
+        return canonical
+    if kind == "ip":
+        octets = canonical.split(".")
+        return ".".join([str(100 + int(o) % 100) if k < steps else o for k, o in enumerate(octets)])
+    more = "a" if kind == "secret" else next((c for c in canonical if c in _CLASS), "a")
+    return more * steps + canonical
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, type, kind, canonical) of what is replaced in ``text``, in order and without overlap. A
     detected entity gives one or two of these: local part and domain, given name and surname."""
@@ -197,7 +211,9 @@ def written_back(original: str, canonical: str, new: str, kind: str) -> str:
     if kind in ("phone", "card"):
         digits = iter(new)
         return "".join(next(digits) if c.isdigit() else c for c in original)
-    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(original, new)) if len(original) == len(new) else new
+    if len(original) != len(new):
+        return new[:1].upper() + new[1:] if original[:1].isupper() else new
+    return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(original, new))
 
 
 def replaced(text: str, key: bytes, later: dict[tuple[str, str], str] | None = None) -> tuple[str, Counter]:
@@ -217,11 +233,11 @@ def _space(kind):
     return F.when(F.startswith(kind, F.lit("given")), F.lit("given")).otherwise(kind)
 
 
-def _candidates(rows: DataFrame, key: bytes, tweak: int) -> DataFrame:
+def _candidates(rows: DataFrame, key: bytes, tweak: int, steps: int = 0) -> DataFrame:
     def made(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kinds, forms = batch.column("kind").to_pylist(), batch.column("form").to_pylist()
-            new = [surrogate(k, f, key, tweak) for k, f in zip(kinds, forms)]
+            new = [surrogate(k, grown(k, f, steps), key, tweak) for k, f in zip(kinds, forms)]
             yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("form"), pa.array(new, pa.string())], ["kind", "form", "new"])
 
     return rows.select("kind", "form").mapInArrow(made, "kind string, form string, new string").withColumn("space", _space(F.col("kind")))
@@ -229,12 +245,12 @@ def _candidates(rows: DataFrame, key: bytes, tweak: int) -> DataFrame:
 
 def collided(found: DataFrame, key: bytes, tweaks: int = 64) -> DataFrame:
     """(kind, form, new) of the entities whose first candidate equals a real entity or another's surrogate.
-    ``found``: distinct (kind, form). An entity whose format leaves no free surrogate after ``tweaks``
-    candidates keeps its last one."""
+    ``found``: distinct (kind, form). An entity that finds no free surrogate in ``tweaks``
+    candidates gets one of a grown format; it is an error if one is left after that."""
     real = found.select(_space(F.col("kind")).alias("space"), F.col("form").alias("new")).distinct()
     given, open_, later = None, found, None
-    for tweak in range(tweaks):
-        tried = _candidates(open_, key, tweak)
+    for tweak in range(tweaks + GROWN):
+        tried = _candidates(open_, key, tweak, max(0, tweak - tweaks + 1))
         rank = F.row_number().over(W.partitionBy("space", "new").orderBy("kind", "form"))
         tried = tried.withColumn("rank", rank).join(real.withColumn("hit", F.lit(True)), ["space", "new"], "left")
         if given is not None:
@@ -247,11 +263,13 @@ def collided(found: DataFrame, key: bytes, tweaks: int = 64) -> DataFrame:
         taken = good.select("space", "new")
         given = taken if given is None else given.unionByName(taken)
         if tweak:
-            own = (good if tweak < tweaks - 1 else tried).select("kind", "form", "new")
+            own = good.select("kind", "form", "new")
             later = own if later is None else later.unionByName(own)
         open_ = tried.where("clash").select("kind", "form")
         if open_.limit(1).count() == 0:
             break
+    else:
+        raise ValueError("entities are left without a surrogate of their own")
     if later is None:
         later = found.select("kind", "form", F.col("form").alias("new")).limit(0)
     return later

@@ -353,3 +353,14 @@ def test_surrogates_stay_distinct_under_collisions(spark):
 def test_format_permutation_is_one():
     got = {tuple(pii.permute_digits([a, b, c], [3, 4, 5], b"k", "x")) for a in range(3) for b in range(4) for c in range(5)}
     assert len(got) == 60
+
+
+def test_pii_full_formats_give_no_surrogate_twice(spark):
+    rows = [("given-m", n) for n in ("john", "mark", "paul", "hans", "karl")] + [("surname", c) for c in "aeiouy"]
+    found = spark.createDataFrame(rows, "kind string, form string")
+    later = {(r["kind"], r["form"]): r["new"] for r in pii.collided(found, b"k", tweaks=3).collect()}
+    final = {e: later.get(e) or pii.surrogate(*e, b"k") for e in rows}
+    for kind in ("given-m", "surname"):
+        own = [new for (k, _), new in final.items() if k == kind]
+        assert len(set(own)) == len(own) and not set(own) & {f for k, f in rows if k == kind}
+    assert pii.written_back("John", "john", "xajohn", "given-m") == "Xajohn"
