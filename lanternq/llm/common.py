@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space characters between words, and the pattern of a run of them.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Counted rows up to which keys of rows are sent to every task; some 60 bytes each.
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,14 +36,21 @@ def let(value: Column, body) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder that the cluster names. Only a session in one process (tests) gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def sent(keys: DataFrame, rows: int) -> DataFrame:
+    """``keys`` of counted ``rows``, to be sent to every task if these are few."""
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: lineage ends there, so losing an
     executor later costs a reread and not a recomputation."""

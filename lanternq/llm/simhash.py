@@ -7,22 +7,27 @@ back. Bits are counted for a whole batch at a time: eight masked shifts of the h
 byte counters per machine word, summed over runs of up to 255 hashes.
 
 *Links.* Equal fingerprints are collapsed first, so groups of copies cost one row. Distinct
-fingerprints are dealt into tiles by their number of set bits (and, within a number, by a hash into
-tiles of about ``tile_rows``). Two tiles meet in one task unless their bit counts differ by more than
-the radius; that bounds a task's rows by two tiles. A task cuts its tiles again into runs of
-fingerprints sorted by the bit counts of their four 16-bit quarters and skips pairs of runs whose
-counts differ by more than the radius in sum, which no pair within the radius can do. What remains is
-compared exactly: exclusive-or and bit count over numpy blocks. A task returns no pairs but a
-spanning forest of the links it has found, at most one row for each fingerprint, so dense groups of
-near copies stay small. Components of all forests follow by alternating stars.
-
-The comparison is exact, so its work grows with the square of the number of distinct fingerprints;
-the README gives figures.
+fingerprints are dealt into tiles by their number of set bits: neighbouring bit counts share a tile up
+to ``tile_rows``, and one bit count that has more is cut by a hash. Two tiles meet in one task unless
+their bit counts differ by more than the radius; that bounds a task's rows by two tiles. A task cuts
+its tiles again into runs of fingerprints sorted by the bit counts of their four 16-bit quarters and
+skips pairs of runs whose counts differ by more than the radius in sum, which no pair within the radius
+can do. What remains is compared exactly: exclusive-or and bit count over numpy blocks. A task returns
+no pairs but a spanning forest of the links it has found, at most one row for each fingerprint, so
+dense groups of near copies stay small. Components of all forests follow by alternating stars.
+
+The comparison is exact, so its work grows with the square of the number of distinct fingerprints, and
+the rows dealt to tiles with that square divided by ``tile_rows``; the README gives figures.
+
+*Near duplicates by similarity.* ``keep_one`` takes fingerprints of two words (128 bits) over the set of
+5-word shingles and a radius wide enough for a Jaccard similarity of 0.8, and ``confirm`` then keeps the
+links whose sets have that similarity.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked to one another
-like any other; a document that is linked to none is its own component; repeated rows give repeated
-results; a null doc_id never names a component unless all its documents have none; an empty table
-gives no rows; extra columns are ignored, or kept as they are by ``keep_one``.
+like any other (in ``keep_one`` to one another only); a document that is linked to none is its own
+component; repeated rows give repeated results; a null doc_id never names a component unless all its
+documents have none; an empty table gives no rows; extra columns are ignored, or kept as they are by
+``keep_one``.
 """
 
 from __future__ import annotations
@@ -31,90 +36,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternq.llm.common import text_or_empty, written
+from lanternq.llm import confirm
+from lanternq.llm.common import sent, text_or_empty, written
 from lanternq.llm.graph import components
+from lanternq.llm.shingles import SHINGLE, fingerprint_array, fingerprint_words, set_digest, word_array
 
-SHINGLE = 4
 RADIUS = 4
-SEED = 42
 #: Fingerprints in a tile, and in the runs that a task sorts a tile into.
 TILE_ROWS = 32_768
 RUN_ROWS = 32
-#: Hashes after which a batch's bits are counted.
-FLUSH = 400_000
-_LANES = np.uint64(0x0101010101010101)
-
-
-def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """XXH64 of every shingle of ``text``, in order."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(w)
-    if len(w) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
-    starts = [0, *ends[: len(w) - shingle].tolist()]
-    digest = xxhash.xxh64_digest
-    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist())]), ">u8").astype(np.uint64)
-
-
-def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each run of ``sizes`` hashes the 64 bits that over half of them have; 0 for empty runs."""
-    out = np.zeros(len(sizes), np.uint64)
-    own = np.flatnonzero(sizes)
-    if not len(own):
-        return out
-    n = sizes[own]
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]])
-    parts = -(-n // 255)
-    first = np.concatenate([[0], np.cumsum(parts)[:-1]])
-    cuts = np.repeat(begin, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    bits = np.zeros(len(own), np.uint64)
-    for b in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(b)) & _LANES, cuts)
-        counts = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        for byte in range(8):
-            bits |= (2 * counts[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + b)
-    out[own] = bits
-    return out
-
-
-def fingerprint_array(texts: Iterator[str], shingle: int = SHINGLE) -> np.ndarray:
-    done, held, sizes, total = [], [], [], 0
-
-    def flush() -> None:
-        nonlocal held, sizes, total
-        done.append(majority(np.concatenate(held) if held else np.empty(0, np.uint64), np.array(sizes, np.int64)))
-        held, sizes, total = [], [], 0
-
-    for text in texts:
-        h = shingle_hashes(text, shingle)
-        held.append(h)
-        sizes.append(len(h))
-        total += len(h)
-        if total >= FLUSH:
-            flush()
-    flush()
-    return np.concatenate(done).view(np.int64)
+#: Fingerprints that one run is compared with at a time; the block stays in a core's cache.
+BLOCK = 4096
+#: Near duplicates by similarity: bits of 128 in which texts of that similarity differ at most, bits of the
+#: first word alone, words in a shingle, and the similarity itself.
+WIDE_RADIUS = 32
+FIRST_RADIUS = 18
+WIDE_SHINGLE = 5
+PERCENT = 80
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, th_ (a hash that tells rows of one doc_id apart) and fp (as a signed long) of every row."""
+    """doc_id and fp (as a signed long) of every row."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = batch.column("text")
             fp = fingerprint_array((texts[i].as_py() for i in range(len(texts))), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th_"), pa.array(fp)], ["doc_id", "th_", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th_"), text_or_empty().alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, th_ long, fp long")
+    rows = docs.select("doc_id", text_or_empty().alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
 
 
 def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -133,58 +87,79 @@ def _merge(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, parent) that connect what exact comparison of two tiles (or of one with itself)
-    connects: one for each node that is not the first of its class."""
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, parent), as indexes into the rows of ``left`` and then ``right``, that connect what exact
+    comparison of two tiles (or of one with itself) connects: one for each node that is not the first of its
+    class. A row is a fingerprint of one or more 64-bit words; the first words may differ in ``first`` bits."""
+    first = radius if first is None else first
     quarters = lambda x: np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
-    def arranged(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q = quarters(x)
-        x = x[np.lexsort(q.T[::-1])]
-        q, cut = quarters(x), np.arange(0, len(x), RUN_ROWS)
-        return x, np.minimum.reduceat(q, cut), np.maximum.reduceat(q, cut)
-
-    x, low, high = arranged(left)
-    y, ylow, yhigh = (x, low, high) if right is None else arranged(right)
-    nodes = x if right is None else np.concatenate([x, y])
-    shift = 0 if right is None else len(x)
-    root = np.arange(len(nodes))
+    def arranged(x: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        q = quarters(np.ascontiguousarray(x[:, 0]))
+        order = np.lexsort(q.T[::-1])
+        q, cut = q[order], np.arange(0, len(x), RUN_ROWS)
+        return x[order], order + shift, np.minimum.reduceat(q, cut), np.maximum.reduceat(q, cut)
+
+    x, names, low, high = arranged(left, 0)
+    y, other, ylow, yhigh = (x, names, low, high) if right is None else arranged(right, len(left))
+    root = np.arange(len(left) + (0 if right is None else len(right)))
+    xs, ys = np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(y[:, 0])
     member = np.arange(len(y)) // RUN_ROWS
     for k in range(len(low)):
         gap = np.maximum(0, np.maximum(ylow - high[k], low[k] - yhigh)).sum(1)
-        near = gap <= radius
+        near = gap <= first
         if right is None:
             near[:k] = False
-        at = np.flatnonzero(near[member])
-        if not len(at):
-            continue
+        met = np.flatnonzero(near[member])
         start = k * RUN_ROWS
-        close = np.bitwise_count(x[start : start + RUN_ROWS, None] ^ y[at]) <= radius
-        i, j = np.nonzero(close)
-        _merge(root, i + start, at[j] + shift)
-    own = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[own].view(np.int64), nodes[root[own]].view(np.int64)
-
-
-def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Rows (a, b) that connect the distinct fingerprints of column fp which differ in ``radius`` bits or fewer."""
-    counted = distinct.select("fp", F.bit_count("fp").cast("int").alias("n"))
-    sizes = dict(counted.groupBy("n").count().collect())  # 65 rows at most
-    parts = {n: -(-c // tile_rows) for n, c in sizes.items()}
-    pairs = [
-        (n, m, parts[n], parts[m]) for n in sorted(parts) for m in range(n, min(64, n + radius) + 1) if m in parts
-    ]
+        run = xs[start : start + RUN_ROWS, None]
+        for c in range(0, len(met), BLOCK):
+            at = met[c : c + BLOCK]
+            i, j = np.nonzero(np.bitwise_count(run ^ ys[at]) <= first)
+            i, j = i + start, at[j]
+            if x.shape[1] > 1 and len(i):
+                close = np.bitwise_count(x[i] ^ y[j]).sum(1, dtype=np.int64) <= radius
+                i, j = i[close], j[close]
+            _merge(root, names[i], other[j])
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return own, root[own]
+
+
+def _bins(sizes: dict[int, int], tile_rows: int) -> list[tuple[int, int, int]]:
+    """(least, greatest bit count, tiles) of runs of bit counts that hold about ``tile_rows`` nodes or one bit count."""
+    bins, held = [], []
+    for n in sorted(sizes):
+        if held and sum(sizes[m] for m in held) + sizes[n] > tile_rows:
+            bins.append(held)
+            held = []
+        held.append(n)
+    bins += [held] if held else []
+    return [(b[0], b[-1], -(-sum(sizes[m] for m in b) // tile_rows)) for b in bins]
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, first: int | None = None) -> DataFrame:
+    """Rows (a, b) that connect the ``nodes`` (id, words: an array of longs) whose words differ in ``radius`` bits
+    or fewer, and the first words in ``first`` or fewer."""
+    count = F.aggregate("words", F.lit(0), lambda s, x: s + F.bit_count(x).cast("int"))
+    counted = nodes.select("id", "words", count.alias("count"))
+    sizes = dict(counted.groupBy("count").count().collect())  # 65 rows a word at most
+    bins = _bins(sizes, tile_rows)
+    pairs = [(k, m) for k in range(len(bins)) for m in range(k, len(bins)) if bins[m][0] - bins[k][1] <= radius]
+    kind = dict(nodes.dtypes)["id"]
     if not pairs:
-        return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    # A row meets, as the left side, the tiles of its own and of each higher count, and as the right side those of each lower one.
-    meets = [(a, a, b, k, o) for a, b, k, o in pairs] + [(b, a, b, k, o) for a, b, o, k in pairs if a != b]
-    plan = distinct.sparkSession.createDataFrame(meets, "count int, n int, m int, own_tiles int, other_tiles int")
-    rows = counted.withColumnRenamed("n", "count").join(F.broadcast(plan), "count")  # 65 * 2 * (radius + 1) rows at most
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("own_tiles").cast("long")).cast("int"))
+        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    # A row meets, as the left side, the tiles of its own bin and of those above, and as the right side those below.
+    meets = [(own, k, m, bins[own][2], bins[o][2]) for k, m in pairs for own, o in dict.fromkeys(((k, m), (m, k)))]
+    plan = [(n, k, m, own_tiles, other) for own, k, m, own_tiles, other in meets for n in sizes if bins[own][0] <= n <= bins[own][1]]
+    plan = nodes.sparkSession.createDataFrame(plan, "count int, n int, m int, own_tiles int, other_tiles int")
+    own_bin = F.coalesce(*[F.when(F.col("count") <= high, F.lit(k)) for k, (_, high, _) in enumerate(bins)])
+    rows = counted.join(F.broadcast(plan), "count")  # a row for each bit count and bin it meets, some thousands at most
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("own_tiles").cast("long")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
-    is_left, within = F.col("count") == F.col("n"), F.col("n") == F.col("m")
+    is_left, within = own_bin == F.col("n"), F.col("n") == F.col("m")
     rows = rows.select(
-        "fp",
+        "id",
+        "words",
         "n",
         "m",
         F.when(within, F.least("own", "other")).when(is_left, F.col("own")).otherwise(F.col("other")).alias("i"),
@@ -193,58 +168,82 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS)
     )
 
     def compared(key, table):
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        right = table.column("right").to_numpy()
+        table = table.combine_chunks()
+        words = word_array(table.column("words"))
+        right = table.column("right").to_numpy(zero_copy_only=False)
         if key[0].as_py() == key[1].as_py() and key[2].as_py() == key[3].as_py():
-            a, b = forest(np.ascontiguousarray(fp), None, radius)
+            a, b = forest(words, None, radius, first)
+            names = table.column("id")
         elif right.all() or not right.any():
-            a = b = np.empty(0, np.int64)
+            return table.slice(0, 0).select(["id", "id"]).rename_columns(["a", "b"])
         else:
-            a, b = forest(fp[~right], fp[right], radius)
-        return pa.table({"a": a, "b": b})
-
-    return rows.groupBy("n", "m", "i", "j").applyInArrow(compared, "a long, b long")
-
+            a, b = forest(words[~right], words[right], radius, first)
+            names = table.column("id").take(pa.array(np.concatenate([np.flatnonzero(~right), np.flatnonzero(right)])))
+        return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
 
-def _classes(docs: DataFrame, least: Column, radius: int, shingle: int, tile_rows: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, th_ and fp of every row; and fp, root (the least fingerprint of the component) and least (the
-    minimum of ``least`` over the rows of fp) of every distinct fingerprint."""
-    rows = written(fingerprints(docs, shingle), "simhash")
-    distinct = written(rows.groupBy("fp").agg(F.min(least).alias("least")), "simhash-distinct")
-    roots = components(links(distinct, radius, tile_rows), "simhash-links").withColumnRenamed("node", "fp")
-    return rows, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return rows.groupBy("n", "m", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id of the component) of every row."""
-    rows, classes = _classes(docs, F.col("doc_id"), radius, shingle, tile_rows)
+    rows = written(fingerprints(docs, shingle), "simhash")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    nodes = distinct.select(F.col("fp").alias("id"), F.array("fp").alias("words"))
+    roots = components(links(nodes, radius, tile_rows), "simhash-links").withColumnRenamed("node", "fp")
+    classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     out = rows.join(classes.join(names, "root").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _text_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["text"])
-
-
-def row_order() -> Column:
-    """What a component's row is chosen by, the least one: rows without doc_id come last."""
-    return F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_")
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, th_ (a hash that tells rows of one doc_id apart), id (a digest of the set of shingles), n (its
+    size) and words (its fingerprint) of every row."""
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts, ids, sizes, words = batch.column("text"), [], [], []
+            for own, fp in fingerprint_words(texts[i].as_py() for i in range(len(texts))):
+                ids.append(set_digest(own))
+                sizes.append(len(own))
+                words.append(fp)
+            columns = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th_"), *columns], ["doc_id", "th_", "id", "n", "words"])
 
-def one_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the least row_order in each root of ``classes`` (root, least); ``rows``: doc_id, th_."""
-    chosen = classes.groupBy("root").agg(F.min("least").alias("row"))
-    kept = chosen.select(F.col("row.doc_id").alias("kept_id_"), F.col("row.th_").alias("kept_th_"))
-    kept = written(kept, "simhash-kept")
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id_"]) & (_text_key(docs) == kept["kept_th_"]), "left_semi")
-    again = rows.groupBy("doc_id", "th_").count().where("count > 1").limit(1).count()
-    if again:  # rows that repeat both doc_id and text: one of them stays
-        w = W.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-        out = out.withColumn("row_number_", F.row_number().over(w)).where("row_number_ = 1").drop("row_number_")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th_"), text_or_empty().alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, th_ long, id binary, n int, words array<long>")
+
+
+def similar(docs: DataFrame, percent: int = PERCENT, radius: int = WIDE_RADIUS, first: int = FIRST_RADIUS, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, th_ and id of every row of ``docs``, and id, least (the row of id that stays) and root of every
+    distinct set: sets have one root if links of Jaccard similarity ``percent`` or more connect them."""
+    rows = written(_sets(docs, WIDE_SHINGLE), "near")
+    row = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th_")  # rows without doc_id come last
+    distinct = rows.groupBy("id").agg(F.min(row).alias("least"), F.first("n").alias("n"), F.first("words").alias("words"))
+    distinct = written(distinct, "near-distinct")
+    near = components(links(distinct.where("n > 0"), radius, tile_rows, first), "near-links")
+    links_ = confirm.confirmed(docs, distinct, near, percent, radius, first)
+    roots = components(links_, "near-links").withColumnRenamed("node", "id")
+    return rows, distinct.select("id", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates of ``docs``, with its columns as they were: that of the smallest
+    doc_id. Only keys of rows that go meet the documents, so texts are moved only if these keys are many."""
+    rows, classes = similar(docs, **options)
+    chosen = classes.groupBy("root").agg(F.min("least").alias("row")).select(F.col("row.doc_id").alias("own_id"), F.col("row.th_").alias("own_th"))
+    key = lambda a, b: a["doc_id"].eqNullSafe(b["own_id"]) & (a["th_"] == b["own_th"])
+    counted = written(rows.groupBy("doc_id", "th_").agg(F.count("*").alias("times")), "near-rows")
+    chosen = counted.join(chosen, key(counted, chosen), "left").withColumn("stays", F.col("own_th").isNotNull())
+    keys = written(chosen.where("times > 1 OR NOT stays").select(F.col("doc_id").alias("own_id"), F.col("th_").alias("own_th"), "stays"), "near-keys")
+    sizes = {r["stays"]: r["count"] for r in keys.groupBy("stays").count().collect()}
+    out, th = docs, F.xxhash64(docs["text"])
+    if sizes:
+        n = sum(sizes.values())
+        out = docs.join(sent(keys, n), docs["doc_id"].eqNullSafe(keys["own_id"]) & (th == keys["own_th"]), "left_anti")
+    if True in sizes:  # rows that repeat both doc_id and text: one of them stays
+        again = keys.where("stays")
+        same = docs.join(sent(again, sizes[True]), docs["doc_id"].eqNullSafe(again["own_id"]) & (th == again["own_th"]), "left_semi")
+        whole = same.select(F.struct(*[same[c] for c in docs.columns]).alias("row_"), same["doc_id"].alias("k_"), F.xxhash64(same["text"]).alias("h_"))
+        out = out.unionByName(whole.groupBy("k_", "h_").agg(F.first("row_").alias("row_")).select("row_.*"))
     return out
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """One row of each component of ``docs``, with its columns as they were: that of the smallest doc_id."""
-    return one_of_each(docs, *_classes(docs, row_order(), radius, shingle, tile_rows))
