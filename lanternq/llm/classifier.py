@@ -1,25 +1,29 @@
 """Quality classifier: Naive Bayes support vectors.
 
 Features are indicators of the word and symbol unigrams and bigrams of a lower-cased text; a bigram
-that repeats one token counts as one common feature. The model is fitted on a bounded sample of
-labelled rows: at most ``train_rows`` / 2 of each class, those with the least hash of doc_id. Each
-indicator is scaled by its class log-count ratio, rows are brought to length one, and a linear
-hinge-loss model with class weights is fitted by dual coordinate descent. A score is the logistic of
-twice the margin, so 0.5 is the decision boundary.
-
-Only the sample's feature numbers (at most ``train_rows`` rows) and at most ``max_features`` counts
-reach the driver. Scoring sends each text to Python once and shuffles nothing.
-
-Defined results: null and empty texts have no features and get the model's constant; documents with
-conflicting labels count as label 0; null labels are ignored; with a single class all rows get that
-class; without labels every score is 0.5; repeated rows get equal scores; an empty table gives no
-rows; extra columns are ignored.
+that repeats one token counts as one common feature. All features of the sample count: each is hashed
+to one of ``BUCKETS`` numbers, and features that share a number count as one. The model is fitted on a
+bounded sample of labelled rows: at most ``train_rows`` / 2 of each class, those with the least hash of
+doc_id. Each indicator is scaled by its class log-count ratio, rows are brought to length one, and a
+linear hinge-loss model with class weights is fitted by dual coordinate descent. A score is the logistic
+of twice the margin, so 0.5 is the decision boundary.
+
+Only the sample's feature numbers (at most ``train_rows`` rows of at most ``BUCKETS`` numbers) reach the
+driver, and two arrays of ``BUCKETS`` numbers (16 MB) the tasks. Scoring sends each text to Python once
+and shuffles nothing.
+
+Defined results: null and empty texts have no features and get the model's constant, as do texts whose
+features the sample lacks; very long texts are read whole; documents with conflicting labels count as
+label 0; null labels are ignored; with a single class all rows get that class; without labels every score
+is 0.5; rows without doc_id are not fitted on but scored; repeated rows get equal scores; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,31 +36,34 @@ from lanternq.llm.common import text_or_empty, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 TRAIN_ROWS = 6000
-MAX_FEATURES = 150_000
-MIN_DOCUMENTS = 4
+BUCKETS = 1 << 21
 ALPHA = 1.0
 COST = 1.0
 EPOCHS = 30
-SEED = 11
-SAME = ("=", "=")
+SEED = 11#: Odd multipliers of the hash of a bigram, and the bigram that stands for all repetitions.
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_REPEATED = np.uint64(0x165667B19E3779F9)
 
 
-def features(text: str) -> set:
-    """Unigrams as strings, bigrams as pairs."""
-    t = TOKEN.findall(text.lower())
-    pairs = set(zip(t, t[1:]))
-    found = {p if p[0] != p[1] else SAME for p in pairs}
-    found.update(t)
-    return found
+def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The numbers of the features of ``text``, sorted and distinct."""
+    tokens = TOKEN.findall(text.lower())
+    t = np.fromiter(map(zlib.crc32, map(_encoded, tokens)), np.uint64, len(tokens))
+    a, b = t[:-1], t[1:]
+    pairs = np.where(a == b, _REPEATED, (a + np.uint64(1)) * _FIRST ^ (b + np.uint64(1)) * _SECOND)
+    mixed = np.concatenate([t * _FIRST, pairs * _SECOND])
+    return np.unique((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _named(feature) -> str:
-    return feature if isinstance(feature, str) else " ".join(feature)
+def _encoded(token: str) -> bytes:
+    return token.encode("utf-8", "surrogatepass")
 
 
 def log_count_ratios(good: np.ndarray, bad: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+    """The ratio of each feature that occurs; 0 for the others."""
+    own = good + bad > 0
     p, q = good + alpha, bad + alpha
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    return np.where(own, np.log(p / p[own].sum()) - np.log(q / q[own].sum()), 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, width: int, epochs: int = EPOCHS, seed: int = SEED, eps: float = 0.01) -> np.ndarray:
@@ -85,19 +92,16 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
 
 @dataclass(frozen=True)
 class Model:
-    """Feature name -> (share of the margin, squared scale), and the constant."""
+    """For each feature number its share of the margin and its squared scale, and the constant."""
 
-    weights: dict[str, tuple[float, float]]
+    share: np.ndarray
+    square: np.ndarray
     constant: float
 
     def margin(self, text: str) -> float:
-        total, square, own = 0.0, 0.0, self.weights
-        for f in features(text):
-            got = own.get(f if f.__class__ is str else f[0] + " " + f[1])
-            if got:
-                total += got[0]
-                square += got[1]
-        return self.constant + (total / math.sqrt(square) if square else 0.0)
+        own = features(text, len(self.share))
+        square = float(self.square[own].sum(dtype=np.float64))
+        return self.constant + (float(self.share[own].sum(dtype=np.float64)) / math.sqrt(square) if square else 0.0)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,43 +117,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows:
     return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(text_or_empty()).alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    sample = written(training_sample(docs, labels, label, train_rows), "classifier-sample")
-
-    def named(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            lists = [[_named(f) for f in features(x)] for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(lists, pa.list_(pa.string()))], ["y", "f"])
-
-    counts = sample.select("y", "text").mapInArrow(named, "y int, f array<string>").select("y", F.explode("f").alias("f"))
-    counts = counts.groupBy("f").agg(F.sum("y").alias("good"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
-    table = counts.orderBy(F.desc("n"), "f").limit(max_features).collect()
-    classes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if len(classes) < 2:
-        return Model({}, {0: -5.0, 1: 5.0}.get(next(iter(classes), None), 0.0))
-    names = [r["f"] for r in table]
-    good = np.array([r["good"] for r in table], float)
-    ratio = log_count_ratios(good, np.array([r["n"] for r in table], float) - good)
-    sent = sample.sparkSession.sparkContext.broadcast({n: k for k, n in enumerate(names)})
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> Model:
+    sample = training_sample(docs, labels, label, train_rows)
 
     def numbered(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
         for batch in it:
-            lists = [sorted(own[n] for n in map(_named, features(x)) if n in own) for x in batch.column("text").to_pylist()]
+            lists = [features(x.as_py(), buckets).astype(np.int32) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("y"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "y", "at"])
 
-    got = sorted(sample.mapInArrow(numbered, "doc_id string, y int, at array<int>").collect(), key=lambda r: r["doc_id"])
-    rows = [np.array(r["at"], np.int64) for r in got]
+    got = written(sample.mapInArrow(numbered, "doc_id string, y int, at array<int>"), "classifier-sample")
+    got = got.orderBy("doc_id").toArrow()  # no more than train_rows rows
+    good = got.column("y").to_numpy() == 1
+    empty = np.zeros(1, np.float32)
+    if not good.any() or good.all():
+        return Model(empty, empty, 0.0 if not len(good) else 5.0 if good[0] else -5.0)
+    rows = [at.values.to_numpy().astype(np.int64) for at in got.column("at")]
+    counted = lambda own: np.bincount(np.concatenate([r for r, o in zip(rows, own) if o]), minlength=buckets).astype(float)
+    ratio = log_count_ratios(counted(good), counted(~good))
     values = [ratio[at] / max(float(np.linalg.norm(ratio[at])), 1e-12) for at in rows]
-    y = np.array([1.0 if r["y"] == 1 else -1.0 for r in got])
-    cost = np.where(y > 0, COST * len(y) / (2 * (y > 0).sum()), COST * len(y) / (2 * (y < 0).sum()))
-    w = dual_coordinate_descent(rows, values, y, cost, len(names))
-    return Model({n: (float(w[k] * ratio[k]), float(ratio[k] ** 2)) for k, n in enumerate(names)}, float(w[-1]))
+    y = np.where(good, 1.0, -1.0)
+    cost = np.where(good, COST * len(y) / (2 * good.sum()), COST * len(y) / (2 * (~good).sum()))
+    w = dual_coordinate_descent(rows, values, y, cost, buckets)
+    return Model((w[:-1] * ratio).astype(np.float32), (ratio**2).astype(np.float32), float(w[-1]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # no more than max_features entries
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of BUCKETS numbers
 
     def scores(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
