@@ -23,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternq.llm.common import written
+from lanternq.llm.common import sent, written
 
 #: The explicit rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -92,8 +92,10 @@ def judged(pages: DataFrame, labelled: DataFrame, rules=RULES, **options) -> Dat
     rows = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.array_join(tokens(F.col("url")), " ").alias("set_"))
     sets = rows.select("set_").distinct().withColumn("t_", F.split("set_", " "))
     met = sets.withColumn("anchor", F.explode("t_")).join(index, "anchor").where(F.size(F.array_except("rule", "t_")) == 0)
-    bad = met.select("set_", F.lit(True).alias("mined_")).distinct()
-    out = rows.join(bad, "set_", "left").withColumn("own_", explicit(F.col("host"), F.col("path"), rules))
+    bad = written(met.select("set_", F.lit(True).alias("mined_")).distinct(), "url-sets")
+    # Pages of one frequent token set stay where they are as long as the marked sets are few; else the join is dealt by
+    # set, and adaptive execution splits what is skewed.
+    out = rows.join(sent(bad, bad.count()), "set_", "left").withColumn("own_", explicit(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("own_.verdict"), F.when(F.col("mined_"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("own_.rule").alias("rule"), verdict.alias("verdict"))
 
