@@ -5,17 +5,19 @@ permuted position p gives shard ``p mod n`` and slot ``p div n``. Shards therefo
 at most and the slots of a shard have no gaps (law ``rows``). Where a row goes can be computed from
 its number alone, without the data.
 
-*Numbers.* Rows are ordered by (bucket, doc_id, checksum, size), bucket being a hash of doc_id. One
-pass over doc_id alone counts the buckets; a row's number is its bucket's offset plus its rank in
-the bucket. No global sort and no sampled boundary is involved, so reruns agree.
+*Numbers.* Rows are ordered by (bucket, doc_id, checksum, size), bucket being a hash of doc_id and the
+text's checksum, so that rows of one doc_id, or without any, do not meet in one task unless their texts
+are equal too. One pass counts the buckets; a row's number is its bucket's offset plus its rank in the
+bucket. No global sort and no sampled boundary is involved, so reruns agree.
 
 *Permutation.* The network works on pairs (l, r) with l < a and r < b, where a * b >= N. The factors
 are chosen so that a * b - N is as small as can be. A value that falls at or above N is permuted
 again until it is below N (cycle walking). A walk visits each of the a * b - N values above N once
 at most, which bounds it, so the expression needs no open loop.
 
-Defined results: null and empty texts have size 8 and checksum 0; null doc_ids share one bucket and
-are dealt like other rows; repeated rows get positions of their own; an empty table gives no rows.
+Defined results: null and empty texts have size 8 and checksum 0; rows without doc_id are dealt like
+others; very long texts count by their size only; repeated rows get positions of their own; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from lanternq.llm.common import text_or_empty
 SHARDS = 24
 SEED = 20240229
 #: Buckets of row numbers: the only thing gathered on the driver is one count for each.
-BUCKETS = 4096
+BUCKETS = 16_384
 ROUNDS = 6
 #: Odd multipliers below 2**31 for the round function.
 MULTIPLIERS = (1597334677, 2147001325)
@@ -70,13 +72,18 @@ def permuted(position: Column, n: int, seed: int = SEED) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), first, lambda x, _: F.when(x < n, x).otherwise(once(x))) if walks else first
 
 
-def _bucket(doc_id: Column, buckets: int) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % buckets
+def _checksum() -> Column:
+    return F.crc32(F.encode(text_or_empty(), "UTF-8"))
+
+
+def _bucket(buckets: int) -> Column:
+    name = F.concat_ws("/", F.col("doc_id").cast("string"), _checksum().cast("string"))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is ``rows``) of every row."""
-    counts = dict(docs.groupBy(_bucket(F.col("doc_id"), buckets).alias("b")).count().collect())
+    counts = dict(docs.groupBy(_bucket(buckets).alias("b")).count().collect())
     offsets, n = [], 0
     for b in range(buckets):
         offsets.append(n)
@@ -85,8 +92,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: in
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("text_crc32"),
-        _bucket(F.col("doc_id"), buckets).alias("b_"),
+        _checksum().alias("text_crc32"),
+        _bucket(buckets).alias("b_"),
     )
     rank = F.row_number().over(W.partitionBy("b_").orderBy("doc_id", "text_crc32", "size"))
     rows = rows.withColumn("n_", F.get(start, F.col("b_").cast("int")) + rank - 1)
@@ -116,10 +123,10 @@ SQL = f"""
 WITH RECURSIVE crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) AS t(i))),
 d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-h AS MATERIALIZED (SELECT doc_id, (length(x) // 2 + 8)::BIGINT AS size,
+h0 AS MATERIALIZED (SELECT doc_id, (length(x) // 2 + 8)::BIGINT AS size,
   xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT),
-    lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {BUCKETS} AS b_ FROM d, crc),
+    lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
+h AS MATERIALIZED (SELECT *, ('0x' || substr(md5(concat_ws('/', doc_id::VARCHAR, text_crc32::VARCHAR)), 1, 8))::BIGINT % {BUCKETS} AS b_ FROM h0),
 c AS (SELECT count(*)::BIGINT AS n, greatest(1, floor(sqrt(count(*))))::BIGINT AS s FROM h),
 f AS MATERIALIZED (SELECT n, a, (n + a - 1) // a AS b FROM c, unnest(range(s, 2 * s + 2)) AS t(a) ORDER BY (n + a - 1) // a * a - n, a LIMIT 1),
 r AS MATERIALIZED (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY b_, doc_id NULLS FIRST, text_crc32, size) - 1 AS i FROM h),
