@@ -12,12 +12,12 @@ documents that are left, as closely as any choice of them can. The result is a n
 for every length, so the work depends on the lengths that occur and not on the documents.
 
 *Choice.* Within a source and length the documents are taken in the order of a seeded hash of
-doc_id. Ranks come from counts of 256 hash ranges, so that a length which a third of all documents
+doc_id (of the text where there is none). Ranks come from counts of 256 hash ranges, so that a length which a third of all documents
 share is ranked in 256 tasks and not in one.
 
 Defined results: null and blank texts have size 0, take nothing and belong to their source; null
-sources are one source; repeated rows are documents of their own; an empty table gives no rows;
-extra columns are ignored, or kept as they are by ``mixed_rows``.
+sources are one source; sources of other types count by their text; very long texts count by their
+size; repeated rows are documents of their own; an empty table gives no rows; extra columns are ignored, or kept as they are by ``mixed_rows``.
 """
 
 from __future__ import annotations
@@ -107,8 +107,13 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_budget: int = DP_
 
 def _measured(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, source, size, th_ and o_ (the seeded order) of every row."""
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("th_"), order.alias("o_"))
+    order = _order(seed, F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("th_"), order.alias("o_"))
+
+
+def _order(seed: int, doc_id: Column, text: Column) -> Column:
+    """The seeded order of documents; those without doc_id go by their texts."""
+    return F.when(doc_id.isNull(), F.xxhash64(F.lit(seed), text)).otherwise(F.xxhash64(F.lit(seed), doc_id))
 
 
 def _range(order: Column) -> Column:
@@ -183,9 +188,9 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     if plan.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS:
         plan = F.broadcast(plan)
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
-    order = F.xxhash64(F.lit(seed), F.col("row_.doc_id"))
+    order = _order(seed, F.col("row_.doc_id"), F.col("row_.text"))
     own = own.withColumns({"n_": F.size(words(F.col("row_.text"))).cast("long"), "own_": F.struct(_range(order).alias("b_"), order.alias("o_"), F.col("row_.doc_id").alias("doc_id"), F.xxhash64("row_.text").alias("th_"))})
-    joined = own.join(plan, F.col("row_.source").eqNullSafe(F.col("source_")) & (F.col("n_") == F.col("size_")))
+    joined = own.join(plan, F.col("row_.source").cast("string").eqNullSafe(F.col("source_")) & (F.col("n_") == F.col("size_")))
     first = F.coalesce(F.col("own_") <= F.col("last_"), F.lit(False))
     shared = F.coalesce((F.col("own_") == F.col("last_")) & (F.col("taken_") < F.col("rows_")), F.lit(False))
     joined = joined.withColumns({"times_": F.col("epochs") + first.cast("int"), "shared_": shared})
