@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lanternq.llm.common import text_or_empty, written
 
@@ -154,6 +155,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE,
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     doc_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
     schema = f"doc_id {doc_type}, item_id {item_type}, score double, first_word long, end_word long"
+    kinds = (to_arrow_type(benchmark.schema["item_id"].dataType), pa.float64(), pa.int64(), pa.int64())
     out = None
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
@@ -172,21 +174,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE,
                     for item, score, first, end in leaks_in(words_of(column[i].as_py()), items_, seeds_, sizes_, threshold):
                         at.append(i)
                         rest.append((items_[item].item_id, score, first, end))
-                names = ("item_id", "score", "first_word", "end_word")
-                data = [ids.take(pa.array(at, pa.int64())), *[pa.array([r[k] for r in rest], None if rest else pa.null()) for k in range(4)]]
-                yield pa.RecordBatch.from_arrays(data, ["doc_id", *names]).cast(_arrow(schema_))
+                data = [ids.take(pa.array(at, pa.int64())), *[pa.array([r[k] for r in rest], kind) for k, kind in enumerate(kinds)]]
+                yield pa.RecordBatch.from_arrays(data, ["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        schema_ = (doc_type, item_type)
         found = texts.mapInArrow(searched, schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _arrow(kinds: tuple[str, str]) -> pa.Schema:
-    named = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}
-    return pa.schema([("doc_id", named[kinds[0]]), ("item_id", named[kinds[1]]), ("score", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())])
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns as they were. Rows are told apart by
     doc_id and text, so a clean row stays where another row of its doc_id leaks."""

@@ -1,8 +1,8 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 *Safe boundaries.* The pre-tokenizer of a byte-level BPE never puts white space after other characters
-into one piece, so a text may be cut before every run of white space without changing its tokens. Parts that are still longer than ``LONG_BYTES`` (scripts without spaces, minified code) are also
-cut where a letter or digit meets a sign that only ever begins a piece; signs that occur in a special
+into one piece, so a text may be cut before every run of white space without changing its tokens.
+Parts that are still long (``LONG_BYTES``; scripts without spaces, minified code) are also cut where a letter or digit meets a sign that only ever begins a piece; signs that occur in a special
 string of the vocabulary never count. What has no boundary at all stays whole, as the library needs it.
 
 *Batches.* The texts of Arrow batches are pooled up to ``POOL_BYTES``, a longer text in several pools. The
