@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lanternq.llm import chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, tokens, url_filter
+from lanternq.llm import chat, classifier, decontaminate, mixing, quality_rules, sharding, simhash, tokens, url_filter
 from lanternq.llm.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,10 +64,28 @@ def test_rule_order_does_not_change_the_verdict(spark):
     assert len(verdicts) == 1
 
 
-def test_cascade_orders_by_rejections_per_cost():
+def test_cascade_orders_by_what_is_left_per_cost():
     r = quality_rules.RULES
-    e = [quality_rules.Estimate(r[0], 1.0, 0.5), quality_rules.Estimate(r[1], 0.1, 0.2), quality_rules.Estimate(r[2], 1.0, 0.0)]
-    assert quality_rules.ordered(e) == [r[1], r[0], r[2]]
+    e = [quality_rules.Estimate(r[k], cost, 0.5) for k, cost in enumerate((1.0, 0.25, 1.0, 1.0))]
+    # The first rule rejects most, but nearly all of that is rejected by the second, which is cheap.
+    outcomes = {(True, True, False, False): 40, (True, False, False, False): 5, (False, False, True, False): 10, (False, False, False, False): 45}
+    assert quality_rules.ordered(e, outcomes) == [r[1], r[2], r[0], r[3]]
+
+
+def test_lazy_cascade_gives_the_verdict_of_the_report(spark):
+    d, rows = awkward(spark)
+    rng = random.Random(8)
+    more = [(100 + k, "\n".join(" ".join(rng.choice(["word", "b", "c d", "d#!", "E", "f$$", "xylophone", str(rng.randrange(99))]) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 9))), "z") for k in range(60)]
+    more += [(200 + k, " ".join(f"plain{j}{k}" for j in range(60)), "z") for k in range(9)]
+    d = d.unionByName(docs_of(spark, more))
+    report = sorted((str(r["doc_id"]) for r in quality_rules.quality_report(d).where("kept").collect()))
+    for order in (None, [*reversed((*quality_rules.BASE, *quality_rules.RULES))]):
+        if order is None:
+            kept = quality_rules.keep_good(d)
+        else:
+            kept = quality_rules.with_rejection(d.select(F.struct(*d.columns).alias("row_"), "text"), order).where("rejected_by IS NULL").select("row_.*")
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == report and kept.columns == d.columns
+    assert 5 < len(report) < len(more)
 
 
 def test_keep_good_passes_columns_through(spark):
@@ -254,16 +272,22 @@ def test_mixing_report(spark):
     for _, t, s in [*rows, *more]:
         size[s] += len(words(t))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([size[s] for s in order])))
+    # Water filling by bisection, not by the code under test: every source gets the least of its cap and its weight's share.
+    weight, low, high = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}, 0.0, float(sum(size.values()))
+    for _ in range(200):
+        unit = (low + high) / 2
+        low, high = (unit, high) if sum(min(3 * size[s], unit * weight[s]) for s in order) < sum(size.values()) else (low, unit)
+    want = {s: min(3.0 * size[s], high * weight[s]) for s in order}
     taken, targets = collections.Counter(), {}
-    by_target = {round(w, 6): s for s, w in want.items()}
+    by_target = {round(w, 3): s for s, w in want.items()}
     for r in got:
-        s = by_target[round(r["target"], 6)]
+        s = by_target[round(r["target"], 3)]
         taken[s] += r["taken"]
         targets[s] = r["target"]
         assert r["source_size"] == size[s]
     for s in order:
-        assert abs(taken[s] - want[s]) <= max(40, 0.01 * want[s]) or s == "b"  # b is mostly one document of 20,000 words
+        own = [len(words(t)) for _, t, x in [*rows, *more] if x == s]  # as near as its documents allow: b is mostly one of 20,000 words
+        assert abs(taken[s] - want[s]) <= max(own) / 2 + 1
     repeated = mixing.mixed_rows(d)
     assert repeated.columns == d.columns
     assert sum(len(words(r["text"])) for r in repeated.select("text").collect()) == sum(r["taken"] for r in got)
@@ -317,50 +341,3 @@ def test_classifier_edges(spark):
     assert {r["predicted"] for r in classifier.quality_scores(d, one).collect()} == {1}
     assert {r["score"] for r in classifier.quality_scores(d, one.limit(0)).collect()} == {0.5}
     assert classifier.quality_scores(d.limit(0), one).count() == 0
-
-
-def test_surrogates(spark):
-    key = b"k"
-    text = "Mail Ann.21@mail4.example.com or ann.21@MAIL4.example.com, call +1 (640) 555-0953 or 640-555-0953!! pay 4111111111111111 from 64.147.79.24. token = \"9c8b45435718dcc700c184a7e303cdc64c6a0011\" Mrs Mary Smith and Mr. Smith, Herr Петров."
-    rows = [(1, text, "s"), (2, "again ann.21@mail4.example.com and Mr Smith", "s"), (3, None, "s"), (4, "", "s"), (5, "nothing here 12 of 2024", "s"), (6, "+1### (640)$$$ 555-0953%%%", "s")]
-    got = {r["doc_id"]: r for r in pii.pseudonymized(docs_of(spark, rows), key).collect()}
-    new = got[1]["text"]
-    for secret in ("ann.21", "Ann.21", "555-0953", "4111111111111111", "64.147.79.24", "9c8b4543", "Mary", "Smith", "Петров"):
-        assert secret not in new
-    assert [got[1][f"n_{k}"] for k in pii.TYPES] == [2, 2, 1, 1, 1, 3]
-    mails = re.findall(r"[\w.]+@[\w.]+", new)
-    assert mails[0].lower() == mails[1].lower() and mails[0][0].isupper() and mails[0].lower() in got[2]["text"]
-    surname = re.search(r"Mrs (\w+) (\w+) and Mr\. (\w+), Herr (\w+)\.", new)
-    assert surname[2] == surname[3] and f"Mr {surname[2]}" in got[2]["text"] and surname[1].lower() in pii.GIVEN[("f", "latin")] and pii.script_of(surname[4].lower()) == "cyrillic"
-    card = re.search(r"pay (\d{16})", new)[1]
-    assert pii.luhn(card[:-1]) == int(card[-1])
-    phones = re.findall(r"\+1 \((\d{3})\) (\d{3})-(\d{4})|(\d{3})-(\d{3})-(\d{4})", new)
-    assert phones[0][:3] == phones[1][3:] and "".join(phones[0][:3]) == "".join(re.findall(r"\d", got[6]["text"]))[1:]
-    assert got[3]["text"] is None and got[4]["text"] == "" and got[5]["text"] == rows[4][1]
-    assert pii.pseudonymized(docs_of(spark, rows), key).where("doc_id = 1").first()["text"] == new
-    assert pii.pseudonymized(docs_of(spark, rows), b"other").where("doc_id = 1").first()["text"] != new
-    assert pii.pseudonymized(docs_of(spark, rows).limit(0), key).count() == 0
-
-
-def test_surrogates_stay_distinct_under_collisions(spark):
-    forms = [f"{a}{b}" for a in "bcdf" for b in "aeiou"]  # a small format: candidates often hit real entities
-    found = spark.createDataFrame([("surname", f) for f in forms] + [("secret", "0123456789abcdef" * 2)], "kind string, form string")
-    later = {r["form"]: r["new"] for r in pii.collided(found, b"k").collect()}
-    final = {f: later.get(f) or pii.surrogate("surname", f, b"k") for f in forms}
-    assert later and len(set(final.values())) == len(forms) and not set(final.values()) & set(forms)
-
-
-def test_format_permutation_is_one():
-    got = {tuple(pii.permute_digits([a, b, c], [3, 4, 5], b"k", "x")) for a in range(3) for b in range(4) for c in range(5)}
-    assert len(got) == 60
-
-
-def test_pii_full_formats_give_no_surrogate_twice(spark):
-    rows = [("given-m", n) for n in ("john", "mark", "paul", "hans", "karl")] + [("surname", c) for c in "aeiouy"]
-    found = spark.createDataFrame(rows, "kind string, form string")
-    later = {(r["kind"], r["form"]): r["new"] for r in pii.collided(found, b"k", tweaks=3).collect()}
-    final = {e: later.get(e) or pii.surrogate(*e, b"k") for e in rows}
-    for kind in ("given-m", "surname"):
-        own = [new for (k, _), new in final.items() if k == kind]
-        assert len(set(own)) == len(own) and not set(own) & {f for k, f in rows if k == kind}
-    assert pii.written_back("John", "john", "xajohn", "given-m") == "Xajohn"
