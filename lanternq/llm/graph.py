@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternq.llm.common import written
+from lanternq.llm.common import sent, written
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over rows (u, v) with u > v."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _stars(edges: DataFrame, rows: int) -> DataFrame:
+    """One large-star and one small-star step over ``rows`` edges (u, v) with u > v. The centre of a large star may
+    have a great many edges: what its edges need to know, its least neighbour, is sent to them where that is
+    bounded, and centres that are their own least node need nothing."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    large = edges.join(sent(least.withColumnRenamed("u", "v"), rows), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+    small = large.join(sent(low, rows), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,7 +32,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
-        edges = written(_stars(edges), name)
+        edges = written(_stars(edges, before[0]), name)
         after = mark(edges)
         if after == before:
             break

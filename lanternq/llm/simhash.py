@@ -48,6 +48,8 @@ RADIUS = 4
 #: Fingerprints in a tile, and in the runs that a task sorts a tile into.
 TILE_ROWS = 32_768
 RUN_ROWS = 32
+#: Small inputs are cut into so many tiles, so that all cores have tiles to compare.
+LEAST_TILES = 16
 #: Fingerprints that one run is compared with at a time; the block stays in a core's cache.
 BLOCK = 4096
 #: Near duplicates by similarity: bits of 128 in which texts of that similarity differ at most, bits of the
@@ -139,27 +141,28 @@ def _bins(sizes: dict[int, int], tile_rows: int) -> list[tuple[int, int, int]]:
 
 def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, first: int | None = None) -> DataFrame:
     """Rows (a, b) that connect the ``nodes`` (id, words: an array of longs) whose words differ in ``radius`` bits
-    or fewer, and the first words in ``first`` or fewer."""
+    or fewer, and the first words in ``first`` or fewer. A tile is packed into one row before it is sent to the
+    tiles that it meets."""
     count = F.aggregate("words", F.lit(0), lambda s, x: s + F.bit_count(x).cast("int"))
     counted = nodes.select("id", "words", count.alias("count"))
     sizes = dict(counted.groupBy("count").count().collect())  # 65 rows a word at most
-    bins = _bins(sizes, tile_rows)
+    bins = _bins(sizes, max(1, min(tile_rows, sum(sizes.values()) // LEAST_TILES)))
     pairs = [(k, m) for k in range(len(bins)) for m in range(k, len(bins)) if bins[m][0] - bins[k][1] <= radius]
     kind = dict(nodes.dtypes)["id"]
     if not pairs:
         return nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    # A row meets, as the left side, the tiles of its own bin and of those above, and as the right side those below.
-    meets = [(own, k, m, bins[own][2], bins[o][2]) for k, m in pairs for own, o in dict.fromkeys(((k, m), (m, k)))]
-    plan = [(n, k, m, own_tiles, other) for own, k, m, own_tiles, other in meets for n in sizes if bins[own][0] <= n <= bins[own][1]]
-    plan = nodes.sparkSession.createDataFrame(plan, "count int, n int, m int, own_tiles int, other_tiles int")
+    # A tile meets, as the left side, those of its own bin and of the bins above, and as the right side those below.
+    meets = [(own, k, m, bins[o][2]) for k, m in pairs for own, o in dict.fromkeys(((k, m), (m, k)))]
+    plan = nodes.sparkSession.createDataFrame(meets, "bin int, n int, m int, other_tiles int")  # some thousand rows at most
     own_bin = F.coalesce(*[F.when(F.col("count") <= high, F.lit(k)) for k, (_, high, _) in enumerate(bins)])
-    rows = counted.join(F.broadcast(plan), "count")  # a row for each bit count and bin it meets, some thousands at most
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("own_tiles").cast("long")).cast("int"))
+    own_tiles = F.element_at(F.array(*[F.lit(tiles) for _, _, tiles in bins]), F.col("bin") + 1)
+    dealt = counted.withColumn("bin", own_bin).withColumn("own", F.pmod(F.xxhash64("id"), own_tiles.cast("long")).cast("int"))
+    tiles = dealt.groupBy("bin", "own").agg(F.collect_list(F.struct("id", "words")).alias("tile"))
+    rows = written(tiles, "simhash-tiles").join(F.broadcast(plan), "bin")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)))
-    is_left, within = own_bin == F.col("n"), F.col("n") == F.col("m")
+    is_left, within = F.col("bin") == F.col("n"), F.col("n") == F.col("m")
     rows = rows.select(
-        "id",
-        "words",
+        "tile",
         "n",
         "m",
         F.when(within, F.least("own", "other")).when(is_left, F.col("own")).otherwise(F.col("other")).alias("i"),
@@ -168,17 +171,17 @@ def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS, fi
     )
 
     def compared(key, table):
-        table = table.combine_chunks()
-        words = word_array(table.column("words"))
-        right = table.column("right").to_numpy(zero_copy_only=False)
+        sides = {}
+        for k in range(len(table)):
+            tile = table.column("tile")[k].values
+            sides[table.column("right")[k].as_py()] = (tile.field("id"), word_array(tile.field("words")))
+        names = pa.concat_arrays([sides[k][0] for k in sorted(sides)])
         if key[0].as_py() == key[1].as_py() and key[2].as_py() == key[3].as_py():
-            a, b = forest(words, None, radius, first)
-            names = table.column("id")
-        elif right.all() or not right.any():
-            return table.slice(0, 0).select(["id", "id"]).rename_columns(["a", "b"])
+            a, b = forest(sides[False][1], None, radius, first)
+        elif len(sides) < 2:
+            a = b = np.empty(0, np.int64)
         else:
-            a, b = forest(words[~right], words[right], radius, first)
-            names = table.column("id").take(pa.array(np.concatenate([np.flatnonzero(~right), np.flatnonzero(right)])))
+            a, b = forest(sides[False][1], sides[True][1], radius, first)
         return pa.table({"a": names.take(pa.array(a)), "b": names.take(pa.array(b))})
 
     return rows.groupBy("n", "m", "i", "j").applyInArrow(compared, f"a {kind}, b {kind}")
