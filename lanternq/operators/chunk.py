@@ -51,15 +51,17 @@ def _tokens(items: Column) -> Column:
 
 def _suffix(items: Column, most: Column) -> Column:
     """The longest end of ``items`` whose tokens add up to ``most`` or less."""
-    kept = F.aggregate(
-        F.reverse(items),
+    kept = lambda own: F.aggregate(
+        F.reverse(own),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("t"), F.lit(True).alias("go")),
         lambda a, x: F.when(a["go"] & (a["t"] + x["t"] <= most), F.struct((a["n"] + 1).alias("n"), (a["t"] + x["t"]).alias("t"), F.lit(True).alias("go"))).otherwise(
             F.struct(a["n"].alias("n"), a["t"].alias("t"), F.lit(False).alias("go"))
         ),
         lambda a: a["n"],
     )
-    return F.when(kept > 0, F.slice(items, F.size(items) - kept + 1, kept)).otherwise(F.array().cast(PIECES))
+    # Each argument is bound once; a lambda would evaluate what it is given again at every use.
+    ending = lambda own, n: F.when(n > 0, F.slice(own, F.size(own) - n + 1, n)).otherwise(F.array().cast(PIECES))
+    return F.transform(F.array(items), lambda own: F.transform(F.array(kept(own)), lambda n: ending(own, n))[0])[0]
 
 
 def packed(items: Column, budget: int, overlap: int) -> Column:

@@ -7,6 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternq.functions.text import overlap_joined
+from lanternq.operators.search import small
+
+#: Words inside a passage by which it meets the texts that may have it.
+SEED_WORDS = 3
+
+
+def _seeds(words: Column) -> Column:
+    """Hashes of the runs of SEED_WORDS words; ``words`` is evaluated once."""
+
+    def runs(w: Column) -> Column:
+        first = F.slice(w, F.lit(1), F.greatest(F.size(w) - SEED_WORDS + 1, F.lit(0)))
+        return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, SEED_WORDS)]))
+
+    return F.transform(F.array(words), runs)[0]
+
+
+def holding(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """``documents`` (doc, text) and ``passages`` (query_id, passage) where the text has the passage verbatim. They meet by
+    a hash of words inside the passage, which a text that has it has as words of its own; only passages of fewer
+    words are held against every text."""
+    words = F.split(F.btrim("passage"), r"\s+", -1)
+    asked = passages.withColumn("seed_", F.when(F.size(words) >= SEED_WORDS + 2, F.get(_seeds(F.slice(words, 2, SEED_WORDS)), F.lit(0))))
+    runs = documents.withColumn("seed_", F.explode(F.array_distinct(_seeds(F.split("text", r"\s+", -1)))))
+    found = runs.join(small(asked.where("seed_ IS NOT NULL")), "seed_").where(F.contains("text", "passage")).drop("seed_")
+    short = asked.where("seed_ IS NULL").drop("seed_")
+    if not short.limit(1).count():
+        return found
+    return found.unionByName(documents.join(small(short), F.contains("text", "passage")))
 
 
 def neighbors(chunks: DataFrame, wanted: DataFrame) -> DataFrame:

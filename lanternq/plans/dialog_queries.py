@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from lanternq.operators import dialog as D
 from lanternq.operators import events as E
-from lanternq.operators import index
+from lanternq.operators import index, passages
 from lanternq.plans.registry import query, table
 from lanternq.plans.retrieval_queries import lines
 from lanternq.sources.tables import materialized
 
 
-def registry(spark, sf):
-    """Every third document, some of them failed."""
-    d = table(spark, sf, "documents").where("doc_id % 3 = 0")
+def registry(spark, sf, where="true"):
+    """The documents, some of them failed. Queries that add to a registry start from a part of it (``where``)."""
+    d = table(spark, sf, "documents").where(where)
     status = F.when(F.col("doc_id") % 2 == 0, "ready").when(F.col("doc_id") % 5 == 0, "failed").otherwise("processing")
     return d.select(
         F.col("doc_id").alias("id"), F.sha2("text", 256).alias("hash"), F.col("source").alias("title"), F.concat("source", F.lit(".txt")).alias("filename"),
@@ -22,22 +22,24 @@ def registry(spark, sf):
     )
 
 
-_R = "rg AS (SELECT doc_id AS id, sha256(text) AS hash, source AS title, source || '.txt' AS filename, NULL::INTEGER AS pages, (doc_id % 4)::INTEGER AS chunk_count, CASE WHEN doc_id % 2 = 0 THEN 'ready' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'processing' END AS status, NULL::VARCHAR AS error FROM documents WHERE doc_id % 3 = 0)"
+_PART = "doc_id % 3 = 0"
+_R = "rg AS (SELECT doc_id AS id, sha256(text) AS hash, source AS title, source || '.txt' AS filename, NULL::INTEGER AS pages, (doc_id % 4)::INTEGER AS chunk_count, CASE WHEN doc_id % 2 = 0 THEN 'ready' WHEN doc_id % 5 = 0 THEN 'failed' ELSE 'processing' END AS status, NULL::VARCHAR AS error FROM documents)"
+_RP = _R.replace("FROM documents)", f"FROM documents WHERE {_PART})")
 
 
-@query(f"WITH {_R} SELECT doc_id, hash FROM (SELECT doc_id, sha256(text) AS hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND hash NOT IN (SELECT hash FROM rg WHERE status <> 'failed')")
+@query(f"WITH {_RP} SELECT doc_id, hash FROM (SELECT doc_id, sha256(text) AS hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1 AND hash NOT IN (SELECT hash FROM rg WHERE status <> 'failed')")
 def register_dedupe(spark, sf):
     incoming = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("hash"), F.col("doc_id").alias("order"))
-    return index.to_register(incoming, registry(spark, sf)).select("doc_id", "hash")
+    return index.to_register(incoming, registry(spark, sf, _PART)).select("doc_id", "hash")
 
 
-@query(f"WITH {_R}, ch AS (SELECT doc_id AS id, 'new ' || lang AS title, 'other.txt' AS filename, 7 AS pages, 9 AS chunk_count, 'ready' AS status, NULL AS error FROM documents WHERE doc_id % 4 = 0) SELECT coalesce(rg.id, ch.id) AS id, coalesce(ch.title, rg.title) AS title, coalesce(rg.filename, ch.filename) AS filename, CASE WHEN ch.id IS NULL THEN rg.pages ELSE ch.pages END AS pages, coalesce(ch.chunk_count, rg.chunk_count) AS chunk_count, coalesce(ch.status, rg.status) AS status FROM rg FULL JOIN ch ON rg.id = ch.id")
+@query(f"WITH {_RP}, ch AS (SELECT doc_id AS id, 'new ' || lang AS title, 'other.txt' AS filename, 7 AS pages, 9 AS chunk_count, 'ready' AS status, NULL AS error FROM documents WHERE doc_id % 4 = 0) SELECT coalesce(rg.id, ch.id) AS id, coalesce(ch.title, rg.title) AS title, coalesce(rg.filename, ch.filename) AS filename, CASE WHEN ch.id IS NULL THEN rg.pages ELSE ch.pages END AS pages, coalesce(ch.chunk_count, rg.chunk_count) AS chunk_count, coalesce(ch.status, rg.status) AS status FROM rg FULL JOIN ch ON rg.id = ch.id")
 def doc_upsert(spark, sf):
     changes = table(spark, sf, "documents").where("doc_id % 4 = 0").select(
         F.col("doc_id").alias("id"), F.lit("h").alias("hash"), F.concat(F.lit("new "), "lang").alias("title"), F.lit("other.txt").alias("filename"),
         F.lit(7).alias("pages"), F.lit(9).alias("chunk_count"), F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error"),
     )
-    return index.upserted(registry(spark, sf), changes).select("id", "title", "filename", "pages", "chunk_count", "status")
+    return index.upserted(registry(spark, sf, _PART), changes).select("id", "title", "filename", "pages", "chunk_count", "status")
 
 
 _L = "li AS (SELECT doc_id || ':' || (n - 1) AS id, doc_id AS document_id, n - 1 AS idx, l[n] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
@@ -60,19 +62,17 @@ def delete_cascade(spark, sf):
     return index.without_documents(_chunks(spark, sf), gone).select("id", "document_id", "idx")
 
 
-@query(f"WITH {_R} SELECT id, status FROM rg WHERE hash IN (SELECT sha256(text) FROM documents WHERE doc_id < 30)")
+@query(f"WITH {_R} SELECT id, status FROM rg WHERE hash IN (SELECT sha256(text) FROM documents)")
 def find_by_hash(spark, sf):
-    wanted = table(spark, sf, "documents").where("doc_id < 30").select(F.sha2("text", 256).alias("hash")).distinct()
+    wanted = table(spark, sf, "documents").select(F.sha2("text", 256).alias("hash")).distinct()
     return registry(spark, sf).join(wanted, "hash", "left_semi").select("id", "status")
 
 
-@query(f"WITH {_R} SELECT id, title, row_number() OVER (ORDER BY id * 7919 % 1009 DESC, id) AS n FROM rg")
+@query(f"WITH {_R} SELECT id, title, status, chunk_count FROM rg")
 def list_documents(spark, sf):
-    """The registry, newest first (creation times stand in as a number from the id)."""
-    from pyspark.sql import Window as W
-
-    newest = F.row_number().over(W.orderBy(F.desc(F.col("id") * 7919 % 1009), "id"))
-    return registry(spark, sf).select("id", "title", newest.cast("long").alias("n"))
+    """The registry, newest first (creation times stand in as a number from the id); the order is a range-partitioned
+    sort, not a number in one task."""
+    return registry(spark, sf).orderBy(F.desc(F.col("id") * 7919 % 1009), "id").select("id", "title", "status", "chunk_count")
 
 
 @query(f"WITH {_L} SELECT id, document_id, idx, text FROM li")
@@ -143,7 +143,8 @@ def turn_reduce(spark, sf):
 
 
 def _citations(spark, sf):
-    rows = table(spark, sf, "conversations").where("role = 'user' AND conv_id % 4 <> 1")
+    """Every user row cites a passage; some passages are not among the four sources."""
+    rows = table(spark, sf, "conversations").where("role = 'user'")
     return rows.select(F.col("conv_id").alias("turn_id"), F.col("turn").alias("pos"), (F.length("text") % 5).cast("long").alias("passage"), F.floor(F.col("turn") / 4).cast("long").alias("block"))
 
 
@@ -151,7 +152,7 @@ def _sources(spark, sf):
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("turn_id")).distinct().withColumn("id", F.explode(F.array(*[F.lit(x).cast("long") for x in range(4)])))
 
 
-_CS = """ci AS (SELECT conv_id AS turn_id, turn AS pos, length(text) % 5 AS passage, turn // 4 AS block FROM conversations WHERE role = 'user' AND conv_id % 4 <> 1),
+_CS = """ci AS (SELECT conv_id AS turn_id, turn AS pos, length(text) % 5 AS passage, turn // 4 AS block FROM conversations WHERE role = 'user'),
 so AS (SELECT DISTINCT conv_id AS turn_id, id FROM conversations, range(4) AS r(id)),
 fi AS (SELECT turn_id, passage, row_number() OVER (PARTITION BY turn_id ORDER BY min(pos)) AS n FROM ci GROUP BY turn_id, passage),
 cs AS (SELECT fi.turn_id, passage AS source, n FROM fi JOIN so ON so.turn_id = fi.turn_id AND so.id = passage UNION ALL SELECT turn_id, id, id + 1 FROM so WHERE turn_id NOT IN (SELECT turn_id FROM fi))"""
@@ -172,31 +173,33 @@ def citation_markers(spark, sf):
 
 @query()
 def citation_highlight(spark, sf):
-    """Two quotes of each benchmark passage found again in the documents that hold it."""
-    pairs = table(spark, sf, "documents").join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("p"))), F.contains("text", F.left("p", F.lit(60))))
-    quotes = F.array(F.left("p", F.lit(40)), F.substring("p", 20, 40))
+    """Each benchmark passage, as quotes of 40 characters one after the other, found again in the documents that hold it."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
+    pairs = passages.holding(documents, table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
+    pairs = pairs.select(F.col("doc").alias("doc_id"), F.col("query_id").alias("item_id"), "text", "passage")
+    quotes = F.transform(F.sequence(F.lit(0), F.floor((F.length("passage") - 1) / 40).cast("int")), lambda i: F.substring(F.col("passage"), i * 40 + 1, F.lit(40)))
     return pairs.select("doc_id", "item_id", F.explode(E.highlighted(F.col("text"), quotes)).alias("s")).select("doc_id", "item_id", "s.start", "s.end")
 
 
 def _plan_json():
     return (
         F.when(F.col("conv_id") % 5 == 0, F.lit("{broken"))
-        .otherwise(F.to_json(F.struct((F.col("conv_id") % 3 != 0).alias("needs_retrieval"), F.left("text", F.lit(30)).alias("standalone_question"), F.array(*[F.concat(F.lit(f"q{i} "), "lang_") for i in range(4)]).alias("search_queries"), F.when(F.col("conv_id") % 2 == 0, "hello").alias("reply"))))
+        .otherwise(F.to_json(F.struct((F.col("conv_id") % 3 != 0).alias("needs_retrieval"), F.col("text").alias("standalone_question"), F.array(*[F.concat(F.lit(f"q{i} "), "lang_") for i in range(4)]).alias("search_queries"), F.when(F.col("conv_id") % 2 == 0, "hello").alias("reply"))))
     )
 
 
 def _turns(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user' AND turn <= 1").withColumn("lang_", (F.col("conv_id") % 4).cast("string")).withColumn("json", _plan_json())
+    return table(spark, sf, "conversations").where("role = 'user'").withColumn("lang_", (F.col("conv_id") % 4).cast("string")).withColumn("json", _plan_json())
 
 
-@query("SELECT conv_id, turn, conv_id % 5 <> 0 AS valid, CASE WHEN conv_id % 5 <> 0 THEN left(text, 30) END AS question, CASE WHEN conv_id % 5 <> 0 THEN 4 END AS n FROM conversations WHERE role = 'user' AND turn <= 1")
+@query("SELECT conv_id, turn, conv_id % 5 <> 0 AS valid, CASE WHEN conv_id % 5 <> 0 THEN text END AS question, CASE WHEN conv_id % 5 <> 0 THEN 4 END AS n FROM conversations WHERE role = 'user'")
 def json_plan_parse(spark, sf):
     rows = _turns(spark, sf).withColumn("plan", D.parsed_plan(F.col("json")))
     return rows.select("conv_id", "turn", F.col("plan").isNotNull().alias("valid"), F.col("plan.standalone_question").alias("question"), F.when(F.col("plan").isNotNull(), F.size("plan.search_queries")).alias("n"))
 
 
-@query("""SELECT turn_id, route, CASE WHEN route = 'chitchat' THEN '' WHEN conv_id % 5 = 0 THEN text ELSE concat_ws(' / ', left(text, 30), 'q0 ' || conv_id % 4, 'q1 ' || conv_id % 4, 'q2 ' || conv_id % 4) END AS asked FROM (SELECT conv_id, text, conv_id || ':' || turn AS turn_id,
-CASE WHEN conv_id % 13 = 0 THEN 'chitchat' WHEN conv_id % 5 = 0 THEN 'retrieve' WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'chitchat' ELSE 'retrieve' END AS route FROM conversations WHERE role = 'user' AND turn <= 1)""")
+@query("""SELECT turn_id, route, CASE WHEN route = 'chitchat' THEN '' WHEN conv_id % 5 = 0 THEN text ELSE concat_ws(' / ', text, 'q0 ' || conv_id % 4, 'q1 ' || conv_id % 4, 'q2 ' || conv_id % 4) END AS asked FROM (SELECT conv_id, text, conv_id || ':' || turn AS turn_id,
+CASE WHEN conv_id % 13 = 0 THEN 'chitchat' WHEN conv_id % 5 = 0 THEN 'retrieve' WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'chitchat' ELSE 'retrieve' END AS route FROM conversations WHERE role = 'user')""")
 def plan_queries(spark, sf):
     rows = _turns(spark, sf).select(F.concat("conv_id", F.lit(":"), "turn").alias("turn_id"), F.col("text").alias("question"), (F.col("conv_id") % 13 != 0).alias("ready"), D.parsed_plan(F.col("json")).alias("plan"))
     return D.planned(rows).select("turn_id", "route", F.array_join("queries", " / ").alias("asked"))

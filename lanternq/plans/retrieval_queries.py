@@ -94,12 +94,12 @@ dq0 AS (SELECT query_id, {MD5.format(256)} AS b, sum(1 + ln(tf)) AS w FROM qp GR
 ds AS (SELECT query_id, chunk_id, round(sum(dx.w * dq.w), 6) AS score FROM dq JOIN dx USING (b) GROUP BY ALL)"""
 
 
-@query(f"WITH {_P}, {_SPARSE} SELECT query_id, chunk_id, score FROM ss WHERE chunk_id % 10 = query_id % 10")
+@query(f"WITH {_P}, {_SPARSE} SELECT query_id, chunk_id, score FROM ss")
 def sparse_dot(spark, sf):
-    """Sparse products of the question and document pairs whose last digits agree."""
+    """Sparse products of all pairs of question and document that share a bucket."""
     posts = lambda rows: index.hashed_sparse(index.postings(rows))
     q = posts(questions(spark, sf)).withColumnRenamed("chunk_id", "query_id")
-    return search.sparse_scores(q, posts(chunks(spark, sf))).withColumn("score", F.round("score", 6)).where("chunk_id % 10 = query_id % 10")
+    return search.sparse_scores(q, posts(chunks(spark, sf))).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_P}, {_SPARSE} SELECT * FROM {_top('ss', 10)}")
@@ -342,7 +342,7 @@ def passage_order(spark, sf):
 def qrels(spark, sf):
     """Documents that hold a benchmark passage verbatim (grade 2) or are of its language by length parity (grade 0)."""
     d, b = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    return d.join(search.small(b)).where(F.contains("text", "passage")).select("query_id", "doc", (F.col("doc") % 3).cast("int").alias("grade"))
+    return passages.holding(d, b).select("query_id", "doc", (F.col("doc") % 3).cast("int").alias("grade"))
 
 
 _QRELS = "qr AS (SELECT item_id AS query_id, doc_id AS doc, (doc_id % 3)::INTEGER AS grade FROM documents d, benchmark b WHERE contains(d.text, b.text))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lanternq.functions import text as T
 from lanternq.functions.vectors import portable_bucket
 from lanternq.operators import chunk as C
+from lanternq.operators.search import small
 from lanternq.plans.registry import query, table
 from lanternq.sources import parse as P
 
@@ -82,16 +83,18 @@ def passage_location(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.location(F.col("doc_id") % 4, F.col("doc_id") % 5, F.when(F.col("lang") != "fr", F.col("lang"))).alias("location"))
 
 
-@query("SELECT doc_id, CASE WHEN n IS NULL THEN l || chr(10) || chr(10) || r ELSE l || substr(r, n + 1) END AS joined FROM (SELECT *, list_filter(range(least(length(l), length(r), 2000), 20, -1), lambda k: ends_with(l, left(r, k)))[1] AS n FROM (SELECT doc_id, left(text, 400) AS l, substr(text, 300 + (doc_id % 150)::INTEGER, 300) AS r FROM documents))")
+@query("SELECT doc_id, CASE WHEN n IS NULL THEN l || chr(10) || chr(10) || r ELSE l || substr(r, n + 1) END AS joined FROM (SELECT *, list_filter(range(least(length(l), length(r), 2000), 20, -1), lambda k: ends_with(l, left(r, k)))[1] AS n FROM (SELECT doc_id, left(text, h) AS l, substr(text, greatest(h - o, 0) + 1) AS r FROM (SELECT doc_id, text, length(text) // 2 AS h, doc_id * 37 % 2200 AS o FROM documents)))")
 def join_overlap(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", T.overlap_joined(F.left("text", F.lit(400)), F.substring(F.col("text"), (F.col("doc_id") % 150).cast("int") + 300, F.lit(300))).alias("joined"))
+    """Each whole text cut in its middle, the second half beginning up to 2,200 characters before the cut."""
+    half, back = F.floor(F.length("text") / 2).cast("int"), (F.col("doc_id") * 37 % 2200).cast("int")
+    d = table(spark, sf, "documents").select("doc_id", F.left("text", half).alias("l"), F.substring(F.col("text"), F.greatest(half - back, F.lit(0)) + 1, F.length("text")).alias("r"))
+    return d.select("doc_id", T.overlap_joined(F.col("l"), F.col("r")).alias("joined"))
 
 
-@query("SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda w: struct_pack(p := list_position(t, w), w := w))), lambda x: x.w), ' / ') AS asked FROM (SELECT conv_id, list_filter(list_transform(list(left(text, 12) || '  ' ORDER BY turn), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') || ['x'] AS t FROM conversations GROUP BY conv_id)")
+@query("SELECT conv_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda w: struct_pack(p := list_position(t, w), w := w))), lambda x: x.w), ' / ') AS asked FROM (SELECT conv_id, list_filter(list_transform(list(text || '  ' ORDER BY turn), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') || ['x'] AS t FROM conversations GROUP BY conv_id)")
 def query_dedupe(spark, sf):
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    asked = F.concat(F.transform("l", lambda x: F.concat(F.left(x["text"], F.lit(12)), F.lit("  "))), F.array(F.lit(" "), F.lit(" x "), F.lit("x")))
+    asked = F.concat(F.transform("l", lambda x: F.concat(x["text"], F.lit("  "))), F.array(F.lit(" "), F.lit(" x "), F.lit("x")))
     return rows.select("conv_id", F.array_join(T.deduplicated_queries(asked), " / ").alias("asked"))
 
 
@@ -104,7 +107,8 @@ def hash_bucket(spark, sf):
 @query(f"SELECT doc_id, item_id, round(CASE WHEN len(u) = 0 THEN 0 ELSE len(i) / len(u) END, 6) AS jaccard, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(i) / len(q) END, 6) AS overlap FROM (SELECT doc_id, item_id, q, list_distinct(list_intersect(q, t)) AS i, list_distinct(q || t) AS u FROM (SELECT doc_id, list_distinct({TERMS.format('text')}) AS t FROM documents) d, (SELECT item_id, list_distinct({TERMS.format('text')}) AS q FROM benchmark) b)")
 def jaccard_terms(spark, sf):
     terms = lambda name, id_, out: table(spark, sf, name).select(id_, F.array_distinct(T.simple_terms(F.col("text"))).alias(out))
-    pairs = terms("documents", "doc_id", "t").crossJoin(F.broadcast(terms("benchmark", "item_id", "q")))
+    asked = terms("benchmark", "item_id", "q")
+    pairs = terms("documents", "doc_id", "t").join(small(asked))  # all questions against all documents
     return pairs.select("doc_id", "item_id", F.round(T.jaccard(F.col("q"), F.col("t")), 6).alias("jaccard"), F.round(T.overlap_share(F.col("q"), F.col("t")), 6).alias("overlap"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -23,17 +25,24 @@ def chunks_of_texts(docs: DataFrame, budget: int = 320, overlap: int = 48) -> Da
 
 def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = "doc_id long, text string"):
     """Starts a query that reads Parquet files as they arrive in ``source`` and appends the chunks of texts not
-    ingested before to ``target``. A batch that is run again writes the same folder again."""
+    ingested before to ``target``. A batch that is run again writes its own folder again and ignores the hashes
+    of its first attempt; a new checkpoint adds folders of its own and skips what earlier ones ingested."""
+    run = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def batch(df: DataFrame, number: int) -> None:
         rows = df.withColumn("hash", content_hash(F.col("text"))).dropDuplicates(["hash"])
-        seen = spark.read.schema("hash string").parquet(f"{target}/hashes") if number else None
-        if seen is not None:
-            rows = rows.join(seen.where(F.col("hash").isNotNull()), "hash", "left_anti")
+        try:
+            seen = spark.read.schema("hash string, run string, batch long").parquet(f"{target}/hashes")
+        except AnalysisException as missing:  # nothing ingested yet
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            earlier = seen.where((F.col("run") != run) | (F.col("batch") != number)).select("hash")
+            rows = rows.join(earlier.distinct(), "hash", "left_anti")
         rows = rows.persist()
         try:
-            chunks_of_texts(rows).write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
-            rows.select("hash").write.mode("overwrite").parquet(f"{target}/hashes/batch={number}")
+            chunks_of_texts(rows).write.mode("overwrite").parquet(f"{target}/chunks/run={run}/batch={number}")
+            rows.select("hash").write.mode("overwrite").parquet(f"{target}/hashes/run={run}/batch={number}")
         finally:
             rows.unpersist()
 

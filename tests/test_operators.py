@@ -156,3 +156,42 @@ def test_stream_conversation_state(spark, tmp_path):
     q = conversation_state(stream).writeStream.outputMode("update").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r["conv_id"], r["n_messages"], r["last_role"]) for r in spark.sql("select * from states").collect()} == {(1, 2, "assistant"), (2, 1, "user")}
+
+
+def test_stream_batch_that_runs_again_keeps_its_chunks(spark, tmp_path):
+    import os
+
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "state"))
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    count = lambda: spark.read.parquet(f"{target}/chunks").count()
+    put([(1, "One text. With two sentences.")])
+    stream_ingest(spark, source, target, checkpoint).awaitTermination()
+    put([(2, "Another text."), (3, "One text. With two sentences.")])
+    stream_ingest(spark, source, target, checkpoint).awaitTermination()
+    assert count() == 2
+    for name in ("1", ".1.crc"):  # as if the second batch had been cut off before its commit
+        path = f"{checkpoint}/commits/{name}"
+        if os.path.exists(path):
+            os.remove(path)
+    stream_ingest(spark, source, target, checkpoint).awaitTermination()
+    assert count() == 2
+    stream_ingest(spark, source, target, f"{checkpoint}-new").awaitTermination()  # all known
+    assert count() == 2
+
+
+def test_passages_meet_the_texts_that_hold_them(spark):
+    texts = ["a b c d e f g", "xa b c d ef", "b c d", "", None, "one two", "a  b c d e"]
+    asked = ["a b c d e", "b c d", "one", "two three four five six", "a b c d ef"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, passage string")
+    got = sorted((r["doc"], r["query_id"]) for r in passages.holding(d, q).collect())
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, a in enumerate(asked) if t and a in t)
+
+
+def test_sweep_matches_plain_metrics(spark, sf):
+    from lanternq.plans import all_queries
+
+    rows = {r["config"]: r for r in all_queries.QUERIES["eval_sweep"](spark, sf).collect()}
+    assert len(rows) == 6
+    plain = all_queries.QUERIES["eval_ndcg"](spark, sf).agg(F.round(F.avg("ndcg10"), 4)).first()[0]
+    assert rows["lexical"]["ndcg10"] == pytest.approx(plain, abs=1e-4)
