@@ -5,12 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a document that a contextualizer is given.
 DOCUMENT_CHARS = 400_000
 
+#: Characters of a title that a model is given.
+TITLE_CHARS = 200
+
+
+def prompt_title(title: Column) -> Column:
+    return F.left(title, F.lit(TITLE_CHARS))
+
 
 def first_sentence(document: str, chunk: str) -> str:
     """A deterministic stand-in for a model: the document's first sentence, none for the chunk that holds it."""

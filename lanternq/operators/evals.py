@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternq.sources.tables import materialized
+
 
 def metrics(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
     """(query_id, ndcg10, mrr10, recall10, recall100) of every judged query. Gains are 2^grade - 1; the first
@@ -36,3 +42,35 @@ def sweep(rankings: DataFrame, qrels: DataFrame) -> DataFrame:
     rows = metrics(key(rankings).select("query_id", "doc", "rank"), key(judged).select("query_id", "doc", "grade"))
     means = [F.round(F.avg(c), 4).alias(c) for c in ("ndcg10", "mrr10", "recall10", "recall100")]
     return rows.groupBy(F.col("query_id.config").alias("config")).agg(*means)
+
+
+def slug(name: str) -> str:
+    """A name that may serve as a file name."""
+    return name.replace("/", "__")
+
+
+def report(dataset: str, configs: dict[str, Callable[[], DataFrame]], qrels: DataFrame, documents: int) -> dict:
+    """Metrics of each config and its milliseconds a query: ``configs`` give rankings (query_id, doc, rank), each
+    computed and timed on its own. The result is what ``as_json`` and ``as_text`` write."""
+    asked, results = qrels.select("query_id").distinct().count(), []
+    for name, ranking in configs.items():
+        began = time.perf_counter()
+        found = materialized(ranking().select("query_id", "doc", "rank"), f"ranking-{slug(name).replace('+', '_')}")
+        took = time.perf_counter() - began
+        row = sweep(found.withColumn("config", F.lit(name)), qrels).first()
+        means = {c: (row[c] if row is not None else 0.0) for c in ("ndcg10", "mrr10", "recall10", "recall100")}
+        results.append({"config": name, **means, "ms_per_query": round(1000 * took / max(asked, 1))})
+    return {"dataset": dataset, "queries": asked, "documents": documents, "results": results}
+
+
+def as_json(found: dict) -> str:
+    return json.dumps(found, indent=2)
+
+
+def as_text(found: dict) -> str:
+    """The results as a table, names to the left and numbers to the right."""
+    columns = ["config", "ndcg10", "mrr10", "recall10", "recall100", "ms_per_query"]
+    cells = [columns, *[[str(r[c]) for c in columns] for r in found["results"]]]
+    widths = [max(len(r[i]) for r in cells) for i in range(len(columns))]
+    lines = ["  ".join(v.ljust(w) if i == 0 else v.rjust(w) for i, (v, w) in enumerate(zip(r, widths))).rstrip() for r in cells]
+    return "\n".join([f"{found['dataset']}: {found['queries']} queries, {found['documents']} documents", *lines])

@@ -88,3 +88,9 @@ def folded_turns(events: DataFrame, key: str = "turn_id") -> DataFrame:
     status = F.when(F.col("error").isNotNull(), "failed").otherwise(F.coalesce("answered", F.lit("running")))
     blocks = F.when(F.col("content").isNotNull(), F.array("content")).otherwise(F.coalesce("blocks", F.array().cast("array<string>")))
     return rows.select(key, status.alias("status"), "error", blocks.alias("blocks"), "n_retrievals", "n_citations")
+
+
+def shown_sources(sources: Column, citations: Column) -> Column:
+    """The sources to print below an answer: those cited, in their own order, or all if none is cited."""
+    cited = F.transform(citations, lambda c: c["passage"])
+    return F.when(F.size(cited) == 0, sources).otherwise(F.filter(sources, lambda s: F.array_contains(cited, s["id"])))

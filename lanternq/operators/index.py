@@ -32,6 +32,11 @@ def appended(chunks: DataFrame, new: DataFrame) -> DataFrame:
     return chunks.unionByName(fresh)
 
 
+def newest_first(documents: DataFrame) -> DataFrame:
+    """``documents`` by creation time, the newest first; the order is a range-partitioned sort."""
+    return documents.orderBy(F.desc("created_at"), "id")
+
+
 def without_documents(rows: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
     """``rows`` whose document is not in ``gone`` (column document_id)."""
     return rows.join(gone.select(F.col("document_id").alias("gone_")).distinct(), F.col(key) == F.col("gone_"), "left_anti")

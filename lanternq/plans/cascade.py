@@ -8,44 +8,92 @@ from pyspark.sql import functions as F
 from lanternq.config import Settings
 from lanternq.functions import text as T
 from lanternq.operators import fuse, index, passages, search
+from lanternq.operators.models import Models
 from lanternq.plans.registry import table
 from lanternq.sources.tables import materialized
 from lanternq.streaming.ingest import chunks_of_texts
 
 
-def hybrid(chunks: DataFrame, questions: DataFrame, documents: DataFrame, settings: Settings | None = None, analyzer: str = "simple") -> DataFrame:
-    """Passages for questions (query_id, text) over chunks (chunk_id long, document_id, idx, section, text,
-    search_text, page_start, page_end) and documents (document_id, title)."""
-    s = settings or Settings()
-    asked = questions.select(F.col("query_id").alias("chunk_id"), F.col("text").alias("search_text"))
-    posts = materialized(index.postings(chunks, analyzer), "postings")
-    qposts = materialized(index.postings(asked, analyzer).withColumnRenamed("chunk_id", "query_id"), "question-postings")
-    lengths = index.chunk_lengths(chunks)
-    k = s.candidates_per_retriever
+#: The variant number of a hypothetical answer; it makes a dense list only.
+HYDE = -1
+
+
+def candidates(posts: DataFrame, lengths: DataFrame, chunks: DataFrame, variants: DataFrame, s: Settings, analyzer: str, models: Models, allowed: DataFrame | None) -> DataFrame:
+    """Ranked lists (query_id, list_name, list_ord, chunk_id, score, rank): one of each retriever for each variant
+    (query_id, variant, text) of a question. ``allowed`` (chunk_id) narrows after scoring, so statistics stay those
+    of the whole index."""
+    k, key = s.candidates_per_retriever, F.struct("query_id", "variant")
+    asked = materialized(variants.select(key.alias("chunk_id"), F.col("text").alias("search_text")), "variants")
+    plain = asked.where(F.col("chunk_id.variant") != HYDE)
+    words = materialized(index.postings(asked), "variant-postings")
+    spoken = words if analyzer == "simple" else index.postings(plain, analyzer)
     as_q = lambda df: df.withColumnRenamed("chunk_id", "query_id")
-    q_index = qposts.withColumnRenamed("query_id", "chunk_id")
-    found = [
-        ("lexical:0", search.top(search.bm25_scores(qposts, posts, lengths, index.corpus_stats(lengths), s.bm25_k1, s.bm25_b), k, True)),
-        ("dense:0", search.top(search.sparse_scores(as_q(index.hashed_dense(q_index)), index.hashed_dense(posts)), k)),
-        ("sparse:0", search.top(search.sparse_scores(as_q(index.hashed_sparse(q_index)), index.hashed_sparse(posts)), k, True)),
-    ]
+    lexical = spoken.where(F.col("chunk_id.variant") != HYDE)
+    simple = posts if analyzer == "simple" else index.postings(chunks)
+    of_variants = lambda e: e.queries(plain, words.where(F.col("chunk_id.variant") != HYDE))
+    hypothetical = models.dense.documents(asked.where(F.col("chunk_id.variant") == HYDE), words.where(F.col("chunk_id.variant") == HYDE))
+    dense = as_q(of_variants(models.dense).unionByName(hypothetical))
+    found = [("dense", search.top(search.sparse_scores(dense, models.dense.documents(chunks, simple)), k, allowed=allowed))]
+    found.append(("lexical", search.top(search.bm25_scores(as_q(lexical), posts, lengths, index.corpus_stats(lengths), s.bm25_k1, s.bm25_b), k, True, allowed)))
+    if models.sparse is not None:
+        found.append(("sparse", search.top(search.sparse_scores(as_q(of_variants(models.sparse)), models.sparse.documents(chunks, simple)), k, True, allowed)))
     lists = None
     for n, (name, df) in enumerate(found):
-        rows = df.withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
+        variant = F.col("query_id.variant")
+        listed = F.when(variant == HYDE, F.lit(f"{name}:hyde")).otherwise(F.concat(F.lit(f"{name}:"), variant))
+        place = F.when(variant == HYDE, F.lit(2**31 - 1)).otherwise(variant * 3 + n)
+        rows = df.select(F.col("query_id.query_id").alias("query_id"), listed.alias("list_name"), place.alias("list_ord"), "chunk_id", "score", "rank")
         lists = rows if lists is None else lists.unionByName(rows)
-    hits = fuse.fused(lists, s.rrf_k, {n: s.weight(n) for n in ("dense", "lexical", "sparse")})
-    terms = chunks.select("chunk_id", "document_id", "idx", T.simple_terms(F.col("search_text")).alias("ct"))
-    hits = hits.join(terms, "chunk_id").join(questions.select("query_id", T.simple_terms(F.col("text")).alias("qt")), "query_id")
-    hits = materialized(fuse.reranked(hits.withColumn("rerank_score", T.overlap_share(F.col("qt"), F.col("ct"))), s.rerank_candidates), "hits")
+    return lists
+
+
+def hybrid(
+    chunks: DataFrame, questions: DataFrame, documents: DataFrame, settings: Settings | None = None, analyzer: str = "simple",
+    variants: DataFrame | None = None, models: Models | None = None, allowed: DataFrame | None = None, indexed: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Passages for questions (query_id, text) over chunks (chunk_id, document_id, idx, section, text, search_text,
+    page_start, page_end) and documents (document_id, title).
+
+    ``variants`` (query_id, variant int, text) are what is searched for, the question itself by default; variant
+    HYDE is a hypothetical answer. The question is what candidates are reranked by. ``allowed`` (chunk_id) narrows
+    the search; ``indexed`` are postings and lengths that were made before. Questions that find nothing, or have no text,
+    have no rows."""
+    s, models = settings or Settings(), models or Models()
+    posts, lengths = indexed or indexed_chunks(chunks, analyzer)
+    if variants is None:
+        variants = questions.select("query_id", F.lit(0).alias("variant"), "text")
+    lists = candidates(posts, lengths, chunks, variants, s, analyzer, models, allowed)
+    # Reranking reorders the head only, so nothing behind the head and the pool can be chosen any more.
+    most = max(s.rerank_candidates if models.reranker is not None else 0, 3 * s.top_k)
+    hits = materialized(fuse.fused(lists, s.rrf_k, {n: s.weight(n) for n in ("dense", "lexical", "sparse")}).where(F.col("position") <= most), "fused")
+    wanted = search.small(hits.select("chunk_id").distinct())
+    texts = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "document_id", "idx", "search_text")
+    hits = hits.join(texts, "chunk_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
+    if models.reranker is None:
+        hits = hits.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final", F.col("position"))
+    else:
+        head = models.reranker.scored(hits.where(F.col("position") <= s.rerank_candidates))
+        rest = hits.where(F.col("position") > s.rerank_candidates).withColumn("rerank_score", F.lit(None).cast("double"))
+        hits = fuse.reranked(head.unionByName(rest), s.rerank_candidates)
+    hits = materialized(hits.withColumn("ct", F.array_distinct(T.simple_terms(F.col("search_text")))).drop("search_text", "question"), "hits")
     confident = fuse.confidence(hits)
     pool = hits.where(F.col("final") <= 3 * s.top_k)
     relevance = F.coalesce("rerank_score", "score")
-    chosen = diversified(pool.select("query_id", F.col("final").alias("position"), "chunk_id", relevance.alias("relevance"), F.array_distinct("ct").alias("terms")), s.top_k, s.mmr_lambda)
+    chosen = diversified(pool.select("query_id", F.col("final").alias("position"), "chunk_id", relevance.alias("relevance"), F.col("ct").alias("terms")), s.top_k, s.mmr_lambda)
     kept = chosen.join(pool.select("query_id", "chunk_id", "document_id", "idx", F.col("rerank_score").alias("relevance")), ["query_id", "chunk_id"])
     kept = materialized(kept.withColumn("position", F.col("pick")), "kept")
-    spans = passages.merged(passages.expanded(chunks, kept, s.window))
-    out = passages.ordered(passages.built(spans, chunks), kept, documents)
-    return out.join(confident, "query_id").select("query_id", "id", "document_id", "title", "section", "start", "end", F.round("relevance", 6).alias("relevance"), "text", "chunk_ids", F.round("confidence", 6).alias("confidence"))
+    around = chunks.join(search.small(kept.select("document_id").distinct()), "document_id", "left_semi")
+    spans = passages.merged(passages.expanded(around, kept, s.window))
+    out = passages.ordered(passages.built(spans, around), kept, documents)
+    return out.join(confident, "query_id").select(
+        "query_id", "id", "document_id", "title", "section", "start", "end", F.round("relevance", 6).alias("relevance"), "text", "chunk_ids",
+        F.round("confidence", 6).alias("confidence"), "page_start", "page_end",
+    )
+
+
+def indexed_chunks(chunks: DataFrame, analyzer: str = "simple") -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths of ``chunks``, written once for all searches over them."""
+    return materialized(index.postings(chunks, analyzer), "postings"), materialized(index.chunk_lengths(chunks), "lengths")
 
 
 def diversified(pool: DataFrame, keep: int, trade: float) -> DataFrame:
@@ -71,16 +119,19 @@ def diversified(pool: DataFrame, keep: int, trade: float) -> DataFrame:
     return pool.groupBy("query_id").applyInPandas(pick, f"query_id {dict(pool.dtypes)['query_id']}, pick int, chunk_id {dict(pool.dtypes)['chunk_id']}")
 
 
-def searched(spark: SparkSession, sf_dir: str, settings: Settings | None = None) -> DataFrame:
-    """Passages of ``documents`` for the texts of ``benchmark``."""
+def document_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of ``documents``, written once, and the documents (document_id, title)."""
     docs = table(spark, sf_dir, "documents")
     rows = chunks_of_texts(docs.select("doc_id", "text")).withColumnRenamed("doc_id", "document_id")
-    rows = rows.join(docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title")), "document_id")
-    rows = rows.withColumn("search_text", T.search_text(F.col("title"), F.col("section"), F.lit(""), F.col("text")))
-    rows = rows.withColumn("idx", F.col("idx").cast("long")).withColumn("chunk_id", F.col("document_id") * 1_000_000 + F.col("idx"))
-    rows = materialized(rows, "chunks")
     documents = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("title"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return hybrid(rows, asked, documents, settings)
+    rows = rows.join(documents, "document_id")
+    rows = rows.withColumn("search_text", T.search_text(F.col("title"), F.col("section"), F.lit(""), F.col("text")))
+    rows = rows.withColumn("idx", F.col("idx").cast("long")).withColumn("chunk_id", F.concat("document_id", F.lit(":"), "idx"))
+    return materialized(rows, "chunks"), documents
 
 
+def searched(spark: SparkSession, sf_dir: str, settings: Settings | None = None) -> DataFrame:
+    """Passages of ``documents`` for the texts of ``benchmark``."""
+    rows, documents = document_chunks(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return hybrid(rows, asked, documents, settings)

@@ -70,9 +70,9 @@ def find_by_hash(spark, sf):
 
 @query(f"WITH {_R} SELECT id, title, status, chunk_count FROM rg")
 def list_documents(spark, sf):
-    """The registry, newest first (creation times stand in as a number from the id); the order is a range-partitioned
-    sort, not a number in one task."""
-    return registry(spark, sf).orderBy(F.desc(F.col("id") * 7919 % 1009), "id").select("id", "title", "status", "chunk_count")
+    """The registry, newest first, with creation times made from the id."""
+    made = registry(spark, sf).withColumn("created_at", F.timestamp_seconds(F.col("id") * 7919 % 1009))
+    return index.newest_first(made).select("id", "title", "status", "chunk_count")
 
 
 @query(f"WITH {_L} SELECT id, document_id, idx, text FROM li")
@@ -263,3 +263,79 @@ def ingest_pipeline(spark, sf):
 def conversation_fold(spark, sf):
     """The final state of each conversation, in batch; the streaming module keeps the same state."""
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max_by("role", "turn").alias("last_role"))
+
+
+_REQ = "rq AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS message, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'conv-' || conv_id WHEN 2 THEN 'conv ' || conv_id ELSE repeat('a', 60 + turn) END AS thread_id, CASE WHEN conv_id % 3 <> 0 THEN 97 + turn END AS n FROM conversations)"
+
+
+@query(rf"WITH {_REQ} SELECT conv_id, turn, coalesce(length(message) BETWEEN 1 AND 4000, false) AND (thread_id IS NULL OR regexp_full_match(thread_id, '[A-Za-z0-9_-]{{1,64}}')) AND (n IS NULL OR n <= 100) AS valid FROM rq")
+def request_validation(spark, sf):
+    """Every message as a request, some of them empty, with thread ids and document lists within and beyond the bounds."""
+    c, t = F.col("conv_id"), F.col("turn")
+    message = F.when(t % 5 == 4, "").otherwise(F.col("text"))
+    thread = F.when(c % 4 == 0, F.lit(None).cast("string")).when(c % 4 == 1, F.concat(F.lit("conv-"), c)).when(c % 4 == 2, F.concat(F.lit("conv "), c)).otherwise(F.repeat(F.lit("a"), (60 + t).cast("int")))
+    documents = F.when(c % 3 != 0, F.array_repeat(F.lit("d"), (97 + t).cast("int")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", D.valid_request(message, thread, documents).alias("valid"))
+
+
+@query("SELECT conv_id AS turn_id, arg_max(text, turn) AS question, count(*) - 1 AS before FROM conversations GROUP BY conv_id")
+def turn_start(spark, sf):
+    return D.started(table(spark, sf, "conversations")).select("turn_id", "question", F.size("history").cast("long").alias("before"))
+
+
+def _answers(spark, sf):
+    """An answer for each conversation: three in four have sources, every other one cites, every third has blocks."""
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("content"), F.count("*").alias("n"))
+    one = lambda i: F.struct(i.cast("int").alias("id"), F.lit("d").alias("document_id"), F.lit("t").alias("title"), F.lit("").alias("location"), F.lit("").alias("text"), F.lit(1.0).alias("relevance"))
+    sources = F.transform(F.sequence(F.lit(0), (F.col("conv_id") % 4 - 1).cast("int"), F.lit(1)), one)
+    cite = F.array(F.struct(F.lit(0).cast("long").alias("block"), (F.col("n") % 3).cast("int").alias("passage"), F.lit("q").alias("text")))
+    return rows.select(
+        F.col("conv_id").alias("turn_id"), F.lit("answered").alias("status"), "content", F.when(F.col("conv_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("blocks"),
+        F.when(F.col("conv_id") % 4 > 0, sources).alias("sources"), F.when(F.col("conv_id") % 2 == 0, cite).alias("citations"),
+    )
+
+
+_AN = "an AS (SELECT conv_id AS turn_id, arg_max(text, turn) AS content, count(*) AS n, conv_id % 4 AS k FROM conversations GROUP BY conv_id)"
+
+
+@query(f"WITH {_AN} SELECT turn_id, CASE WHEN turn_id % 3 = 0 THEN 'a|b' ELSE content END AS blocks, k AS sources, (turn_id % 2 = 0)::BIGINT AS citations FROM an")
+def finish_answer(spark, sf):
+    out = D.finished(_answers(spark, sf))
+    return out.select("turn_id", F.array_join("blocks", "|").alias("blocks"), F.size("sources").cast("long").alias("sources"), F.size("citations").cast("long").alias("citations"))
+
+
+@query(f"WITH {_AN} SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT turn_id, n, 'assistant', content FROM (SELECT an.turn_id, an.content, m + 1 AS n FROM an JOIN (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY conv_id) t ON t.conv_id = an.turn_id)")
+def thread_append(spark, sf):
+    return D.with_answers(table(spark, sf, "conversations"), D.finished(_answers(spark, sf)))
+
+
+@query(f"WITH {_AN} SELECT turn_id, string_agg(id, ',' ORDER BY id) AS shown FROM (SELECT turn_id, n, unnest(range(k)) AS id FROM an WHERE k > 0) WHERE turn_id % 2 = 1 OR id = n % 3 GROUP BY turn_id")
+def shown_sources(spark, sf):
+    """What is printed below each answer that shows any source."""
+    out = D.finished(_answers(spark, sf)).withColumn("shown", E.shown_sources(F.col("sources"), F.col("citations"))).where(F.size("shown") > 0)
+    return out.select("turn_id", F.array_join(F.transform("shown", lambda x: x["id"]), ",").alias("shown"))
+
+
+@query("SELECT doc_id, left(source || ' ' || text, 200) AS title FROM documents")
+def prompt_title(spark, sf):
+    from lanternq.operators.context import prompt_title as cut
+
+    return table(spark, sf, "documents").select("doc_id", cut(F.concat_ws(" ", "source", "text")).alias("title"))
+
+
+@query("SELECT page_id, replace(url, '/', '__') AS slug FROM pages")
+def slug_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.replace("url", F.lit("/"), F.lit("__")).alias("slug"))
+
+
+@query(r"""SELECT d.doc_id, CASE WHEN d.doc_id % 4 = 1 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN d.doc_id % 4 = 1 THEN 'Unsupported file type: .exe' END AS error, 'file ' || d.doc_id AS title
+FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY '/in/file_' || doc_id || '.' || ['txt', 'exe', 'TXT', 'md'][doc_id % 4 + 1]) AS n FROM documents) d WHERE n = 1 AND regexp_matches(text, '\S')""")
+def ingest_files(spark, sf):
+    """Documents as files of three kinds, one of them unsupported: registered by content, read, and their status.
+    Texts of nothing but white space are left out here: they are one failed file."""
+    from lanternq.sources.files import parsed
+
+    suffix = F.get(F.array(*[F.lit(x) for x in ("txt", "exe", "TXT", "md")]), (F.col("doc_id") % 4).cast("int"))
+    files = table(spark, sf, "documents").where(F.col("text").rlike(r"\S")).select(F.concat(F.lit("/in/file_"), "doc_id", F.lit("."), suffix).alias("path"), F.col("text").cast("binary").alias("content"))
+    documents, _ = parsed(files)
+    return documents.select(F.regexp_extract("path", r"_(\d+)\.", 1).cast("long").alias("doc_id"), "status", "error", "title")

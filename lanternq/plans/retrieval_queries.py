@@ -10,8 +10,10 @@ from lanternq.config import Settings
 from lanternq.functions import text as T
 from lanternq.functions import vectors as V
 from lanternq.operators import evals, fuse, index, passages, search
+from lanternq.plans.cascade import indexed_chunks, searched
 from lanternq.plans.registry import query, table
 from lanternq.plans.text_queries import TERMS
+from lanternq.sources.tables import materialized
 
 S = Settings()
 MD5 = "('0x' || substr(md5(term), 1, 8))::BIGINT % {0}"
@@ -42,22 +44,33 @@ def question_terms(spark, sf, analyzer="simple"):
     return index.term_rows(questions(spark, sf), analyzer).withColumnRenamed("chunk_id", "query_id")
 
 
-def lexical(spark, sf, k, analyzer="simple", allowed=None):
-    posts, lengths = index.postings(chunks(spark, sf), analyzer), index.chunk_lengths(chunks(spark, sf))
+def indexed(spark, sf):
+    """Postings and lengths of the documents, analysed once and written for the searches of one query."""
+    return indexed_chunks(chunks(spark, sf))
+
+
+def lexical(spark, sf, k, analyzer="simple", allowed=None, ix=None):
+    if analyzer == "simple":
+        posts, lengths = ix or indexed(spark, sf)
+    else:
+        posts, lengths = index.postings(chunks(spark, sf), analyzer), index.chunk_lengths(chunks(spark, sf))
     scores = search.bm25_scores(question_terms(spark, sf, analyzer), posts, lengths, index.corpus_stats(lengths), S.bm25_k1, S.bm25_b)
     return search.top(scores, k, positive_only=True, allowed=allowed)
 
 
-def sparse(spark, sf, k, dim=30000):
-    posts = lambda rows: index.hashed_sparse(index.postings(rows), dim)
-    q = posts(questions(spark, sf)).withColumnRenamed("chunk_id", "query_id")
-    return search.top(search.sparse_scores(q, posts(chunks(spark, sf))), k, positive_only=True)
+def _hashed(spark, sf, k, encode, ix):
+    q = encode(index.postings(questions(spark, sf))).withColumnRenamed("chunk_id", "query_id")
+    posts = ix[0] if ix else index.postings(chunks(spark, sf))
+    return search.top(search.sparse_scores(q, encode(posts)), k, positive_only=True)
 
 
-def dense(spark, sf, k, dim=256):
-    posts = lambda rows: index.hashed_dense(index.postings(rows), dim)
-    q = posts(questions(spark, sf)).withColumnRenamed("chunk_id", "query_id")
-    return search.top(search.sparse_scores(q, posts(chunks(spark, sf))), k, positive_only=True)
+def sparse(spark, sf, k, dim=30000, ix=None):
+    return _hashed(spark, sf, k, lambda posts: index.hashed_sparse(posts, dim), ix)
+
+
+def dense(spark, sf, k, dim=256, ix=None):
+    """Weights of the hashing encoder are positive, so questions and chunks either share a bucket or score zero."""
+    return _hashed(spark, sf, k, lambda posts: index.hashed_dense(posts, dim), ix)
 
 
 @query(f"WITH {_P} SELECT chunk_id, term, tf FROM p")
@@ -155,10 +168,15 @@ def dense_similarity(spark, sf):
 
 @query()
 def ann_recall(spark, sf):
+    """Recall of the approximate search against the exact one, and the share of all vectors it scored, for each question."""
     rows, asked = _vectors(spark, sf)
-    near = search.lsh_top(asked, rows, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    centres = search.fitted_cells(rows)
+    pairs = materialized(search.cell_pairs(asked, rows, centres, 16), "cell-pairs")
+    near = search.top(pairs, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     exact = search.dense_top(asked, rows, 10)
-    return exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    met = pairs.groupBy("query_id").agg(F.round(F.count("*") / F.lit(max(rows.count(), 1)), 6).alias("scored"))
+    found = exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return found.join(met, "query_id", "left")
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE) * (y::DOUBLE)))), 1e-12)) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS embedding FROM embeddings))")
@@ -179,13 +197,13 @@ def topk_positive(spark, sf):
 
 
 K = S.candidates_per_retriever
-_LISTS = f"""lists AS (SELECT 'lexical:0' AS list_name, 0 AS list_ord, * FROM {_top('bs', K)} UNION ALL SELECT 'dense:0', 1, * FROM {_top('ds', K)} UNION ALL SELECT 'sparse:0', 2, * FROM {_top('ss', K)})"""
+_LISTS = f"""lists AS (SELECT 'lexical:0' AS list_name, 1 AS list_ord, * FROM {_top('bs', K)} UNION ALL SELECT 'dense:0', 0, * FROM {_top('ds', K)} UNION ALL SELECT 'sparse:0', 2, * FROM {_top('ss', K)})"""
 
 
 def candidate_lists(spark, sf, k=K):
-    lists = None
-    for n, (name, find) in enumerate((("lexical:0", lexical), ("dense:0", dense), ("sparse:0", sparse))):
-        rows = find(spark, sf, k).withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
+    lists, ix = None, indexed(spark, sf)
+    for n, (name, find) in enumerate((("dense:0", dense), ("lexical:0", lexical), ("sparse:0", sparse))):
+        rows = find(spark, sf, k, ix=ix).withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
         lists = rows if lists is None else lists.unionByName(rows)
     return lists
 
@@ -211,16 +229,21 @@ def rrf_fuse(spark, sf):
     return fuse.fused(candidate_lists(spark, sf)).select("query_id", "chunk_id", "score", "position", F.size("ranks").alias("lists"))
 
 
-@query(f"""WITH {_P}, {_BM25}, {_SPARSE}, {_DENSE}, {_LISTS}, {_fused_sql("CASE list_ord WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END")} SELECT query_id, chunk_id, score, position FROM fu""")
+@query(f"""WITH {_P}, {_BM25}, {_SPARSE}, {_DENSE}, {_LISTS}, {_fused_sql("CASE list_ord WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END")} SELECT query_id, chunk_id, score, position FROM fu""")
 def rrf_weighted(spark, sf):
     return fuse.fused(candidate_lists(spark, sf), 60, {"lexical": 0.5, "dense": 2.0}).select("query_id", "chunk_id", "score", "position")
 
 
 def overlap_reranked(spark, sf, head=S.rerank_candidates):
+    """Fused hits with the overlap score of the first ``head`` of each question; only their documents are analysed."""
     terms = lambda rows, id_, out: rows.select(F.col("chunk_id").alias(id_), T.simple_terms(F.col("search_text")).alias(out))
-    hits = fuse.fused(candidate_lists(spark, sf)).join(terms(questions(spark, sf), "query_id", "qt"), "query_id").join(terms(chunks(spark, sf), "chunk_id", "ct"), "chunk_id")
-    scored = hits.withColumn("rerank_score", F.round(T.overlap_share(F.col("qt"), F.col("ct")), 6)).drop("qt", "ct")
-    return fuse.reranked(scored, head)
+    hits = materialized(fuse.fused(candidate_lists(spark, sf)).drop("ranks"), "fused")
+    first = hits.where(F.col("position") <= head)
+    wanted = chunks(spark, sf).join(search.small(first.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    scored = first.join(terms(questions(spark, sf), "query_id", "qt"), "query_id").join(terms(wanted, "chunk_id", "ct"), "chunk_id")
+    scored = scored.withColumn("rerank_score", F.round(T.overlap_share(F.col("qt"), F.col("ct")), 6)).drop("qt", "ct")
+    rest = hits.where(F.col("position") > head).withColumn("rerank_score", F.lit(None).cast("double"))
+    return fuse.reranked(scored.unionByName(rest), head)
 
 
 _RERANK = f"""rs AS (SELECT fu.*, CASE WHEN position <= 40 THEN round(len(list_intersect(qt, ct)) / len(qt), 6) END AS rerank_score FROM fu
@@ -380,7 +403,8 @@ def eval_recall(spark, sf):
 @query()
 def eval_sweep(spark, sf):
     """Six configurations over the same questions: one list each, two hybrids, and the reranked hybrid."""
-    found = {n: f(spark, sf, 100) for n, f in (("lexical", lexical), ("dense", dense), ("sparse", sparse))}
+    ix = indexed(spark, sf)
+    found = {n: materialized(f(spark, sf, 100, ix=ix), n) for n, f in (("lexical", lexical), ("dense", dense), ("sparse", sparse))}
 
     def hybrid(*names):
         lists = None
@@ -403,6 +427,17 @@ def eval_sweep(spark, sf):
 @query()
 def hybrid_search(spark, sf):
     """The whole cascade: three lists, fusion, reranking, diversification, and passages."""
-    from lanternq.plans.cascade import searched
-
     return searched(spark, sf)
+
+
+@query()
+def ask_loop(spark, sf):
+    """Whole turns: the last message of each conversation as the question to the documents, planned, retrieved, graded,
+    asked again where evidence is weak, and answered by the extractive generator or declined."""
+    from lanternq.operators.dialog import started
+    from lanternq.plans.ask import answered
+    from lanternq.plans.cascade import document_chunks
+
+    rows, documents = document_chunks(spark, sf)
+    out = answered(started(table(spark, sf, "conversations")), rows, documents.withColumn("status", F.lit("ready")))
+    return out.select("turn_id", "status", "content", F.size("blocks").alias("blocks"), F.transform("sources", lambda x: x["document_id"]).alias("sources"), F.transform("citations", lambda c: c["passage"]).alias("cited"), "rounds")

@@ -180,16 +180,27 @@ def parsed_with(docs: DataFrame, key: str, content: str, parser) -> DataFrame:
     return rows.mapInArrow(apply, f"key {dict(rows.dtypes)['key']}, title string, blocks {BLOCKS}, error string").withColumnRenamed("key", key)
 
 
+def line_size(glyphs: Column) -> Column:
+    """The median of an array of glyph sizes, 0 if there are none."""
+    own = F.array_sort(glyphs)
+    n = F.size(own)
+    middle = (F.get(own, F.floor((n - 1) / 2).cast("int")) + F.get(own, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n > 0, middle).otherwise(F.lit(0.0))
+
+
 def pdf_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks from the lines of PDF files: (doc_id, page, n, text, size, top, bottom), one row a line. The body
-    size is the median; sizes over 1.15 times it are headings, the largest level 1; a paragraph ends at a
-    heading, a page, or a gap of over 0.9 times the line's size."""
+    """Blocks from the lines of PDF files: (doc_id, page, n, text, size, top, bottom), one row a line; in place of
+    size an array ``glyphs`` of glyph sizes will do. The body size is the median; sizes over 1.15 times it, to one
+    decimal, are headings, the largest level 1; a paragraph ends at a heading, a page, or a gap of over 0.9 times the
+    line's size. Blank lines count for sizes only."""
+    if "size" not in lines.columns:
+        lines = lines.withColumn("size", line_size(F.col("glyphs")))
+    lines = lines.withColumn("round", F.bround("size", 1)).withColumn("text", clean(F.col("text")))
     body = lines.groupBy("doc_id").agg(F.median("size").alias("body"))
-    sized = lines.join(body, "doc_id").withColumn("round", F.round("size"))
-    big = F.col("size") > 1.15 * F.col("body")
-    levels = sized.where(big).select("doc_id", "round").distinct().withColumn("level", F.least(F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("round"))), F.lit(6)))
-    sized = sized.join(levels, ["doc_id", "round"], "left")
-    plain = ~big | (F.length("text") > 120) | F.col("text").rlike("[.,;]$")
+    large = lines.join(body, "doc_id").where("size > 1.15 * body").select("doc_id", "round").distinct()
+    levels = large.withColumn("level", F.least(F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("round"))), F.lit(6)))
+    sized = lines.where("text <> ''").join(levels, ["doc_id", "round"], "left")
+    plain = (F.length("text") > 120) | F.col("text").rlike("[.,;]$")
     sized = sized.withColumn("heading_level", F.when(~plain, F.col("level")))
     order = W.partitionBy("doc_id").orderBy("page", "n")
     gap = F.col("top") - F.lag("bottom").over(order) > 0.9 * F.col("size")
@@ -200,13 +211,6 @@ def pdf_blocks(lines: DataFrame) -> DataFrame:
     return out.withColumn("text", dehyphenated(F.col("text")))
 
 
-def read_files(spark: SparkSession, path: str, most_mb: int = 25) -> DataFrame:
-    """Supported files below ``path``: path, content, format, and error where a file is too large."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("format", file_format(F.col("path"))).where("format IS NOT NULL")
-    return files.withColumn("error", F.when(F.col("length") > most_mb * 1024 * 1024, F.lit("file too large")))
-
-
 def read_corpus(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Corpus, queries and judgements of a folder with corpus.jsonl, queries.jsonl and qrels/test.tsv. Of
     repeated judgements of one pair the last line counts."""
