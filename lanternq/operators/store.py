@@ -41,10 +41,10 @@ class Store:
         return replace(self, documents=index.upserted(self.documents, changes, columns))
 
     def documents_by_id(self, ids: DataFrame) -> DataFrame:
-        return self.documents.join(ids.select("id").distinct(), "id", "left_semi")
+        return self.documents.join(ids.select("id").distinct(), "id", "left_semi").select(*self.documents.columns)
 
     def documents_by_hash(self, hashes: DataFrame) -> DataFrame:
-        return self.documents.join(hashes.select("hash").distinct(), "hash", "left_semi")
+        return self.documents.join(hashes.select("hash").distinct(), "hash", "left_semi").select(*self.documents.columns)
 
     def listed(self) -> DataFrame:
         return index.newest_first(self.documents)
