@@ -10,7 +10,7 @@ from lanternq.functions import text as T
 from lanternq.operators import dialog as D
 from lanternq.operators import events as E
 from lanternq.operators.models import Models
-from lanternq.plans.cascade import HYDE, hybrid, indexed_chunks
+from lanternq.plans.cascade import HYDE, hybrid, indexed_chunks, keyed
 from lanternq.sources.tables import materialized
 
 
@@ -35,7 +35,7 @@ def answered(
     usable = F.lit(s.query_expansion) & F.col("plan").isNotNull()
     standalone = F.when(usable, F.col("plan.standalone_question"))
     asked = asked.select("turn_id", F.coalesce(standalone, "question").alias("question"), "history", "queries", F.when(usable, F.col("plan.hypothetical_answer")).alias("hypothetical"))
-    indexed = indexed_chunks(chunks, analyzer)
+    indexed = indexed_chunks(keyed(chunks), analyzer)
     rounds: list[DataFrame] = []
 
     def retrieve(rows: DataFrame) -> DataFrame:

@@ -56,18 +56,21 @@ def hybrid(
 
     ``variants`` (query_id, variant int, text) are what is searched for, the question itself by default; variant
     HYDE is a hypothetical answer. The question is what candidates are reranked by. ``allowed`` (chunk_id) narrows
-    the search; ``indexed`` are postings and lengths that were made before. Questions that find nothing, or have no text,
+    the search; ``indexed`` are postings and lengths of ``keyed`` chunks that were made before. Ties go by document, then idx. Questions that find nothing, or have no text,
     have no rows."""
     s, models = settings or Settings(), models or Models()
-    posts, lengths = indexed or indexed_chunks(chunks, analyzer)
+    own = keyed(chunks)
+    posts, lengths = indexed or indexed_chunks(own, analyzer)
+    if allowed is not None:
+        allowed = keyed(chunks.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")).select("chunk_id")
     if variants is None:
         variants = questions.select("query_id", F.lit(0).alias("variant"), "text")
-    lists = candidates(posts, lengths, chunks, variants, s, analyzer, models, allowed)
+    lists = candidates(posts, lengths, own, variants, s, analyzer, models, allowed)
     # Reranking reorders the head only, so nothing behind the head and the pool can be chosen any more.
     most = max(s.rerank_candidates if models.reranker is not None else 0, 3 * s.top_k)
     hits = materialized(fuse.fused(lists, s.rrf_k, {n: s.weight(n) for n in ("dense", "lexical", "sparse")}).where(F.col("position") <= most), "fused")
     wanted = search.small(hits.select("chunk_id").distinct())
-    texts = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "document_id", "idx", "search_text")
+    texts = own.join(wanted, "chunk_id", "left_semi").select("chunk_id", "document_id", "idx", "search_text")
     hits = hits.join(texts, "chunk_id").join(questions.select("query_id", F.col("text").alias("question")), "query_id")
     if models.reranker is None:
         hits = hits.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("final", F.col("position"))
@@ -79,8 +82,8 @@ def hybrid(
     confident = fuse.confidence(hits)
     pool = hits.where(F.col("final") <= 3 * s.top_k)
     relevance = F.coalesce("rerank_score", "score")
-    chosen = diversified(pool.select("query_id", F.col("final").alias("position"), "chunk_id", relevance.alias("relevance"), F.col("ct").alias("terms")), s.top_k, s.mmr_lambda)
-    kept = chosen.join(pool.select("query_id", "chunk_id", "document_id", "idx", F.col("rerank_score").alias("relevance")), ["query_id", "chunk_id"])
+    chosen = diversified(pool.select("query_id", F.col("final").alias("position"), relevance.alias("relevance"), F.col("ct").alias("terms")), s.top_k, s.mmr_lambda)
+    kept = chosen.join(pool.select("query_id", F.col("final").alias("position"), "document_id", "idx", F.col("rerank_score").alias("relevance")), ["query_id", "position"])
     kept = materialized(kept.withColumn("position", F.col("pick")), "kept")
     around = chunks.join(search.small(kept.select("document_id").distinct()), "document_id", "left_semi")
     spans = passages.merged(passages.expanded(around, kept, s.window))
@@ -91,6 +94,11 @@ def hybrid(
     )
 
 
+def keyed(chunks: DataFrame) -> DataFrame:
+    """``chunks`` with (document_id, idx) as chunk_id, the order in which ties are broken."""
+    return chunks.withColumn("chunk_id", F.struct("document_id", "idx"))
+
+
 def indexed_chunks(chunks: DataFrame, analyzer: str = "simple") -> tuple[DataFrame, DataFrame]:
     """Postings and lengths of ``chunks``, written once for all searches over them."""
     return materialized(index.postings(chunks, analyzer), "postings"), materialized(index.chunk_lengths(chunks), "lengths")
@@ -114,9 +122,9 @@ def diversified(pool: DataFrame, keep: int, trade: float) -> DataFrame:
             best = max(left, key=lambda i: (round(rel[i] if not chosen or trade >= 1 else trade * rel[i] - (1 - trade) * near(i), 9), -i))
             chosen.append(best)
             left.remove(best)
-        return pd.DataFrame({"query_id": frame["query_id"].iloc[chosen], "pick": range(1, len(chosen) + 1), "chunk_id": frame["chunk_id"].iloc[chosen]})
+        return pd.DataFrame({"query_id": frame["query_id"].iloc[chosen], "pick": range(1, len(chosen) + 1), "position": frame["position"].iloc[chosen]})
 
-    return pool.groupBy("query_id").applyInPandas(pick, f"query_id {dict(pool.dtypes)['query_id']}, pick int, chunk_id {dict(pool.dtypes)['chunk_id']}")
+    return pool.groupBy("query_id").applyInPandas(pick, f"query_id {dict(pool.dtypes)['query_id']}, pick int, position int")
 
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -99,10 +99,11 @@ def test_metrics(spark):
     assert got["none"]["recall10"] is None and got["none"]["ndcg10"] == 0
 
 
-def test_dense_skips_missing_vectors_and_breaks_ties(spark):
-    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None)], "chunk_id long, embedding array<float>")
+def test_dense_breaks_ties_and_needs_all_vectors(spark):
+    rows = spark.createDataFrame([(2, [1.0, 0.0]), (1, [1.0, 0.0]), (3, None)], "chunk_id long, embedding array<float>")
     asked = spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, embedding array<float>")
-    assert [r["chunk_id"] for r in search.dense_top(asked, rows, 5).orderBy("rank").collect()] == [1, 2]
+    assert [r["chunk_id"] for r in search.dense_top(asked, rows.where("chunk_id < 3"), 5).orderBy("rank").collect()] == [1, 2]
+    assert search.dense_top(asked, rows, 5).count() == 0
     assert search.dense_top(asked.limit(0), rows, 5).count() == 0
 
 
