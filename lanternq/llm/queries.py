@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternq.llm import chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, tokens, url_filter
+from lanternq.llm import chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, spelling, tokens, url_filter
 from lanternq.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op8_chat_format,
         op9_url_filter,
         op10_mixing,
+        op11_spelling,
     )
 }
 SQL = {"op3_quality_rules": quality_rules.SQL, "op5_sharding": sharding.SQL, "op8_chat_format": chat.SQL, "op9_url_filter": url_filter.SQL}
