@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternq.llm import chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, spelling, tokens, url_filter
+from lanternq.llm import alignment, chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, spelling, tokens, url_filter
 from lanternq.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path(alignment.VOCABULARY_A), public_tokenizers.path(alignment.VOCABULARY_B)
+    return alignment.alignments(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +86,7 @@ QUERIES = {
         op9_url_filter,
         op10_mixing,
         op11_spelling,
+        op12_alignment,
     )
 }
 SQL = {"op3_quality_rules": quality_rules.SQL, "op5_sharding": sharding.SQL, "op8_chat_format": chat.SQL, "op9_url_filter": url_filter.SQL}
