@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanternq.llm import alignment, chat, classifier, decontaminate, mixing, pii, quality_rules, sharding, simhash, spelling, tokens, url_filter
+from lanternq.llm import alignment, chat, classifier, decontaminate, mixing, packing, pii, quality_rules, sharding, simhash, spelling, tokens, url_filter
 from lanternq.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(table(spark, sf_dir, "documents"), *paths)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES = {
         op10_mixing,
         op11_spelling,
         op12_alignment,
+        op13_packing,
     )
 }
 SQL = {"op3_quality_rules": quality_rules.SQL, "op5_sharding": sharding.SQL, "op8_chat_format": chat.SQL, "op9_url_filter": url_filter.SQL}
