@@ -9,10 +9,12 @@ given vocabularies, which follows signs inside pieces) is not cut. So tokens of
 with the times they occur, and each document as numbers of them. From there on the work follows distinct segments of
 blocks, not occurrences; texts are read once and never shuffled.
 
-*Once each.* Distinct segments of the corpus are tokenised by both libraries and aligned: many go to one call, joined, and are
-told apart again by their bytes, which also verifies the cuts and that both give back the text. The overlapping pairs of ids are
-counted over the corpus, a segment's as often as it occurs. The counts meet the segments again (sent to the tasks as sorted
-arrays up to ``SENT_PAIRS`` counted pairs, by a join beyond), the segments their blocks, and each document adds up its segments.
+*Once each.* Rows of one segment lie side by side after a sort, so each distinct segment is tokenised by both libraries and aligned
+once, and keeps its places (block and number). Segments of more than ``DEALT_BLOCKS`` blocks would gather in one task; their blocks
+are dealt over several, and each of these aligns the segment once. Many segments go to one call, joined, and are told apart again by their
+bytes, which also verifies the cuts and that both libraries give back the text. The overlapping pairs of ids are counted over
+the corpus, a segment's as often as it occurs. The counts meet the segments again (sent to the tasks as sorted arrays up to
+``SENT_PAIRS`` counted pairs, by a join beyond). Alignments return to the blocks in packed arrays, and each document adds up its segments.
 
 Defined results: a text that is null or empty, or that B does not give back (it has a character that B writes in another way),
 has no tokens: zeros and an empty digest, and it adds nothing to the counts. Very long texts are aligned whole; repeated
@@ -23,11 +25,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +41,16 @@ from lanternq.llm.common import written
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Characters of the documents of a block, and of the segments that go to one call of the libraries.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 32_000_000
 CALL_CHARS = 32_000
+#: Blocks up to which the rows of one segment meet in one task, and places of segments that are packed at a time.
+DEALT_BLOCKS = 20_000
+PACKED_PLACES = 2_000_000
 #: Counted pairs of ids up to which their counts are sent to every task; 17 bytes each.
 SENT_PAIRS = 4_000_000
 SPACE_PIECE = "▁"
 #: White space as both libraries have it; four separators are white space to Python only.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
 
 
@@ -79,7 +87,9 @@ class Tokenizers:
         white, cut = (re.escape(x) for x in (WHITE, self.cuts))
         uncut = re.escape("".join(w for w in WHITE if w not in self.cuts)) or "(?!)"
         more = rf"(?:[{uncut}][{white}]*[^{white}]*)*" if uncut != "(?!)" else ""
-        self.segment = re.compile(rf"[{white}]*[^{white}]+{more}|[{white}]+" if cut else r"(?s:.+)")
+        self.segment = re.compile(rf"[{white}]*+[^{white}]++{more}|[{white}]+" if cut else r"(?s:.+)")
+        # The same with the classes of Python, which are faster, for texts without the four separators.
+        self.common = re.compile(rf"\s*+\S++{more.replace(f'[{white}]', chr(92) + 's').replace(f'[^{white}]', chr(92) + 'S')}|\s+" if cut else r"(?s:.+)")
         self.kept: dict[str, bool] = {}
 
     def cutting(self, w: str, pieces: list[str]) -> bool:
@@ -90,6 +100,9 @@ class Tokenizers:
             return alone and not any(re.search(rf"[^{SPACE_PIECE}]{SPACE_PIECE}", p) for p in pieces)
         return alone and not any(w in p[1:] for p in pieces)
 
+    def segments(self, text: str) -> list[str]:
+        return (self.segment if any(c in text for c in SEPARATORS) else self.common).findall(text)
+
     def given_back(self, text: str) -> bool:
         """Whether B writes every character of ``text`` as it is; characters are tried once each."""
         own = set(text)
@@ -141,73 +154,104 @@ def aligned(texts: list[str], t: Tokenizers) -> Iterator[tuple[int, int, int, np
         i, j, k, l = i2, j2, group_to[n], l2
 
 
+def _squeezed(*arrays: np.ndarray) -> bytes:
+    return pa.compress(b"".join(x.tobytes() for x in arrays), codec="zstd", asbytes=True)
+
+
+def _released(data: bytes, size: int) -> memoryview:
+    return memoryview(pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True))
+
+
 def blocks(docs: DataFrame, paths: tuple[str, str], block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Rows of documents (block, doc_id, at: numbers of their segments in order) and of the distinct segments of each block
-    (block, number, seg, times)."""
+    """Rows of documents (block, doc_id, n: how many segments, at: their numbers in order, packed) and of the distinct segments
+    of each block (block, number, seg, times)."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["block", "doc_id", "at", "number", "seg", "times"]
+    names = ["block", "doc_id", "n", "at", "number", "seg", "times"]
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, task = tokenizers(*paths), TaskContext.get().partitionId() << 32
-        ids, ats, numbers, size, done = [], [], {}, 0, 0
-        id_type = None
+        ids, ats, size, done, id_type = [], [], 0, 0, None
+        numbers: defaultdict[str, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
 
         def drained() -> Iterator[pa.RecordBatch]:
-            nonlocal ids, ats, numbers, size, done
-            block, n, m = task | done, len(ids), len(numbers)
-            times = np.bincount(np.concatenate(ats), minlength=m) if m else np.empty(0, np.int64)
-            at = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ats)]).astype(np.int32), pa.array(np.concatenate(ats).astype(np.int32)))
-            null = pa.nulls
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, id_type), at, null(n, pa.int32()), null(n, pa.string()), null(n, pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), null(m, id_type), null(m, at.type), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(numbers), pa.string()), pa.array(times.astype(np.int64))], names)
-            ids, ats, numbers, size, done = [], [], {}, 0, done + 1
+            nonlocal ids, ats, size, done
+            block, n, m, null = task | done, len(ids), len(numbers), pa.nulls
+            times = np.bincount(np.concatenate(ats), minlength=m).astype(np.int64)
+            packed = [pa.array(list(map(len, ats)), pa.int32()), pa.array(list(map(_squeezed, ats)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(ids, id_type), *packed, null(n, pa.int32()), null(n, pa.string()), null(n, pa.int64())], names)
+            words = list(numbers)
+            for k in range(0, m, 50_000):
+                own = words[k : k + 50_000]
+                some = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(some, block)), null(some, id_type), null(some, pa.int32()), null(some, pa.binary()), pa.array(np.arange(k, k + some, dtype=np.int32)), pa.array(own, pa.string()), pa.array(times[k : k + some])], names)
+            numbers.clear()
+            ids, ats, size, done = [], [], 0, done + 1
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             texts, own = batch.column("text"), batch.column("doc_id")
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
-                found = t.segment.findall(" " + text) if text and t.given_back(text) else []
+                found = t.segments(" " + text) if text and t.given_back(text) else []
                 if ids and size + len(text or "") > block_chars:
                     yield from drained()
-                for x in set(found).difference(numbers):
-                    numbers[x] = len(numbers)
                 ids.append(own[k].as_py())
                 ats.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
                 size += len(text or "")
         if ids:
             yield from drained()
 
-    return docs.select("doc_id", "text").mapInArrow(pooled, f"block long, doc_id {kind}, at array<int>, number int, seg string, times long")
-
-
-def segments(rows: DataFrame, paths: tuple[str, str], call_chars: int = CALL_CHARS) -> DataFrame:
-    """seg, n (occurrences), n_a, n_b, n_groups, links and groups of every distinct segment."""
-    distinct = rows.where("seg IS NOT NULL").groupBy("seg").agg(F.sum("times").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(pooled, f"block long, doc_id {kind}, n int, at binary, number int, seg string, times long")
+
+
+def segments(rows: DataFrame, paths: tuple[str, str], call_chars: int = CALL_CHARS, dealt_blocks: int = DEALT_BLOCKS) -> DataFrame:
+    """seg, n (occurrences), n_a, n_b, n_groups, links, groups and places (block, number) of every distinct segment."""
+    parts = -(-rows.where("at IS NOT NULL").select("block").distinct().count() // dealt_blocks)
+    own = rows.where("seg IS NOT NULL").select("seg", "block", "number", "times", F.pmod(F.xxhash64("block"), F.lit(max(1, parts)).cast("long")).alias("part"))
+    names = ["seg", "n", "n_a", "n_b", "n_groups", "links", "groups", "block", "number"]
+
+    def aligned_runs(table: pa.Table, t: Tokenizers) -> pa.RecordBatch:
+        seg = table.column("seg").combine_chunks()
+        starts = np.flatnonzero(np.concatenate([[True], ~pc.equal(seg.slice(1), seg.slice(0, len(seg) - 1)).to_numpy(zero_copy_only=False)]))
+        texts = seg.take(pa.array(starts)).to_pylist()
+        got: list = [None] * len(texts)
+        held, size = [], 0
+        calls = [[k] for k, x in enumerate(texts) if x[-1] in WHITE]  # only the end of a text; joined, its white space would go on
+        for k, x in enumerate(texts):
+            if x[-1] not in WHITE:
+                held.append(k)
+                size += len(x)
+                if size >= call_chars:
+                    calls.append(held)
+                    held, size = [], 0
+        for call in [*calls, held] if held else calls:
+            for k, one in zip(call, aligned([texts[k] for k in call], t)):
+                got[k] = one
+        numbers = [pa.array([x[c] for x in got], pa.int64()) for c in range(3)]
+        links = [x[3] for x in got]
+        flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, links)]).astype(np.int32), pa.array(np.concatenate(links)))
+        cut = np.append(starts, len(seg)).astype(np.int32)
+        places = [pa.ListArray.from_arrays(cut, table.column(c).combine_chunks()) for c in ("block", "number")]
+        n = pa.array(np.add.reduceat(table.column("times").to_numpy(), starts))
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), n, *numbers, flat, pa.array([x[4] for x in got], pa.string()), *places], names)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizers(*paths)
+        t, held = tokenizers(*paths), None
         for batch in batches:
-            texts = batch.column("seg").to_pylist()
-            got: list = [None] * len(texts)
-            held, size = [], 0
-            calls = [[k] for k, x in enumerate(texts) if x[-1] in WHITE]  # only the end of a text; joined, its white space would go on
-            for k, x in enumerate(texts):
-                if x[-1] not in WHITE:
-                    held.append(k)
-                    size += len(x)
-                    if size >= call_chars:
-                        calls.append(held)
-                        held, size = [], 0
-            for own in [*calls, held] if held else calls:
-                for k, one in zip(own, aligned([texts[k] for k in own], t)):
-                    got[k] = one
-            numbers = [pa.array([x[c] for x in got], pa.int64()) for c in range(3)]
-            links = [x[3] for x in got]
-            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, links)]).astype(np.int32), pa.array(np.concatenate(links) if links else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *numbers, flat, pa.array([x[4] for x in got], pa.string())], ["seg", "n", "n_a", "n_b", "n_groups", "links", "groups"])
-
-    return distinct.mapInArrow(align, "seg string, n long, n_a long, n_b long, n_groups long, links array<long>, groups string")
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            seg = table.column("seg")
+            breaks = np.flatnonzero(~pc.equal(seg.slice(1), seg.slice(0, len(seg) - 1)).to_numpy()) if len(seg) > 1 else []
+            cut = int(breaks[-1]) + 1 if len(breaks) else 0  # the last segment may go on in the next batch
+            if cut:
+                yield aligned_runs(table.slice(0, cut), t)
+            held = table.slice(cut)
+        if held is not None and len(held):
+            yield aligned_runs(held, t)
+
+    dealt = own.repartition("seg", "part").sortWithinPartitions("seg").drop("part")
+    return dealt.mapInArrow(align, "seg string, n long, n_a long, n_b long, n_groups long, links array<long>, groups string, block array<long>, number array<int>")
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
@@ -228,15 +272,19 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(highest), "b").select("link", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
+SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+
+
 def valued(found: DataFrame, sent_pairs: int = SENT_PAIRS) -> DataFrame:
-    """The segments with n_links, n_best and count_sum of their links."""
+    """The segments (without ``links``) with n_links, n_best and count_sum of their links."""
     counts = written(pair_counts(found), "alignment-pairs")
-    rows = found.withColumn("n_links", F.size("links").cast("long"))
-    names = ["seg", "n_a", "n_b", "n_groups", "n_links", "groups"]
+    names = ["n_a", "n_b", "n_groups", "n_links", "groups", "block", "number"]
     if counts.count() > sent_pairs:
-        links = found.select("seg", F.explode("links").alias("link")).join(counts, "link")
-        sums = links.groupBy("seg").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        return rows.select(*names).join(sums, "seg")
+        row = F.struct("seg", F.col("block")[0])  # of one segment in several tasks, each has blocks of its own
+        rows = found.withColumn("row_", row).withColumn("n_links", F.size("links").cast("long"))
+        links = rows.select("row_", F.explode("links").alias("link")).join(counts, "link")
+        sums = links.groupBy("row_").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        return rows.select("row_", *names).join(sums, "row_").drop("row_")
     table = counts.toArrow().sort_by("link")  # a counted bound
     sent = found.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("link", "count", "best")])
 
@@ -247,39 +295,80 @@ def valued(found: DataFrame, sent_pairs: int = SENT_PAIRS) -> DataFrame:
             at = np.searchsorted(link, lists.flatten().to_numpy())
             cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(x[at])])[cut])) for x in (best.astype(np.int64), count)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *sums], [*names, "n_best", "count_sum"])
+            columns = [pa.array(np.diff(cut).astype(np.int64)) if c == "n_links" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, *sums], [*names, "n_best", "count_sum"])
 
-    return rows.mapInArrow(met, "seg string, n_a long, n_b long, n_groups long, n_links long, groups string, n_best long, count_sum long")
+    return found.mapInArrow(met, "n_a long, n_b long, n_groups long, n_links long, groups string, block array<long>, number array<int>, n_best long, count_sum long")
 
 
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+def returned(values: DataFrame, places: int = PACKED_PLACES) -> DataFrame:
+    """The segments of each block as packed arrays: (block, n, bytes of groups, data). A task packs what it has for a block."""
+    names = ["block", "n", "chars", "data"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = table.column("block").chunk(0)
+            row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+            block, number = lists.flatten().to_numpy(), table.column("number").chunk(0).flatten().to_numpy()
+            order = np.argsort(block, kind="stable")
+            ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1
+            sums, groups = [table.column(c).to_numpy() for c in SUMS], table.column("groups").to_pylist()
+            out, start = [], 0
+            for end in ends.tolist():
+                at = order[start:end]
+                own = row[at]
+                text = np.frombuffer("\n".join(map(groups.__getitem__, own.tolist())).encode(), np.uint8)
+                out.append((int(block[at[0]]), end - start, len(text), _squeezed(*(x[own] for x in sums), number[at], text)))
+                start = end
+            for k in range(0, len(out), 100):
+                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out[k : k + 100]], pa.schema([("block", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("data", pa.binary())]))
+            held, size = [], 0
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += len(batch.column("number").flatten())
+            if size >= places:
+                yield from drained()
+        if held:
+            yield from drained()
+
+    return values.mapInArrow(pack, "block long, n long, chars long, data binary")
 
 
-def composed(rows: DataFrame, values: DataFrame) -> DataFrame:
+def composed(rows: DataFrame, packs: DataFrame) -> DataFrame:
     """Every document with the sums over its segments and the digest of its groups."""
     kind = dict(rows.dtypes)["doc_id"]
-    own = rows.where("seg IS NOT NULL").select(F.col("block").alias("of"), "number", "seg").join(values, "seg").drop("seg")
 
-    def compose(docs: pa.Table, table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("number").to_numpy())
-        table = table.take(pa.array(order)).combine_chunks()
-        groups = table.column("groups").to_pylist()
-        numbers = np.stack([table.column(c).to_numpy() for c in SUMS]) if len(groups) else np.zeros((len(SUMS), 0), np.int64)
+    def compose(docs, table):
+        total = sum(table.column("n").to_pylist())
+        numbers, groups = np.zeros((len(SUMS), total), np.int64), [""] * total
+        for n, chars, data in zip(*(table.column(c).to_pylist() for c in ("n", "chars", "data"))):
+            own = _released(data, 52 * n + chars)
+            at = np.frombuffer(own, np.int32, n, 48 * n)
+            numbers[:, at] = np.frombuffer(own, np.int64, 6 * n).reshape(6, n)
+            for k, text in zip(at.tolist(), str(own[52 * n :], "utf-8").split("\n")):
+                groups[k] = text
         sums, digests = [], []
-        for at in docs.column("at"):
-            at = at.values.to_numpy()
+        for n, data in zip(docs.column("n").to_pylist(), docs.column("at")):
+            at = np.frombuffer(_released(data.as_py(), 4 * n), np.int32) if n else np.empty(0, np.int32)
             sums.append(numbers[:, at].sum(1))
-            digests.append(hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
+            digests.append(hashlib.sha256(";".join(map(groups.__getitem__, at.tolist())).encode()).hexdigest() if n else "")
         out = np.array(sums, np.int64).reshape(-1, len(SUMS)).T
         return pa.Table.from_arrays([docs.column("doc_id"), *map(pa.array, out), pa.array(digests, pa.string())], names=["doc_id", *SUMS, "groups_sha256"])
 
     kinds = ", ".join(f"{c} long" for c in SUMS)
-    of_docs = rows.where("at IS NOT NULL").select("block", "doc_id", "at").groupBy("block")
-    return of_docs.cogroup(own.groupBy("of")).applyInArrow(compose, f"doc_id {kind}, {kinds}, groups_sha256 string")
+    of_docs = rows.where("at IS NOT NULL").select("block", "doc_id", "n", "at").groupBy("block")
+    own = packs.withColumnRenamed("block", "of").groupBy("of")
+    return of_docs.cogroup(own).applyInArrow(compose, f"doc_id {kind}, {kinds}, groups_sha256 string")
 
 
-def alignments(docs: DataFrame, a: str, b: str, block_chars: int = BLOCK_CHARS, sent_pairs: int = SENT_PAIRS) -> DataFrame:
+def alignments(docs: DataFrame, a: str, b: str, block_chars: int = BLOCK_CHARS, sent_pairs: int = SENT_PAIRS, dealt_blocks: int = DEALT_BLOCKS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
-    rows = written(blocks(docs, (a, b), block_chars), "alignment-blocks")
-    found = written(segments(rows, (a, b)), "alignment-segments")
-    return composed(rows, valued(found, sent_pairs))
+    rows = written(blocks(docs, (a, b), block_chars), "alignment-blocks", "zstd")
+    found = written(segments(rows, (a, b), dealt_blocks=dealt_blocks), "alignment-segments", "zstd")
+    return composed(rows, returned(valued(found, sent_pairs)))

@@ -51,10 +51,10 @@ def sent(keys: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(keys) if rows <= BROADCAST_ROWS else keys
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder: lineage ends there, so losing an
     executor later costs a reread and not a recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

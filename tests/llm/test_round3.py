@@ -121,7 +121,7 @@ def _alignments(rows):
     return sorted([(d, a, b, len(g), len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), digest(g)) for d, a, b, links, g in docs], key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_chars": 50}, {"sent_pairs": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_chars": 50}, {"block_chars": 50, "dealt_blocks": 2}, {"block_chars": 50, "dealt_blocks": 2, "sent_pairs": 0}])
 def test_alignment_of_segments_equals_alignment_of_texts(docs, options):
     got = sorted([tuple(r) for r in alignment.alignments(docs, A, B, **options).collect()], key=str)
     assert got == _alignments(AWKWARD)
@@ -136,7 +136,7 @@ def test_segments_are_never_cut_where_a_token_may_reach_across():
     assert "\r" not in t.cuts and " " in t.cuts and "\n" in t.cuts
     for _ in range(1500):
         text = " " + "".join(draw.choice(["a", "B", "'s", " ", "  ", "\n", "\t", "\r", ";", ")\r", "1", "é", "　", "\xa0", "🙂", "<s>"]) for _ in range(draw.randint(1, 12)))
-        segments = t.segment.findall(text)
+        segments = t.segments(text)
         assert "".join(segments) == text
         one = t.encoded(text)
         parts = [t.encoded(s) for s in segments]
