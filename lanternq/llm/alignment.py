@@ -45,7 +45,7 @@ BLOCK_CHARS = 32_000_000
 CALL_CHARS = 32_000
 #: Blocks up to which the rows of one segment meet in one task, and places of segments that are packed at a time.
 DEALT_BLOCKS = 20_000
-PACKED_PLACES = 2_000_000
+PACKED_PLACES = 500_000
 #: Counted pairs of ids up to which their counts are sent to every task; 17 bytes each.
 SENT_PAIRS = 4_000_000
 SPACE_PIECE = "▁"

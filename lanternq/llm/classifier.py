@@ -40,7 +40,8 @@ BUCKETS = 1 << 21
 ALPHA = 1.0
 COST = 1.0
 EPOCHS = 30
-SEED = 11#: Odd multipliers of the hash of a bigram, and the bigram that stands for all repetitions.
+SEED = 11
+#: Odd multipliers of the hash of a bigram, and the bigram that stands for all repetitions.
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _REPEATED = np.uint64(0x165667B19E3779F9)
 
@@ -110,11 +111,11 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, train_rows: int) -> DataFrame:
     """doc_id, y (0 or 1) and text of the bounded sample."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
+    known = labels.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"))
     halves = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows // 2) for v in (0, 1)]
     chosen = halves[0].unionByName(halves[1])  # no more than train_rows rows
-    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(text_or_empty()).alias("text"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(text_or_empty()).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS, buckets: int = BUCKETS) -> Model:

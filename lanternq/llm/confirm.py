@@ -64,14 +64,15 @@ def _open_sets(docs: DataFrame, open_: DataFrame, shingle: int) -> DataFrame:
     """``open_`` (id, g, n, words, least) with s, the set of shingles; each set is read from one of its rows."""
     keys = open_.select("id", F.col("least.doc_id").alias("own_id"), F.col("least.th_").alias("own_th"))
     rows = keys.count()
-    texts = docs.join(sent(keys, rows), docs["doc_id"].eqNullSafe(keys["own_id"]) & (F.xxhash64(docs["text"]) == keys["own_th"]))
+    texts = docs.select(F.col("doc_id").alias("of_id"), F.col("text").alias("of_text"))
+    texts = texts.join(sent(keys, rows), F.col("of_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("of_text") == F.col("own_th")))
 
     def listed(it):
         for batch in it:
             sets = [shingle_set(x.as_py(), shingle).view(np.int64) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    found = texts.select("id", text_or_empty(docs["text"]).alias("text")).mapInArrow(listed, "id binary, s array<long>")
+    found = texts.select("id", text_or_empty("of_text").alias("text")).mapInArrow(listed, "id binary, s array<long>")
     found = written(found, "near-sets")
     if found.count() > rows:  # rows that repeat both doc_id and text
         found = found.groupBy("id").agg(F.first("s").alias("s"))

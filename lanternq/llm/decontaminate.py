@@ -11,8 +11,8 @@ passage; overlapping passages of one item merge.
 best local score, as a share of the item's score with itself, is the row's ``score``; rows at
 ``threshold`` or more are leaks. Changed, inserted and dropped words lower the score gradually.
 
-The test set is taken in blocks of bounded bytes, each checked before it is sent to the tasks; every
-block meets all documents. A document's text goes to Python once for the word counts and once for
+The test set is taken in blocks whose built tables have a bounded size, known before they are sent to the tasks (an item
+that is larger is a block with others of its hash); every block meets all documents. A document's text goes to Python once for the word counts and once for
 the search; nothing but counts of the items' words and the leaks is shuffled.
 
 Defined results: texts and items without words leak nothing; an item with fewer words than n is its
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from lanternq.llm.common import text_or_empty, written
+from lanternq.llm.common import sent, text_or_empty, written
 
 WORD = re.compile(r"\w+")
 N = 3
@@ -44,8 +44,9 @@ LEAST_SEEDS = 8
 SLACK = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
-#: Bytes of test items in one block.
-BLOCK_BYTES = 16_000_000
+#: Bytes of one block's tables as they are built and sent: about so many for a word (its n-gram and where it occurs).
+BUILT_BYTES = 280
+BLOCK_BYTES = 64_000_000
 
 
 def words_of(text: str) -> list[str]:
@@ -150,7 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE,
     """A row for each document and item that it leaks: doc_id, item_id, score (0 to 1), first_word and end_word."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", text_or_empty().alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    size = items.agg(F.sum(F.regexp_count("text", F.lit(r"(?U)\w+")) * BUILT_BYTES + F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     doc_type, item_type = dict(docs.dtypes)["doc_id"], dict(benchmark.dtypes)["item_id"]
@@ -188,4 +189,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("key"), "text")
     found = leaks(keyed.select(F.to_json("key", {"ignoreNullFields": "false"}).alias("doc_id"), "text"), benchmark, **options)
     bad = written(found.select(F.from_json("doc_id", f"doc_id {dict(docs.dtypes)['doc_id']}, th long").alias("key")).distinct().select(F.col("key.doc_id").alias("bad_id_"), F.col("key.th").alias("bad_th_")), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id_"]) & (F.xxhash64(docs["text"]) == bad["bad_th_"]), "left_anti")
+    return docs.join(sent(bad, bad.count()), docs["doc_id"].eqNullSafe(bad["bad_id_"]) & (F.xxhash64(docs["text"]) == bad["bad_th_"]), "left_anti")

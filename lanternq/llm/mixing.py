@@ -195,7 +195,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     shared = F.coalesce((F.col("own_") == F.col("last_")) & (F.col("taken_") < F.col("rows_")), F.lit(False))
     joined = joined.withColumns({"times_": F.col("epochs") + first.cast("int"), "shared_": shared})
     if plan.where("taken_ < rows_").limit(1).count():
-        tied = joined.where("shared_").withColumn("k_", F.row_number().over(W.partitionBy("own_").orderBy(F.lit(0))))
+        tied = joined.where("shared_").withColumn("k_", F.row_number().over(W.partitionBy("own_").orderBy(F.to_json("row_"))))
         tied = tied.withColumn("times_", F.col("epochs") + (F.col("k_") <= F.col("taken_")).cast("int")).drop("k_")
         joined = joined.where("NOT shared_").unionByName(tied)
     return joined.where("times_ > 0").withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("times_")))).select("row_.*")

@@ -1,9 +1,9 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
-*Detection.* Email addresses; phone numbers (with a country code, or in the national layout of ten
-digits); payment cards whose check digit holds; IBANs whose check digits hold; social security numbers
-of the valid ranges; IPv4 and IPv6 addresses; secret tokens; and names: up to four capitalized words
-after an honorific, or after a known given name. What a text names once is a name wherever that text
+*Detection.* Email addresses; phone numbers (with a country code, in the national layout of ten
+digits, or with a leading zero); payment cards whose check digit holds; IBANs whose check digits hold; social security numbers
+of the valid ranges; IPv4 and IPv6 addresses; secret tokens; and names: capitalized words
+after an honorific, after a phrase that introduces one, or after a known given name (but no street or place). What a text names once is a name wherever that text
 has it as a word of its own. Each entity has a canonical form (lower case, digits only), so spellings of
 one entity share one surrogate, in all documents and after any honorific.
 
@@ -20,8 +20,9 @@ is written back into the format and case of each occurrence.
 of known names has no fixed point. What can still go wrong is checked over the distinct entities of
 the whole corpus: a surrogate that equals a real entity of its type, or one that two rules both give.
 Those entities get the next candidate (another tweak), checked against all entities and all surrogates
-given so far, until none is left. After ``TWEAKS`` candidates the format counts as full and grows by a
-character (an address by the digits of a group); an entity that is left after that is an error.
+given so far, until none is left. After ``TWEAKS`` candidates the format counts as full and grows
+(an address by the digits of a group), by more each time, so few rounds settle what is left. Only cards, IBANs, phone and social
+security numbers do not grow; that they have more entities than half of their forms is an error.
 The few entities with such a later candidate reach their documents by a join.
 
 Defined results: null texts stay null and empty texts empty; texts without entities are unchanged;
@@ -45,14 +46,14 @@ from pyspark.sql import functions as F
 
 from lanternq.llm.common import sent, written
 
-#: The setting that holds the key, and the key of examples and tests for sessions without it.
+#: The setting that holds the key. There is no other key: whoever knows it can undo surrogates.
 KEY_SETTING = "spark.lanternq.pii.key"
-EXAMPLE_KEY = b"replace this key"
 TYPES = ("email", "phone", "card", "iban", "ssn", "ip", "secret", "name")
 ROUNDS = 6
-#: Candidates in an entity's own format, and rounds with grown formats after them.
+#: Candidates in an entity's own format; later ones are longer, where the type may be, by two characters more each time.
 TWEAKS = 8
-GROWN = 24
+#: Rounds without a single entity settled after which a type of fixed length is taken to have no room left.
+FULL_ROUNDS = 16
 
 EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 #: Signs that may stand between the groups of one number.
@@ -61,6 +62,7 @@ PHONE = re.compile(
     rf"(?<![\w+])(?P<country>\+\d{{1,3}}){_GAP}\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{4}}(?!\d)"
     r"|(?<![\w+])\+(?P<whole>[1-9](?:[ .()/-]{0,3}\d){7,14})(?![\d])"
     r"|(?<![\w+])\(?\d{3}\)?[ .-]{1,2}\d{3}[ .-]\d{4}(?!\d)"
+    r"|(?<![\w+])(?:\(0\d{1,4}\)|0\d{1,4})[ /-](?P<local>\d{3,8}(?:[ -]\d{2,4}){0,3})(?![\w-])"
 )
 CARD = re.compile(r"(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w])")
 IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
@@ -91,7 +93,9 @@ _CAPITALS = {name.capitalize(): name for name in KNOWN} | {name.upper(): name fo
 PARTICLES = "van von de der den di da del la le".split()
 _WORD = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
 TITLE = re.compile(rf"\b(?:{'|'.join(HONORIFICS)})\b\.?[ \u00a0](?=[^\W\d_])")
-NAME_WORDS = 4
+#: What a person's name follows, and words that make a street or place of one.
+NAMED = re.compile(r"\b(?i:my name is|mein name ist|je m'appelle|me llamo|меня зовут)[ \u00a0](?=[^\W\d_])")
+PLACES = "street road avenue lane square bridge park hall station hospital university school college church river lake island".split()
 _SIGNS = frozenset(HONORIFICS) | frozenset(_CAPITALS)
 _NAME_WORD = re.compile(_WORD)
 
@@ -106,7 +110,10 @@ HEX = "0123456789abcdef"
 
 def session_key(spark: SparkSession) -> bytes:
     """The key that the session is set up with; keep it secret and the same for all runs that are to agree."""
-    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY.decode()).encode()
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"{KEY_SETTING} has to hold a secret key")
+    return key.encode()
 
 
 def _draw(key: bytes, *parts: object) -> int:
@@ -240,7 +247,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, list]]:
     """(start, end, type, parts) of the entities that have digits."""
     for m in SECRET.finditer(text):
         a, b = m.span("value") if m["value"] else m.span()
-        if any(c.isdigit() for c in text[a:b]):
+        if any(c.isdigit() for c in text[a:b]) or any(c in "=:" for c in text[m.start() : a]):  # words after "secret" alone are no secret
             yield a, b, "secret", [(a, b, "secret")]
     for m in IBAN.finditer(text):
         plain = m[0].replace(" ", "")
@@ -260,6 +267,8 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str, list]]:
         yield *m.span(), "ssn", [(*m.span(), "ssn")]
     for m in PHONE.finditer(text):
         a = m.start()
+        if m["local"] and not 9 <= len(_digits(m[0])) <= 12:
+            continue
         if m["country"]:
             a = m.end("country")
         elif m["whole"]:
@@ -276,7 +285,7 @@ def _name_parts(text: str, start: int) -> list[tuple[int, int, str]]:
     """Given names and surname of the name that begins at ``start``: capitalized words with single spaces, and
     particles, between them; nothing if there is none."""
     words, at = [], start
-    while len(words) < NAME_WORDS and (m := _NAME_WORD.match(text, at)):
+    while m := _NAME_WORD.match(text, at):
         if m[0][0].isupper():
             words.append(m.span())
         elif not words or m[0] not in PARTICLES:
@@ -298,11 +307,12 @@ def _names(text: str) -> Iterator[tuple[int, int, str, list]]:
     found, known = [], _name_signs(text)
     if not known.isdisjoint(HONORIFICS):
         found += [_name_parts(text, m.end()) for m in TITLE.finditer(text)]
+    found += [_name_parts(text, m.end()) for m in NAMED.finditer(text)]
     if known := known & _CAPITALS.keys():
         end = 0
         for m in re.finditer(rf"(?<![\w'’-])(?:{'|'.join(sorted(known))})(?=[ \u00a0])", text):
             parts = _name_parts(text, m.start()) if m.start() >= end else []
-            if len(parts) > 1:
+            if len(parts) > 1 and text[slice(*parts[-1][:2])].lower() not in PLACES:
                 found.append(parts)
                 end = parts[-1][1]
     kinds: dict[str, str] = {}
@@ -343,7 +353,7 @@ def entities(text: str) -> list[tuple[int, int, str, str, str, bool]]:
         for m in EMAIL.finditer(text):
             at = text.index("@", m.start())
             found.append((m.start(), m.end(), "email", [(m.start(), at, "local"), (at + 1, m.end(), "domain")]))
-    if re.search(r"\d", text):
+    if re.search(r"[\d=:]", text):
         found += _numbers(text)
     found += _names(text)
     found.sort(key=lambda f: (f[0], -f[1]))
@@ -408,8 +418,9 @@ def collided(found: DataFrame, key: bytes, tweaks: int = TWEAKS) -> DataFrame:
     names = found.sparkSession.createDataFrame([("given", n) for n in KNOWN], "kind string, new string")
     real = found.where(~known).select("kind", F.col("form").alias("new")).unionByName(names)
     given, open_, later = None, found.where(~known), None
-    for tweak in range(tweaks + GROWN):
-        tried = _candidates(open_, key, tweak, max(0, tweak - tweaks + 1))
+    tweak = failed = 0
+    while True:
+        tried = _candidates(open_, key, tweak, max(0, 2 * (tweak - tweaks) + 1))
         rank = F.row_number().over(W.partitionBy("kind", "new").orderBy("form"))
         tried = tried.withColumn("rank", rank).join(real.withColumn("hit", F.lit(True)), ["kind", "new"], "left")
         if given is not None:
@@ -424,10 +435,13 @@ def collided(found: DataFrame, key: bytes, tweaks: int = TWEAKS) -> DataFrame:
             own = good.select("kind", "form", "new")
             later = own if later is None else later.unionByName(own)
         open_ = tried.where("clash").select("kind", "form")
-        if open_.limit(1).count() == 0:
+        left = tried.groupBy("clash").count().collect()  # two rows
+        if not any(r["clash"] for r in left):
             break
-    else:
-        raise ValueError("entities are left without a surrogate of their own")
+        failed = failed + 1 if all(r["clash"] for r in left) else 0
+        if failed > FULL_ROUNDS:
+            raise ValueError("a type of fixed length has as many entities as it has forms")
+        tweak += 1
     return found.select("kind", "form", F.col("form").alias("new")).limit(0) if later is None else later
 
 

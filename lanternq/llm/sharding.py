@@ -22,6 +22,8 @@ gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -77,13 +79,18 @@ def _checksum() -> Column:
 
 
 def _bucket(buckets: int) -> Column:
-    name = F.concat_ws("/", F.col("doc_id").cast("string"), _checksum().cast("string"))
+    """By doc_id; only rows without one are told apart by their texts, so the counting pass reads no other text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("/"), _checksum().cast("string")))
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % buckets
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (null: the law is ``rows``) of every row."""
-    counts = dict(docs.groupBy(_bucket(buckets).alias("b")).count().collect())
+    # Rows with doc_id are counted without their texts, which only the others need.
+    halves = docs.where("doc_id IS NOT NULL").select("doc_id", F.lit(None).cast("string").alias("text")), docs.where("doc_id IS NULL").select("doc_id", "text")
+    counts: Counter = Counter()
+    for half in halves:
+        counts.update(dict(half.groupBy(_bucket(buckets).alias("b")).count().collect()))  # no more rows than buckets
     offsets, n = [], 0
     for b in range(buckets):
         offsets.append(n)
@@ -126,7 +133,7 @@ d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 h0 AS MATERIALIZED (SELECT doc_id, (length(x) // 2 + 8)::BIGINT AS size,
   xor(list_reduce(list_transform(range(length(x) // 2), lambda j: ('0x' || substr(x, 2 * j + 1, 2))::BIGINT),
     lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM d, crc),
-h AS MATERIALIZED (SELECT *, ('0x' || substr(md5(concat_ws('/', doc_id::VARCHAR, text_crc32::VARCHAR)), 1, 8))::BIGINT % {BUCKETS} AS b_ FROM h0),
+h AS MATERIALIZED (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '/' || text_crc32::VARCHAR)), 1, 8))::BIGINT % {BUCKETS} AS b_ FROM h0),
 c AS (SELECT count(*)::BIGINT AS n, greatest(1, floor(sqrt(count(*))))::BIGINT AS s FROM h),
 f AS MATERIALIZED (SELECT n, a, (n + a - 1) // a AS b FROM c, unnest(range(s, 2 * s + 2)) AS t(a) ORDER BY (n + a - 1) // a * a - n, a LIMIT 1),
 r AS MATERIALIZED (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY b_, doc_id NULLS FIRST, text_crc32, size) - 1 AS i FROM h),

@@ -248,5 +248,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
         again = keys.where("stays")
         same = docs.join(sent(again, sizes[True]), docs["doc_id"].eqNullSafe(again["own_id"]) & (th == again["own_th"]), "left_semi")
         whole = same.select(F.struct(*[same[c] for c in docs.columns]).alias("row_"), same["doc_id"].alias("k_"), F.xxhash64(same["text"]).alias("h_"))
-        out = out.unionByName(whole.groupBy("k_", "h_").agg(F.first("row_").alias("row_")).select("row_.*"))
+        # Which of them is the least in all columns, as text: the same in every run.
+        out = out.unionByName(whole.groupBy("k_", "h_").agg(F.min_by("row_", F.to_json("row_")).alias("row_")).select("row_.*"))
     return out

@@ -222,3 +222,57 @@ def test_exchanges_empty_sequences_that_best_fit_leaves():
     large = draw.integers(500, 900, 3000).astype(np.int64)
     own = packing.best_fit(large, 2048)
     assert len(np.unique(packing.emptied(large, own, 2048))) < 0.96 * (own.max() + 1)
+
+
+#: Every name that a step of these operators gives to a column of its own, and some that tables often have.
+INNER = (
+    "y id h k n b w e s g key th th_ row_ rows times stays own own_id own_th of_id of_text words count bin tile other meets left right i j a piece side whole parts least root node fp "
+    "size o_ b_ n_ p_ size_ own_ last_ rows_ taken_ times_ copy_ epochs more rank ahead target source_ source_size c shared_ k_ h_ bad_id_ bad_th_ item_id score label quality label_ held_out predicted kept base_failed "
+    "n_words word_chars n_symbols number seg links at block length group_ value values text_ doc column1 window"
+).split()
+
+
+def test_extra_columns_of_any_name_change_nothing(spark, sf):
+    from lanternq.llm import classifier, decontaminate, mixing, quality_rules, sharding, simhash
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels, benchmark = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
+    more = docs.withColumns({c: F.lit("clash") for c in INNER if c not in docs.columns})
+    for name, apply in {
+        "op1": lambda d: classifier.quality_scores(d, labels.withColumns({c: F.lit("x") for c in INNER if c not in labels.columns})),
+        "rules": quality_rules.keep_good, "dedup": simhash.keep_one, "clean": lambda d: decontaminate.keep_clean(d, benchmark), "mix": mixing.mixed_rows, "shards": sharding.sharded,
+    }.items():
+        want, got = apply(docs), apply(more)
+        if name not in ("op1", "shards"):
+            assert got.columns == more.columns and got.where("id <> 'clash'").count() == 0
+        assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect())), name
+
+
+def test_rows_that_differ_in_other_columns_only_are_picked_alike_in_every_run(spark):
+    from lanternq.llm import mixing, simhash
+
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, text, lang, "s", k) for k, lang in enumerate(["de", "en", "fr", "es"])]
+    picked = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars int").repartition(4)
+        assert [r["lang"] for r in simhash.keep_one(docs).collect()] == ["de"]
+        other = docs.unionByName(spark.createDataFrame([(9, "a b c", "en", "t", 0)], docs.schema))
+        picked.append(sorted((r["doc_id"], r["lang"]) for r in mixing.mixed_rows(other).collect()))
+    assert picked[0] == picked[1]
+
+
+def test_personal_data_that_was_left_in_clear(spark):
+    from lanternq.llm import pii
+
+    key = b"k"
+    new = lambda t: pii.replaced(t, key)[0]
+    for text, gone in {
+        "Mr Juan Carlos Luis Pedro Garcia Lopez called.": ["Juan", "Carlos Luis", "Garcia", "Lopez"], "api_key=ABCDEFGHIJKLMNOPQRST": ["ABCDEFGH"], "My name is Wei Zhang": ["Wei", "Zhang"],
+        "call (030) 1234567 now": ["1234567"], "call 07700 900123": ["900123"], "call 0912-345-678": ["345-678"],
+    }.items():
+        assert not any(g in new(text) for g in gone), new(text)
+    for text in ("the secret conversations", "Paul Street", "01-02-2024", "0123 456", "password requirements"):
+        assert new(text) == text
+    with pytest.raises(ValueError, match="secret key"):
+        pii.session_key(spark)
