@@ -107,10 +107,10 @@ class SegmentIndex:
         return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, born int")
 
     def postings(self) -> DataFrame:
-        return self._segments("postings", "term string, chunk_id {chunk_id}, document_id {document_id}, tf long, length long, block int, bucket int")
+        return self._segments("postings", "term string, chunk_id {chunk_id}, document_id {document_id}, tf long, length long, block long, bucket int")
 
     def bounds(self) -> DataFrame:
-        return self._segments("bounds", "term string, block int, df long, most_tf long, least_length long, bucket int")
+        return self._segments("bounds", "term string, block long, df long, most_tf long, least_length long, bucket int")
 
     def chunks(self) -> DataFrame:
         """The chunks that are left, with their terms."""
@@ -145,12 +145,16 @@ class SegmentIndex:
         """A new segment of chunks (chunk_id, document_id, length, posts)."""
         own = uuid.uuid4().hex
         place = f"{self.path}/data/{own}"
-        posted.select("chunk_id", "document_id", "length", "posts").write.parquet(f"{place}/chunks")
-        rows = self.spark.read.schema(posted.select("chunk_id", "document_id", "length", "posts").schema).parquet(f"{place}/chunks")
+        # Neighbours in this order have their commonest word and about their length in common, so bounds of a block are close.
+        commonest = F.array_max(F.transform("posts", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"))))["term"]
+        ordered = posted.select("chunk_id", "document_id", "length", "posts").withColumn("common_", commonest).repartitionByRange("common_", "length", "chunk_id").sortWithinPartitions("common_", "length", "chunk_id")
+        number = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
+        block = F.shiftright(number, 33) * F.lit(1 << 33) + F.floor(number.bitwiseAND((1 << 33) - 1) / self.content["block_chunks"])
+        ordered = ordered.drop("common_").withColumn("block", block)
+        ordered.write.parquet(f"{place}/chunks")
+        rows = self.spark.read.schema(ordered.schema).parquet(f"{place}/chunks")
         counted = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
-        blocks = max(1, -(-counted["n"] // self.content["block_chunks"]))
-        block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks).cast("long")).cast("int")
-        posts = rows.select("chunk_id", "document_id", "length", block.alias("block"), F.inline("posts"))
+        posts = rows.select("chunk_id", "document_id", "length", "block", F.inline("posts"))
         posts = posts.withColumn("bucket", portable_bucket(F.col("term"), self.content["buckets"]).cast("int"))
         # A bucket in one file, its terms in order: a reader skips row groups by term and block too.
         posts.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{place}/postings")
@@ -202,12 +206,14 @@ class SegmentIndex:
         idf = F.log(1 + (F.lit(float(self.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         return terms.join(df.where("df > 0"), "term").select("query_id", "term", idf.alias("idf"))
 
-    def lexical_search(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = True) -> DataFrame:
-        """BM25 top-k (query_id, chunk_id, score, rank) for terms (query_id, term). ``scopes`` as ``search.in_scope`` takes them."""
+    def lexical_search(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = False) -> DataFrame:
+        """BM25 top-k (query_id, chunk_id, score, rank) for terms (query_id, term). ``scopes`` as ``search.in_scope`` takes them.
+        ``pruned`` leaves out blocks that cannot reach a question's k-th score; it takes two passes, which pay where
+        questions are about few chunks."""
         rows = self.pairs(question_terms, k, settings, scopes, pruned)
         return search.top(rows.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")), k, positive_only=True)
 
-    def pairs(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = True) -> DataFrame:
+    def pairs(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = False) -> DataFrame:
         """What ``lexical_search`` adds up: (query_id, chunk_id, s), a row for each term that a question and a chunk share."""
         s = settings or Settings()
         terms = question_terms.select("query_id", "term").where("term IS NOT NULL").distinct()

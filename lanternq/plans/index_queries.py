@@ -27,7 +27,7 @@ def _chunks(spark, sf):
 def bm25_pruned(spark, sf):
     """BM25 from a saved index: only the buckets of the questions' terms are read, and only the blocks of chunks whose bound
     reaches the score that a question has already found."""
-    return _new_index(spark).appended(_chunks(spark, sf)).lexical_search(question_terms(spark, sf), 10)
+    return _new_index(spark).appended(_chunks(spark, sf)).lexical_search(question_terms(spark, sf), 10, pruned=True)
 
 
 _LEFT = "(SELECT * FROM documents WHERE doc_id % 5 <> 0)"
