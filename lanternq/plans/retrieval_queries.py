@@ -166,19 +166,6 @@ def dense_similarity(spark, sf):
     return pairs.select("query_id", "chunk_id", F.round(V.dot(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
 
 
-@query()
-def ann_recall(spark, sf):
-    """Recall of the approximate search against the exact one, and the share of all vectors it scored, for each question."""
-    rows, asked = _vectors(spark, sf)
-    centres = search.fitted_cells(rows)
-    pairs = materialized(search.cell_pairs(asked, rows, centres, 16), "cell-pairs")
-    near = search.top(pairs, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
-    exact = search.dense_top(asked, rows, 10)
-    met = pairs.groupBy("query_id").agg(F.round(F.count("*") / F.lit(max(rows.count(), 1)), 6).alias("scored"))
-    found = exact.join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    return found.join(met, "query_id", "left")
-
-
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE) * (y::DOUBLE)))), 1e-12)) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS embedding FROM embeddings))")
 def l2_normalize(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", V.l2_normalized(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))

@@ -157,18 +157,41 @@ def test_store(spark, tmp_path):
     assert [r["id"] for r in Store.loaded(spark, str(tmp_path / "one")).neighbors(spark.createDataFrame([("a", 1), ("a", 9)], "document_id string, idx long")).collect()] == ["a:1"]
 
 
-def test_approximate_search_prunes_and_finds(spark, sf):
+def test_approximate_search_prunes_and_finds(spark, sf, tmp_path):
+    from lanternq.operators.vectors import VectorIndex
     from lanternq.plans import all_queries
 
     rows = all_queries.QUERIES["ann_recall"](spark, sf).collect()
     assert np.mean([r["recall"] for r in rows]) >= 0.9
-    assert np.mean([r["scored"] for r in rows]) <= 0.6
-    empty = spark.createDataFrame([], "chunk_id long, embedding array<float>")
-    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, embedding array<float>")
-    assert search.approximate_top(asked, empty, 3).count() == 0
-    holed = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "chunk_id long, embedding array<float>")
+    assert max(r["scored"] for r in rows) <= 0.1
+    kind = "embedding array<float>"
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], f"query_id long, {kind}")
+    empty = VectorIndex.saved(spark.createDataFrame([], f"chunk_id long, {kind}"), str(tmp_path / "empty"))
+    assert empty.n == 0 and empty.top(asked, 3).collect() == []
+    holed = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0])], f"chunk_id long, {kind}")
     assert search.dense_top(asked, holed, 3).count() == 0  # one vector is missing, so there is no dense index
-    assert [r["chunk_id"] for r in search.approximate_top(asked, holed, 3).collect()] == [1]  # this one leaves it out
+    assert [(r["query_id"], r["chunk_id"]) for r in VectorIndex.saved(holed, str(tmp_path / "holed")).top(asked, 3).collect()] == [(1, 1), (1, 3)]  # this one leaves it out
+
+
+def test_vector_index_on_clusters(spark, tmp_path):
+    from lanternq.operators.vectors import VectorIndex
+
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(30, 20))
+    x = centres[draw.integers(0, 30, 3000)] + 0.35 * draw.normal(size=(3000, 20))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "chunk_id string, embedding array<double>")
+    asked = rows.where("chunk_id LIKE 'v%00'").withColumnRenamed("chunk_id", "query_id")
+    index = VectorIndex.saved(rows, str(tmp_path / "v"))
+    assert len(index.quantizer.centres) == 55 and index.rows.where("cell IS NOT NULL").count() == 3000
+    pairs = index.scored(asked, 10)
+    assert pairs.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 80  # of 3,000
+    found = {(r["query_id"], r["chunk_id"]) for r in search.top(pairs, 10).collect()}
+    names = [f"v{i:04d}" for i in range(3000)]
+    want = {(names[q], names[c]) for q in range(0, 3000, 100) for c in np.argsort(-np.round(x[q] @ x.T, 6), kind="stable")[:10]}
+    assert len(found & want) / len(want) >= 0.95
+    again = VectorIndex.opened(spark, str(tmp_path / "v"), "cell int, chunk_id string, code binary, embedding array<double>")
+    assert {(r["query_id"], r["chunk_id"]) for r in again.top(asked, 10).collect()} == found
 
 
 def test_report_and_requests(spark):
