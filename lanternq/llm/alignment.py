@@ -41,7 +41,7 @@ from lanternq.llm.common import written
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 #: Characters of the documents of a block, and of the segments that go to one call of the libraries.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 CALL_CHARS = 32_000
 #: Blocks up to which the rows of one segment meet in one task, and places of segments that are packed at a time.
 DEALT_BLOCKS = 20_000
@@ -275,69 +275,69 @@ def pair_counts(found: DataFrame) -> DataFrame:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def valued(found: DataFrame, sent_pairs: int = SENT_PAIRS) -> DataFrame:
-    """The segments (without ``links``) with n_links, n_best and count_sum of their links."""
+NAMES = ["n_a", "n_b", "n_groups", "n_links", "groups", "block", "number", "n_best", "count_sum"]
+
+
+def _valued(batches: Iterator[pa.RecordBatch], link: np.ndarray, count: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Segments with what the counts of their links add up to."""
+    for batch in batches:
+        lists = batch.column("links")
+        at = np.searchsorted(link, lists.flatten().to_numpy())
+        cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        own = {"n_links": pa.array(np.diff(cut).astype(np.int64))}
+        for name, x in (("n_best", best.astype(np.int64)), ("count_sum", count)):
+            own[name] = pa.array(np.diff(np.concatenate([[0], np.cumsum(x[at])])[cut]))
+        yield pa.RecordBatch.from_arrays([own[c] if c in own else batch.column(c) for c in NAMES], NAMES)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], places: int) -> Iterator[pa.RecordBatch]:
+    """(block, n, bytes of groups, data): the segments of each block among about ``places`` places, as packed arrays."""
+    schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("data", pa.binary())])
+    held, size = [], 0
+
+    def drained() -> Iterator[pa.RecordBatch]:
+        nonlocal held, size
+        table = pa.Table.from_batches(held).combine_chunks()
+        lists = table.column("block").chunk(0)
+        row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+        block, number = lists.flatten().to_numpy(), table.column("number").chunk(0).flatten().to_numpy()
+        order = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1
+        sums, groups = [table.column(c).to_numpy() for c in SUMS], table.column("groups").to_pylist()
+        start = 0
+        for end in ends.tolist():
+            at = order[start:end]
+            own = row[at]
+            text = np.frombuffer("\n".join(map(groups.__getitem__, own.tolist())).encode(), np.uint8)
+            data = _squeezed(*(x[own] for x in sums), number[at], text)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((int(block[at[0]]), end - start, len(text), data), schema.types)], schema.names)
+            start = end
+        held, size = [], 0
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += len(batch.column("number").flatten())
+        if size >= places:
+            yield from drained()
+    if held:
+        yield from drained()
+
+
+def returned(found: DataFrame, sent_pairs: int = SENT_PAIRS, places: int = PACKED_PLACES) -> DataFrame:
+    """The alignments of each block's segments with n_links, n_best and count_sum of their links, packed: (block, n, chars, data)."""
     counts = written(pair_counts(found), "alignment-pairs")
-    names = ["n_a", "n_b", "n_groups", "n_links", "groups", "block", "number"]
+    schema = "block long, n long, chars long, data binary"
     if counts.count() > sent_pairs:
         row = F.struct("seg", F.col("block")[0])  # of one segment in several tasks, each has blocks of its own
         rows = found.withColumn("row_", row).withColumn("n_links", F.size("links").cast("long"))
         links = rows.select("row_", F.explode("links").alias("link")).join(counts, "link")
         sums = links.groupBy("row_").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        return rows.select("row_", *names).join(sums, "row_").drop("row_")
+        return rows.join(sums, "row_").select(*NAMES).mapInArrow(lambda batches: _packed(batches, places), schema)
     table = counts.toArrow().sort_by("link")  # a counted bound
     sent = found.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("link", "count", "best")])
-
-    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        link, count, best = sent.value
-        for batch in batches:
-            lists = batch.column("links")
-            at = np.searchsorted(link, lists.flatten().to_numpy())
-            cut = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            sums = [pa.array(np.diff(np.concatenate([[0], np.cumsum(x[at])])[cut])) for x in (best.astype(np.int64), count)]
-            columns = [pa.array(np.diff(cut).astype(np.int64)) if c == "n_links" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, *sums], [*names, "n_best", "count_sum"])
-
-    return found.mapInArrow(met, "n_a long, n_b long, n_groups long, n_links long, groups string, block array<long>, number array<int>, n_best long, count_sum long")
-
-
-def returned(values: DataFrame, places: int = PACKED_PLACES) -> DataFrame:
-    """The segments of each block as packed arrays: (block, n, bytes of groups, data). A task packs what it has for a block."""
-    names = ["block", "n", "chars", "data"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def drained() -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            lists = table.column("block").chunk(0)
-            row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
-            block, number = lists.flatten().to_numpy(), table.column("number").chunk(0).flatten().to_numpy()
-            order = np.argsort(block, kind="stable")
-            ends = np.flatnonzero(np.append(np.diff(block[order]) != 0, True)) + 1
-            sums, groups = [table.column(c).to_numpy() for c in SUMS], table.column("groups").to_pylist()
-            out, start = [], 0
-            for end in ends.tolist():
-                at = order[start:end]
-                own = row[at]
-                text = np.frombuffer("\n".join(map(groups.__getitem__, own.tolist())).encode(), np.uint8)
-                out.append((int(block[at[0]]), end - start, len(text), _squeezed(*(x[own] for x in sums), number[at], text)))
-                start = end
-            for k in range(0, len(out), 100):
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out[k : k + 100]], pa.schema([("block", pa.int64()), ("n", pa.int64()), ("chars", pa.int64()), ("data", pa.binary())]))
-            held, size = [], 0
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += len(batch.column("number").flatten())
-            if size >= places:
-                yield from drained()
-        if held:
-            yield from drained()
-
-    return values.mapInArrow(pack, "block long, n long, chars long, data binary")
+    rows = found.select("links", *[c for c in NAMES if c in found.columns])
+    return rows.mapInArrow(lambda batches: _packed(_valued(batches, *sent.value), places), schema)
 
 
 def composed(rows: DataFrame, packs: DataFrame) -> DataFrame:
@@ -371,4 +371,4 @@ def alignments(docs: DataFrame, a: str, b: str, block_chars: int = BLOCK_CHARS,
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of every row of ``docs``."""
     rows = written(blocks(docs, (a, b), block_chars), "alignment-blocks", "zstd")
     found = written(segments(rows, (a, b), dealt_blocks=dealt_blocks), "alignment-segments", "zstd")
-    return composed(rows, returned(valued(found, sent_pairs)))
+    return composed(rows, returned(found, sent_pairs))
