@@ -125,6 +125,13 @@ def history(messages: DataFrame, last: int = 8) -> DataFrame:
     return recent.withColumn("started", started).where("started = 1").drop("back", "started")
 
 
+def recent(messages: Column, last: int = 8) -> Column:
+    """The same of an array of messages in order (with a role)."""
+    tail = F.slice(messages, F.greatest(F.size(messages) - last, F.lit(0)) + 1, F.lit(last))
+    first = F.array_position(F.transform(tail, lambda m: m["role"] == "user"), F.lit(True)).cast("int")
+    return F.when(first > 0, F.slice(tail, first, F.lit(last))).otherwise(F.slice(messages, F.lit(1), F.lit(0)))
+
+
 def threads(messages: DataFrame) -> DataFrame:
     """(conv_id, messages): the messages of each conversation in order."""
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))

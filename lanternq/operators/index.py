@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,13 +48,27 @@ def term_rows(chunks: DataFrame, analyzer: str = "simple", id_: str = "chunk_id"
     return stemmed(rows, "term") if analyzer == "english" else rows
 
 
+def posted(text: Column) -> Column:
+    """(length, posts array of (term, tf)) of a text. Equal terms are runs in its sorted terms, so counting needs no shuffle. What lambdas
+    read is bound by a lambda too: it is evaluated once, however the optimizer merges columns."""
+
+    def counted(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        starts = F.when(F.size(t) > 0, starts).otherwise(F.array().cast("array<int>"))
+        runs = lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("tf")))
+        return F.struct(F.size(t).cast("long").alias("length"), F.transform(F.array(starts), runs)[0].alias("posts"))
+
+    return F.transform(F.array(F.sort_array(simple_terms(F.coalesce(text, F.lit(""))))), counted)[0]
+
+
+def with_posts(chunks: DataFrame, text: str = "search_text") -> DataFrame:
+    """``chunks`` with posts (term, tf) and length."""
+    return chunks.withColumn("posted_", posted(F.col(text))).withColumns({"posts": F.col("posted_.posts"), "length": F.col("posted_.length")}).drop("posted_")
+
+
 def _counted_in_rows(chunks: DataFrame, id_: str = "chunk_id", text: str = "search_text") -> DataFrame:
-    """Runs of equal terms in each chunk's sorted terms: a run's length is the term's frequency."""
-    rows = chunks.select(F.col(id_).alias("chunk_id"), F.sort_array(simple_terms(F.col(text))).alias("t_")).where(F.size("t_") > 0)
-    starts = F.filter(F.sequence(F.lit(0), F.size("t_") - 1), lambda i: (i == 0) | (F.get("t_", i) != F.get("t_", i - 1)))
-    rows = rows.withColumn("at_", starts)
-    runs = F.transform("at_", lambda i, k: F.struct(F.get("t_", i).alias("term"), (F.coalesce(F.get("at_", k + 1), F.size("t_")) - i).cast("long").alias("tf")))
-    return rows.select("chunk_id", F.explode(runs).alias("r_")).select("chunk_id", "r_.term", "r_.tf")
+    rows = with_posts(chunks.select(F.col(id_).alias("chunk_id"), F.col(text).alias("search_text")))
+    return rows.select("chunk_id", F.inline("posts"))
 
 
 def postings(chunks: DataFrame, analyzer: str = "simple", **columns) -> DataFrame:

@@ -1,29 +1,33 @@
 """Where models plug in: encoders of texts and rerankers of pairs, and the deterministic ones that need no model.
 
-Vectors, dense and sparse, are rows (chunk_id, bucket, w)."""
+Encoders add a column to rows (..., search_text, posts): dense vectors are arrays of numbers, sparse ones arrays of (bucket, w)."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternq.functions import text as T
 from lanternq.functions import vectors as V
-from lanternq.operators import index
+
+DENSE, SPARSE = "array<double>", "array<struct<bucket: bigint, w: double>>"
 
 
 class Encoder(Protocol):
-    """Vectors for texts (chunk_id, search_text). ``posts`` are their postings (chunk_id, term, tf), for encoders that
-    count words. Queries may be encoded in another way than documents."""
+    """``documents`` and ``queries`` add ``column`` to rows (..., search_text, posts array of (term, tf)); a text without a
+    vector gets null. Queries may be encoded in another way than documents."""
 
-    def documents(self, texts: DataFrame, posts: DataFrame) -> DataFrame: ...
+    def documents(self, rows: DataFrame, column: str) -> DataFrame: ...
 
-    def queries(self, texts: DataFrame, posts: DataFrame) -> DataFrame: ...
+    def queries(self, rows: DataFrame, column: str) -> DataFrame: ...
 
 
 class Reranker(Protocol):
@@ -32,22 +36,56 @@ class Reranker(Protocol):
     def scored(self, pairs: DataFrame) -> DataFrame: ...
 
 
+def with_column(rows: DataFrame, column: str, kind: str, make: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``rows`` with a column that is made from each Arrow batch."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, make(batch)], [*batch.schema.names, column])
+
+    return rows.mapInArrow(apply, f"{kinds}, `{column}` {kind}")
+
+
+@lru_cache(500_000)
+def _bucket(term: str, dim: int) -> int:
+    """``functions.vectors.portable_bucket`` for one term."""
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+
+
 @dataclass(frozen=True)
 class HashingDense:
+    """Unit vectors to which each distinct term adds 1 + ln(tf) in its bucket; without terms all zero."""
+
     dim: int = 256
 
-    def documents(self, texts: DataFrame, posts: DataFrame) -> DataFrame:
-        return index.hashed_dense(posts, self.dim)
+    def documents(self, rows: DataFrame, column: str) -> DataFrame:
+        dim = self.dim
+
+        def hashed(batch: pa.RecordBatch) -> pa.Array:
+            posts = batch.column("posts")
+            ends, flat = posts.offsets.to_numpy(), posts.flatten()
+            at = np.fromiter((_bucket(t, dim) for t in flat.field("term").to_pylist()), np.int64, len(flat))
+            row = np.repeat(np.arange(len(posts)), np.diff(ends))
+            out = np.zeros((len(posts), dim))
+            np.add.at(out, (row, at), 1 + np.log(flat.field("tf").to_numpy()))
+            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+            return pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), pa.array(out.ravel()))
+
+        return with_column(rows, column, DENSE, hashed)
 
     queries = documents
 
 
 @dataclass(frozen=True)
 class HashingSparse:
+    """Occurrences of terms by bucket. Terms of one bucket stay entries of their own, as products add them up anyway."""
+
     dim: int = 30000
 
-    def documents(self, texts: DataFrame, posts: DataFrame) -> DataFrame:
-        return index.hashed_sparse(posts, self.dim)
+    def documents(self, rows: DataFrame, column: str) -> DataFrame:
+        entry = lambda p: F.struct(V.portable_bucket(p["term"], self.dim).alias("bucket"), p["tf"].cast("double").alias("w"))
+        return rows.withColumn(column, F.transform("posts", entry))
 
     queries = documents
 
@@ -60,39 +98,36 @@ class OverlapReranker:
         return pairs.withColumn("rerank_score", T.overlap_share(terms("question"), terms("search_text")))
 
 
-def _pairs(vector) -> list[dict]:
-    items = vector.items() if isinstance(vector, dict) else enumerate(vector)
-    return [{"bucket": int(b), "w": float(w)} for b, w in items if w]
-
-
 @dataclass(frozen=True)
 class ModelEncoder:
-    """Vectors of a model: ``load()`` runs once in each task and gives a function from a list of texts to a list of
-    vectors (sequences, or dicts from number to weight). ``load_queries`` gives the one for queries if it differs."""
+    """Vectors of a model: ``load()`` runs once in each task's batch and gives a function from a list of texts to a list of vectors:
+    sequences of numbers, or with ``sparse`` dicts from number to weight. ``load_queries`` gives the one for queries if it differs."""
 
     load: Callable[[], Callable[[list[str]], list]]
     load_queries: Callable[[], Callable[[list[str]], list]] | None = None
     batch: int = 32
+    sparse: bool = False
 
-    def _encoded(self, texts: DataFrame, load) -> DataFrame:
-        size, kind = self.batch, pa.list_(pa.struct([("bucket", pa.int64()), ("w", pa.float64())]))
+    def _encoded(self, rows: DataFrame, column: str, load) -> DataFrame:
+        size, sparse, model = self.batch, self.sparse, []
 
-        def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model = load()
-            for batch in batches:
-                values = [x or "" for x in batch.column("search_text").to_pylist()]
-                got = [_pairs(v) for at in range(0, len(values), size) for v in model(values[at : at + size])]
-                yield pa.RecordBatch.from_arrays([batch.column("chunk_id"), pa.array(got, kind)], ["chunk_id", "v"])
+        def made(batch: pa.RecordBatch) -> pa.Array:
+            if not model:
+                model.append(load())
+            texts = [x or "" for x in batch.column("search_text").to_pylist()]
+            got = [v for at in range(0, len(texts), size) for v in model[0](texts[at : at + size])]
+            if sparse:
+                kind = pa.list_(pa.struct([("bucket", pa.int64()), ("w", pa.float64())]))
+                return pa.array([None if v is None else [{"bucket": int(b), "w": float(w)} for b, w in v.items() if w] for v in got], kind)
+            return pa.array([None if v is None else [float(x) for x in v] for v in got], pa.list_(pa.float64()))
 
-        rows = texts.select("chunk_id", "search_text")
-        out = rows.mapInArrow(apply, f"chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, v array<struct<bucket: long, w: double>>")
-        return out.select("chunk_id", F.inline("v"))
+        return with_column(rows, column, SPARSE if sparse else DENSE, made)
 
-    def documents(self, texts: DataFrame, posts: DataFrame) -> DataFrame:
-        return self._encoded(texts, self.load)
+    def documents(self, rows: DataFrame, column: str) -> DataFrame:
+        return self._encoded(rows, column, self.load)
 
-    def queries(self, texts: DataFrame, posts: DataFrame) -> DataFrame:
-        return self._encoded(texts, self.load_queries or self.load)
+    def queries(self, rows: DataFrame, column: str) -> DataFrame:
+        return self._encoded(rows, column, self.load_queries or self.load)
 
 
 @dataclass(frozen=True)
@@ -118,8 +153,8 @@ class ModelReranker:
 
 @dataclass(frozen=True)
 class Models:
-    """The models of a search. Without a sparse encoder there are no sparse lists; without a reranker no confidence."""
+    """The models of a search. Without an encoder there are no lists of its kind; without a reranker no confidence."""
 
-    dense: Encoder = field(default_factory=HashingDense)
+    dense: Encoder | None = field(default_factory=HashingDense)
     sparse: Encoder | None = field(default_factory=HashingSparse)
     reranker: Reranker | None = field(default_factory=OverlapReranker)

@@ -21,9 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lanternq.config import Settings
-from lanternq.functions.text import simple_terms
 from lanternq.functions.vectors import portable_bucket
-from lanternq.operators import search
+from lanternq.operators import index, search
 from lanternq.sources.tables import materialized
 
 #: Buckets that terms are laid out by, chunks in a block, and rows up to which tables of a batch of questions are sent to all tasks.
@@ -168,11 +167,7 @@ class SegmentIndex:
         kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "document_id")}
         if self.content["kinds"] not in ({}, kinds):
             raise ValueError(f"this index has {self.content['kinds']}, not {kinds}")
-        rows = chunks.select("chunk_id", "document_id", F.sort_array(simple_terms(F.coalesce("search_text", F.lit("")))).alias("t_"))
-        starts = F.filter(F.sequence(F.lit(0), F.size("t_") - 1), lambda i: (i == 0) | (F.get("t_", i) != F.get("t_", i - 1)))
-        rows = rows.withColumn("at_", F.when(F.size("t_") > 0, starts).otherwise(F.array().cast("array<int>")))
-        posts = F.transform("at_", lambda i, k: F.struct(F.get("t_", i).alias("term"), (F.coalesce(F.get("at_", k + 1), F.size("t_")) - i).cast("long").alias("tf")))
-        own = self._written(rows.select("chunk_id", "document_id", F.size("t_").cast("long").alias("length"), posts.alias("posts")))
+        own = self._written(index.with_posts(chunks.select("chunk_id", "document_id", "search_text")).select("chunk_id", "document_id", "length", "posts"))
         return self._next(kinds=kinds, segments=[*self.content["segments"], own])
 
     def deleted(self, documents: DataFrame) -> SegmentIndex:

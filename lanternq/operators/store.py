@@ -56,6 +56,9 @@ class Store:
     def with_chunks(self, new: DataFrame) -> Store:
         return replace(self, chunks=index.appended(self.chunks, new))
 
+    def _rows(self) -> DataFrame:
+        return index.with_posts(self.chunks.select(F.col("id").alias("chunk_id"), "document_id", "search_text"))
+
     def _texts(self) -> DataFrame:
         return self.chunks.select(F.col("id").alias("chunk_id"), "search_text")
 
@@ -66,13 +69,16 @@ class Store:
         return self.chunks.join(document_ids.select("document_id").distinct(), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
 
     def dense_search(self, queries: DataFrame, k: int, document_ids: DataFrame | None = None) -> DataFrame:
-        """(query_id, chunk_id, score, rank) for vectors (query_id, bucket, w) of the dense encoder."""
-        own = self.dense.documents(self._texts(), index.postings(self._texts()))
-        return search.top(search.sparse_scores(queries, own), k, allowed=self._allowed(document_ids))
+        """(query_id, chunk_id, score, rank) for vectors (query_id, embedding) of the dense encoder, whatever their scores."""
+        rows = self.dense.documents(self._rows(), "embedding").drop("posts", "length", "search_text")
+        allowed = self._allowed(document_ids)
+        complete = not rows.where("embedding IS NULL").limit(1).count()
+        return search.dense_top(queries, rows if allowed is None else rows.join(allowed.distinct(), "chunk_id", "left_semi"), k, complete=complete)
 
     def sparse_search(self, queries: DataFrame, k: int, document_ids: DataFrame | None = None) -> DataFrame:
-        own = self.sparse.documents(self._texts(), index.postings(self._texts()))
-        return search.top(search.sparse_scores(queries, own), k, True, self._allowed(document_ids))
+        """As ``dense_search``, for vectors (query_id, sparse) and positive scores."""
+        rows = self.sparse.documents(self._rows(), "sparse").select("chunk_id", F.inline("sparse"))
+        return search.top(search.sparse_scores(queries.select("query_id", F.inline("sparse")), rows), k, True, self._allowed(document_ids))
 
     def lexical_search(self, queries: DataFrame, k: int, document_ids: DataFrame | None = None, analyzer: str = "simple") -> DataFrame:
         """BM25 for questions (query_id, text); statistics are those of all chunks whatever documents are allowed."""

@@ -10,13 +10,15 @@ from lanternq.functions import text as T
 from lanternq.operators import dialog as D
 from lanternq.operators import events as E
 from lanternq.operators.models import Models
-from lanternq.plans.cascade import HYDE, hybrid, indexed_chunks, keyed
+from lanternq.plans.cascade import HYDE, hybrid, indexed, keyed
+from lanternq.sources import files
 from lanternq.sources.tables import materialized
 
 
 def answered(
     turns: DataFrame, chunks: DataFrame, documents: DataFrame, generator: D.Generator | None = None, settings: Settings | None = None,
-    analyzer: str = "simple", models: Models | None = None, allowed: DataFrame | None = None,
+    analyzer: str = "simple", models: Models | None = None, allowed: DataFrame | None = None, scopes: DataFrame | None = None,
+    timings: dict[str, int] | None = None,
 ) -> DataFrame:
     """The answer event (turn_id, status, content, blocks, sources, citations) of each turn (turn_id, question,
     history), with the rounds of retrieval it took.
@@ -25,9 +27,13 @@ def answered(
     (nothing retrieved: no ready document, or a planned reply), ``no_evidence`` (the first passages are shown),
     ``failed`` (the generator refused or failed) or ``answered``. A turn whose plan failed searches for its
     question; one whose reformulation failed searches for it again; one for which the generator says nothing is answered
-    with an empty text."""
+    with an empty text. ``scopes`` (turn_id, document_ids) are the documents that a turn may see, all without a row or list. Of a
+    history of messages (with a role) models get the last ones, from the first of the user among them on. ``timings`` is
+    filled with the milliseconds of each step of retrieval."""
     s, generator = settings or Settings(), generator or D.Extractive()
     ready = documents.where("status = 'ready'").limit(1).count() > 0
+    if "role" in getattr(turns.schema["history"].dataType.elementType, "names", []):
+        turns = turns.withColumn("history", D.recent(F.col("history")))
     turns = turns.join(generator.plan(turns), "turn_id", "left").withColumn("ready", F.lit(ready))
     turns = materialized(turns.join(D.planned(turns, s), "turn_id"), "turns")
     talk = turns.where("route = 'chitchat'").select("turn_id", F.lit("chitchat").alias("status"), F.when(F.col("ready"), F.col("plan.reply")).otherwise(F.lit(D.NO_DOCUMENTS)).alias("content"))
@@ -35,7 +41,9 @@ def answered(
     usable = F.lit(s.query_expansion) & F.col("plan").isNotNull()
     standalone = F.when(usable, F.col("plan.standalone_question"))
     asked = asked.select("turn_id", F.coalesce(standalone, "question").alias("question"), "history", "queries", F.when(usable, F.col("plan.hypothetical_answer")).alias("hypothetical"))
-    indexed = indexed_chunks(keyed(chunks), analyzer)
+    ix = indexed(keyed(chunks).select("chunk_id", "document_id", "search_text"), models, analyzer)
+    if scopes is not None:
+        scopes = scopes.select(F.col("turn_id").alias("query_id"), "document_ids")
     rounds: list[DataFrame] = []
 
     def retrieve(rows: DataFrame) -> DataFrame:
@@ -44,7 +52,7 @@ def answered(
             given = asked.where("coalesce(hypothetical, '') <> ''")
             variants = variants.unionByName(given.select(F.col("turn_id").alias("query_id"), F.lit(HYDE).alias("variant"), F.col("hypothetical").alias("text")))
         questions = rows.select(F.col("turn_id").alias("query_id"), F.col("question").alias("text"))
-        found = hybrid(chunks, questions, documents, s, analyzer, variants, models, allowed, indexed)
+        found = hybrid(chunks, questions, documents, s, analyzer, variants, models, allowed, ix, scopes, timings)
         rounds.append(materialized(found.withColumnRenamed("query_id", "turn_id").withColumn("round", F.lit(len(rounds) + 1)), "passages"))
         counts = rounds[-1].groupBy("turn_id").agg(F.count("*").alias("n_passages"), F.max("confidence").alias("confidence"))
         return rows.select("turn_id").join(counts, "turn_id", "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
@@ -66,6 +74,20 @@ def answered(
     return D.finished(out).join(out.select("turn_id", F.coalesce("round", F.lit(0)).alias("rounds")), "turn_id")
 
 
+def continued(messages: DataFrame, chunks: DataFrame, documents: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """The answers to the last message of each thread (conv_id, turn, role, text), and the threads with these answers appended."""
+    answers = materialized(answered(D.started(messages), chunks, documents, **options), "answers")
+    return answers, D.with_answers(messages, answers)
+
+
+def asked_of_folder(folder: str, messages: DataFrame, pdf=None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From files to answers: the files below ``folder`` are read, parsed, chunked and asked. Returns the documents, with those that
+    failed, and what ``continued`` gives."""
+    s = options.get("settings") or Settings()
+    documents, chunks = files.ingested(files.read_folder(messages.sparkSession, folder, most_mb=s.max_upload_mb), s, pdf)
+    return documents, *continued(messages, chunks, documents, **options)
+
+
 def generated(turns: DataFrame, generator: D.Generator) -> DataFrame:
     """(turn_id, status, content, blocks, sources, citations, round) of turns (turn_id, ..., passages, round) that are to be answered."""
     events = materialized(E.numbered_blocks(generator.answer(turns)), "answer-events")

@@ -10,7 +10,9 @@ from lanternq.config import Settings
 from lanternq.functions import text as T
 from lanternq.functions import vectors as V
 from lanternq.operators import evals, fuse, index, passages, search
-from lanternq.plans.cascade import indexed_chunks, searched
+from lanternq.operators.models import HashingDense, HashingSparse, Models
+from lanternq.plans import cascade
+from lanternq.plans.cascade import searched
 from lanternq.plans.registry import query, table
 from lanternq.plans.text_queries import TERMS
 from lanternq.sources.tables import materialized
@@ -44,33 +46,45 @@ def question_terms(spark, sf, analyzer="simple"):
     return index.term_rows(questions(spark, sf), analyzer).withColumnRenamed("chunk_id", "query_id")
 
 
-def indexed(spark, sf):
-    """Postings and lengths of the documents, analysed once and written for the searches of one query."""
-    return indexed_chunks(chunks(spark, sf))
+WORDS = Models(None, None, None)
 
 
-def lexical(spark, sf, k, analyzer="simple", allowed=None, ix=None):
+def indexed(spark, sf, models=WORDS):
+    """The documents, analysed and encoded once and written for the searches of one query."""
+    return cascade.indexed(chunks(spark, sf), models, text=False)
+
+
+def asked(spark, sf, models=WORDS):
+    return cascade.indexed(questions(spark, sf), models, queries=F.lit(True), name="questions", text=False)
+
+
+def as_questions(rows):
+    return rows.withColumnRenamed("chunk_id", "query_id")
+
+
+def lexical(spark, sf, k, analyzer="simple", allowed=None, ix=None, q=None):
     if analyzer == "simple":
-        posts, lengths = ix or indexed(spark, sf)
+        ix, q = ix or indexed(spark, sf), q or asked(spark, sf)
+        stats = spark.createDataFrame([(ix.n, float(ix.avg_length))], "n long, avg_length double")
+        scores = search.bm25_scores(as_questions(q.postings), ix.postings, None, stats, S.bm25_k1, S.bm25_b, q.terms)
     else:
         posts, lengths = index.postings(chunks(spark, sf), analyzer), index.chunk_lengths(chunks(spark, sf))
-    scores = search.bm25_scores(question_terms(spark, sf, analyzer), posts, lengths, index.corpus_stats(lengths), S.bm25_k1, S.bm25_b)
+        scores = search.bm25_scores(question_terms(spark, sf, analyzer), posts, lengths, index.corpus_stats(lengths), S.bm25_k1, S.bm25_b)
     return search.top(scores, k, positive_only=True, allowed=allowed)
 
 
-def _hashed(spark, sf, k, encode, ix):
-    q = encode(index.postings(questions(spark, sf))).withColumnRenamed("chunk_id", "query_id")
-    posts = ix[0] if ix else index.postings(chunks(spark, sf))
-    return search.top(search.sparse_scores(q, encode(posts)), k, positive_only=True)
-
-
-def sparse(spark, sf, k, dim=30000, ix=None):
-    return _hashed(spark, sf, k, lambda posts: index.hashed_sparse(posts, dim), ix)
+def sparse(spark, sf, k, dim=30000, ix=None, q=None):
+    own = Models(None, HashingSparse(dim), None)
+    ix, q = ix or indexed(spark, sf, own), q or asked(spark, sf, own)
+    entries = lambda x: x.rows.select("chunk_id", F.inline("sparse"))
+    return search.top(search.sparse_scores(as_questions(entries(q)), entries(ix), q.terms), k, positive_only=True)
 
 
-def dense(spark, sf, k, dim=256, ix=None):
-    """Weights of the hashing encoder are positive, so questions and chunks either share a bucket or score zero."""
-    return _hashed(spark, sf, k, lambda posts: index.hashed_dense(posts, dim), ix)
+def dense(spark, sf, k, dim=256, ix=None, q=None):
+    """Weights of the hashing encoder are positive, so questions and chunks either share a bucket or score zero; these are left out."""
+    own = Models(HashingDense(dim), None, None)
+    ix, q = ix or indexed(spark, sf, own), q or asked(spark, sf, own)
+    return search.dense_top(as_questions(q.rows.select("chunk_id", "embedding")), ix.rows, k, complete=ix.complete).where("score > 0")
 
 
 @query(f"WITH {_P} SELECT chunk_id, term, tf FROM p")
@@ -187,10 +201,13 @@ K = S.candidates_per_retriever
 _LISTS = f"""lists AS (SELECT 'lexical:0' AS list_name, 1 AS list_ord, * FROM {_top('bs', K)} UNION ALL SELECT 'dense:0', 0, * FROM {_top('ds', K)} UNION ALL SELECT 'sparse:0', 2, * FROM {_top('ss', K)})"""
 
 
+BOTH = Models(reranker=None)
+
+
 def candidate_lists(spark, sf, k=K):
-    lists, ix = None, indexed(spark, sf)
+    lists, ix, q = None, indexed(spark, sf, BOTH), asked(spark, sf, BOTH)
     for n, (name, find) in enumerate((("dense:0", dense), ("lexical:0", lexical), ("sparse:0", sparse))):
-        rows = find(spark, sf, k, ix=ix).withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
+        rows = find(spark, sf, k, ix=ix, q=q).withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
         lists = rows if lists is None else lists.unionByName(rows)
     return lists
 
@@ -390,8 +407,8 @@ def eval_recall(spark, sf):
 @query()
 def eval_sweep(spark, sf):
     """Six configurations over the same questions: one list each, two hybrids, and the reranked hybrid."""
-    ix = indexed(spark, sf)
-    found = {n: materialized(f(spark, sf, 100, ix=ix), n) for n, f in (("lexical", lexical), ("dense", dense), ("sparse", sparse))}
+    ix, q = indexed(spark, sf, BOTH), asked(spark, sf, BOTH)
+    found = {n: materialized(f(spark, sf, 100, ix=ix, q=q), n) for n, f in (("lexical", lexical), ("dense", dense), ("sparse", sparse))}
 
     def hybrid(*names):
         lists = None

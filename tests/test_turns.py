@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from lanternq.config import Settings
 from lanternq.operators import dialog as D
-from lanternq.operators import evals, models, search
+from lanternq.operators import evals, index, models, search
 from lanternq.operators.store import Store
-from lanternq.plans.ask import answered
-from lanternq.plans.cascade import HYDE, hybrid
+from lanternq.plans.ask import answered, asked_of_folder, continued
+from lanternq.plans.cascade import HYDE, diversified, hybrid
 from lanternq.sources import files as X
 from lanternq.sources import parse as P
 
@@ -82,7 +82,8 @@ def test_turns_are_answered_or_declined(spark):
     assert got[1]["sources"][0]["document_id"] == "whale" and got[1]["sources"][0]["location"] == "p. 1"
     assert got[1]["blocks"][0] == "The blue whale is the largest animal." and got[1]["citations"][0]["passage"] == 0
     assert got[1]["content"] == "".join(got[1]["blocks"])
-    assert got[2]["content"] == D.NO_EVIDENCE and got[2]["sources"] == [] and got[2]["blocks"] == [D.NO_EVIDENCE]
+    assert got[2]["content"] == D.NO_EVIDENCE and got[2]["blocks"] == [D.NO_EVIDENCE]
+    assert {s["relevance"] for s in got[2]["sources"]} == {0.0}  # the closest passages by vector are shown, whatever their scores
     none = answered(turns, chunks, documents.withColumn("status", F.lit("failed"))).collect()
     assert {(r["status"], r["content"]) for r in none} == {("chitchat", D.NO_DOCUMENTS)}
 
@@ -106,10 +107,10 @@ class _Scripted(D.Extractive):
 def test_planned_turns(spark):
     chunks, documents = _corpus(spark)
     turns = spark.createDataFrame([(1, "hi", []), (2, "and that one?", []), (3, "qqq", []), (4, "bread flour", [])], TURNS)
-    got = {r["turn_id"]: r for r in answered(turns, chunks, documents, _Scripted(), Settings(min_relevance=0.0)).collect()}
+    got = {r["turn_id"]: r for r in answered(turns, chunks, documents, _Scripted(), Settings(min_relevance=0.01)).collect()}
     assert (got[1]["status"], got[1]["content"], got[1]["sources"]) == ("chitchat", "Hello.", [])
     assert got[2]["status"] == "answered" and {s["document_id"] for s in got[2]["sources"]} >= {"whale", "tower"}  # the hypothetical answer found the tower
-    assert (got[3]["status"], got[3]["rounds"], got[3]["sources"][0]["document_id"]) == ("answered", 2, "tower")
+    assert (got[3]["status"], got[3]["rounds"], got[3]["sources"][0]["document_id"]) == ("no_evidence", 2, "tower")  # reranking is by the question, in which there is no word
     assert (got[4]["status"], got[4]["content"], got[4]["citations"]) == ("failed", D.FAILED + D.REFUSED, [])
 
 
@@ -120,7 +121,7 @@ def test_models_plug_in(spark):
     rank = lambda: lambda questions, texts: [2.0 if "tower" in t else -2.0 for t in texts]
     own = models.Models(models.ModelEncoder(load), None, models.ModelReranker(rank))
     got = hybrid(chunks, asked, documents, models=own).collect()
-    assert [r["document_id"] for r in got] == ["tower"] and got[0]["confidence"] == pytest.approx(1 / (1 + np.exp(-2)), abs=1e-6)
+    assert got[0]["document_id"] == "tower" and got[0]["confidence"] == pytest.approx(1 / (1 + np.exp(-2)), abs=1e-6)
     plain = hybrid(chunks, asked, documents, models=models.Models(models.ModelEncoder(load), None, None)).collect()
     assert plain[0]["confidence"] is None and plain[0]["relevance"] in (None, 0.0)
     variants = spark.createDataFrame([(1, 0, "krill"), (1, 1, "salt"), (1, HYDE, "tower")], "query_id long, variant int, text string")
@@ -129,6 +130,76 @@ def test_models_plug_in(spark):
     assert {r["document_id"] for r in hybrid(chunks, asked, documents, variants=variants, allowed=allowed).collect()} == {"bread"}
 
 
+def _plain_mmr(rel, alike, keep, trade):
+    low, high = min(rel), max(rel)
+    rel = [(r - low) / (high - low) if high > low else 1.0 for r in rel]
+    chosen, left = [], list(range(len(rel)))
+    while left and len(chosen) < keep:
+        score = lambda i: rel[i] if not chosen else trade * rel[i] - (1 - trade) * max(alike[i][j] for j in chosen)
+        best = max(left, key=lambda i: (round(score(i), 9), -i))
+        chosen.append(best)
+        left.remove(best)
+    return [i + 1 for i in chosen]
+
+
+def test_pools_are_diversified_by_vectors_or_else_by_terms(spark):
+    draw = np.random.default_rng(5)
+    rows, want = [], {}
+    for q in range(6):
+        n, holed = 9, q % 2
+        v = draw.normal(size=(n, 5))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        terms = [sorted(set(draw.choice(list("abcdefgh"), 4).tolist())) for _ in range(n)]
+        rel = draw.random(n).round(3).tolist()
+        for i in range(n):
+            rows.append((q, i + 1, rel[i], terms[i], None if holed and i == 3 else v[i].tolist()))
+        jaccard = [[len(set(a) & set(b)) / len(set(a) | set(b)) for b in terms] for a in terms]
+        want[q] = _plain_mmr(rel, jaccard if holed else (v @ v.T).tolist(), 5, 0.6)
+    pool = spark.createDataFrame(rows, "query_id long, position int, relevance double, terms array<string>, embedding array<double>")
+    got = {}
+    for r in sorted(diversified(pool, 5, 0.6).collect()):
+        got.setdefault(r["query_id"], []).append(r["position"])
+    assert got == want
+
+
+def test_turns_with_scopes_of_their_own(spark):
+    chunks, documents = _corpus(spark)
+    turns = spark.createDataFrame([(n, "What does the blue whale eat?", []) for n in (1, 2, 3, 4)], TURNS)
+    scopes = spark.createDataFrame([(1, ["tower", "bread"]), (2, []), (3, None)], "turn_id long, document_ids array<string>")
+    steps: dict[str, int] = {}
+    got = {r["turn_id"]: r for r in answered(turns, chunks, documents, settings=Settings(min_relevance=0.3), scopes=scopes, timings=steps).collect()}
+    assert {t: r["status"] for t, r in got.items()} == {1: "no_evidence", 2: "no_evidence", 3: "answered", 4: "answered"}
+    assert {s["document_id"] for s in got[1]["sources"]} <= {"tower", "bread"} and got[2]["sources"] == []
+    assert got[3]["sources"][0]["document_id"] == "whale" and {"index", "retrieve", "rerank", "select"} >= set(steps) >= {"retrieve", "rerank"}
+
+
+class _Recording(D.Extractive):
+    """Says how much of the history it got."""
+
+    def answer(self, turns):
+        said = F.concat_ws("|", F.size("history"), F.get("history", F.lit(0))["role"], F.get("history", F.lit(0))["text"])
+        row = turns.select("turn_id", said.alias("text"))
+        return row.select("turn_id", F.posexplode(F.array(F.struct(F.lit("block_start").alias("kind"), F.lit("").alias("text")), F.struct(F.lit("text").alias("kind"), F.col("text")))).alias("pos", "e")).select(
+            "turn_id", "pos", "e.*", F.lit(None).cast("int").alias("passage"))
+
+
+def test_threads_go_on_with_their_recent_history(spark, tmp_path):
+    chunks, documents = _corpus(spark)
+    long_ = [(1, k, "assistant" if k % 2 else "user", f"m{k}") for k in range(11)] + [(1, 11, "user", "What does the blue whale eat?")]
+    short = [(2, 0, "assistant", "hello"), (2, 1, "user", "How is bread baked with flour and salt")]
+    messages = spark.createDataFrame(long_ + short, "conv_id long, turn int, role string, text string")
+    answers, threads = continued(messages, chunks, documents, generator=_Recording())
+    got = {r["turn_id"]: r["content"] for r in answers.collect()}
+    assert got == {1: "8|user|m4", 2: "0"} or got == {1: "7|user|m4", 2: "0"}
+    last = {r["conv_id"]: (r["turn"], r["role"], r["text"]) for r in threads.orderBy("turn").collect()}
+    assert last == {1: (12, "assistant", got[1]), 2: (2, "assistant", got[2])}
+    (tmp_path / "whale.txt").write_text("The blue whale eats krill.")
+    (tmp_path / "odd.exe").write_bytes(b"x")
+    read, answers, threads = asked_of_folder(str(tmp_path), messages.where("conv_id = 1"))
+    assert {r["status"] for r in read.collect()} == {"ready", "failed"}
+    assert answers.first()["status"] == "answered" and "krill" in answers.first()["content"] and threads.count() == 13
+
+
 def test_store(spark, tmp_path):
     schema = "id string, hash string, title string, filename string, pages int, chunk_count int, status string, error string, created_at timestamp"
     docs = spark.createDataFrame([(d, f"h{d}", d, f"{d}.txt", None, 1, "ready", None) for d in "ab"], schema.rsplit(",", 1)[0]).withColumn("created_at", F.timestamp_seconds(F.ascii("id")))
@@ -144,10 +215,12 @@ def test_store(spark, tmp_path):
     only = store.lexical_search(asked, 5, one("document_id", "a")).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in only] == [(r["chunk_id"], r["score"]) for r in found[1:]]  # statistics stay those of the whole index
     assert store.lexical_search(asked, 5, one("document_id", "a").limit(0)).count() == 0
-    posts = store.sparse.queries(None, spark.createDataFrame([(1, "fox", 1)], "chunk_id long, term string, tf long")).withColumnRenamed("chunk_id", "query_id")
-    assert {r["chunk_id"] for r in store.sparse_search(posts, 9).collect()} >= {"a:0", "a:1", "b:1"}
-    vectors = store.dense.queries(None, spark.createDataFrame([(1, "fox", 1)], "chunk_id long, term string, tf long")).withColumnRenamed("chunk_id", "query_id")
+    fox = index.with_posts(spark.createDataFrame([(1, "fox")], "query_id long, search_text string"))
+    assert {r["chunk_id"] for r in store.sparse_search(store.sparse.queries(fox, "sparse"), 9).collect()} >= {"a:0", "a:1", "b:1"}
+    vectors = store.dense.queries(fox, "embedding")
     assert store.dense_search(vectors, 1).first()["chunk_id"] == "b:1"
+    assert {r["chunk_id"] for r in store.dense_search(vectors, 9, one("document_id", "a")).collect()} == {"a:0", "a:1"}
+    assert store.dense_search(vectors, 9, one("document_id", "a").limit(0)).count() == 0
     less = store.without(one("document_id", "a"))
     assert ids(less.documents) == ["b"] and less.chunks.count() == 2
     assert store.with_chunks(chunks).chunks.count() == 4
