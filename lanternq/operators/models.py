@@ -12,6 +12,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,3 +159,37 @@ class Models:
     dense: Encoder | None = field(default_factory=HashingDense)
     sparse: Encoder | None = field(default_factory=HashingSparse)
     reranker: Reranker | None = field(default_factory=OverlapReranker)
+
+
+@dataclass(frozen=True)
+class CachedEncoder:
+    """``encoder`` with its vectors kept below ``path``, by ``name`` (of the model) and a hash of the text: texts that any earlier
+    run has encoded are looked up, equal texts are encoded once. ``kind`` is DENSE or SPARSE."""
+
+    encoder: Encoder
+    path: str
+    name: str
+    kind: str = DENSE
+
+    def _cached(self, rows: DataFrame, column: str, how: str) -> DataFrame:
+        spark, folder = rows.sparkSession, f"{self.path}/{self.name.replace('/', '__')}/{how}"
+        keyed = rows.withColumn("hash_", F.sha2(F.coalesce("search_text", F.lit("")), 256))
+        schema = f"hash_ string, vector_ {self.kind}"
+
+        def known() -> DataFrame:
+            try:
+                return spark.read.schema(schema).parquet(folder).dropDuplicates(["hash_"])  # two runs at once may both have a text
+            except AnalysisException as missing:  # nothing kept yet
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                return spark.createDataFrame([], schema)
+
+        misses = keyed.select("hash_", "search_text", "posts").dropDuplicates(["hash_"]).join(known().select("hash_"), "hash_", "left_anti")
+        getattr(self.encoder, how)(misses, "vector_").select("hash_", "vector_").write.mode("append").parquet(folder)
+        return keyed.join(known(), "hash_", "left").withColumnRenamed("vector_", column).drop("hash_")
+
+    def documents(self, rows: DataFrame, column: str) -> DataFrame:
+        return self._cached(rows, column, "documents")
+
+    def queries(self, rows: DataFrame, column: str) -> DataFrame:
+        return self._cached(rows, column, "queries")

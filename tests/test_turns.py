@@ -200,6 +200,30 @@ def test_threads_go_on_with_their_recent_history(spark, tmp_path):
     assert answers.first()["status"] == "answered" and "krill" in answers.first()["content"] and threads.count() == 13
 
 
+def test_vectors_are_kept_over_runs(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def load():
+        def model(texts):
+            for t in texts:
+                with open(seen / f"{abs(hash(t))}-{t[:5]}", "a") as out:
+                    out.write("x")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return model
+
+    encoder = models.CachedEncoder(models.ModelEncoder(load), str(tmp_path / "kept"), "org/model")
+    rows = lambda *texts: index.with_posts(spark.createDataFrame([*enumerate(texts)], "chunk_id int, search_text string"))
+    encoded = lambda df: {r["chunk_id"]: r["v"] for r in encoder.documents(df, "v").collect()}
+    times = lambda: sum(len(p.read_text()) for p in seen.iterdir())
+    want = {0: [1.0, 1.0], 1: [2.0, 1.0], 2: [1.0, 1.0], 3: [0.0, 1.0]}
+    assert encoded(rows("a", "bb", "a", None)) == want and times() == 3  # equal texts once
+    assert encoded(rows("a", "bb", "a", None)) == want and times() == 3  # nothing is encoded again
+    assert encoded(rows("a", "ccc")) == {0: [1.0, 1.0], 1: [3.0, 1.0]} and times() == 4
+    assert {p.name for p in (tmp_path / "kept").iterdir()} == {"org__model"}
+
+
 def test_store(spark, tmp_path):
     schema = "id string, hash string, title string, filename string, pages int, chunk_count int, status string, error string, created_at timestamp"
     docs = spark.createDataFrame([(d, f"h{d}", d, f"{d}.txt", None, 1, "ready", None) for d in "ab"], schema.rsplit(",", 1)[0]).withColumn("created_at", F.timestamp_seconds(F.ascii("id")))
