@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
+    # Defaults, and below the bounds of each.
     chunk_tokens: int = 320
     chunk_overlap_tokens: int = 48
     contextualize: bool = False

@@ -8,8 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+#: Fixed value: a digest of eight bytes, read as a big-endian number.
+DIGEST_BYTES = 8
+
+
 def bucket(term: str, dim: int) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big") % dim
+    return int.from_bytes(hashlib.blake2b(term.encode(), digest_size=DIGEST_BYTES).digest(), "big") % dim
 
 
 def with_buckets(terms: DataFrame, dim: int, column: str = "term") -> DataFrame:
