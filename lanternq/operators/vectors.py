@@ -178,7 +178,8 @@ class VectorIndex:
             kinds = dict(questions.dtypes)["query_id"], dict(self.rows.dtypes)["chunk_id"]
             return questions.sparkSession.createDataFrame([], f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
         pairs = found.select("query_id", "chunk_id").join(questions.select("query_id", F.col("embedding").alias("asked_")), "query_id")
-        met = self.rows.select("chunk_id", "embedding").join(search.sized(pairs, QUESTIONS * size, most=20_000), "chunk_id")
+        # Each pair carries a question's vector, so fewer of them are sent to all tasks than of narrow rows.
+        met = self.rows.select("chunk_id", "embedding").join(search.sized(pairs, questions.count() * size, most=20_000), "chunk_id")
         return met.select("query_id", "chunk_id", dot(F.col("asked_"), F.col("embedding")).alias("score"))
 
     def top(self, questions: DataFrame, k: int, probes: int | None = None, short: int | None = None) -> DataFrame:
