@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lanternq.functions import text as T
 from lanternq.functions.vectors import portable_bucket
 from lanternq.operators import chunk as C
-from lanternq.operators.search import small
+from lanternq.operators.search import shared_keys
 from lanternq.plans.registry import query, table
 from lanternq.sources import parse as P
 
@@ -106,10 +106,12 @@ def hash_bucket(spark, sf):
 
 @query(f"SELECT doc_id, item_id, round(CASE WHEN len(u) = 0 THEN 0 ELSE len(i) / len(u) END, 6) AS jaccard, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(i) / len(q) END, 6) AS overlap FROM (SELECT doc_id, item_id, q, list_distinct(list_intersect(q, t)) AS i, list_distinct(q || t) AS u FROM (SELECT doc_id, list_distinct({TERMS.format('text')}) AS t FROM documents) d, (SELECT item_id, list_distinct({TERMS.format('text')}) AS q FROM benchmark) b)")
 def jaccard_terms(spark, sf):
-    terms = lambda name, id_, out: table(spark, sf, name).select(id_, F.array_distinct(T.simple_terms(F.col("text"))).alias(out))
-    asked = terms("benchmark", "item_id", "q")
-    pairs = terms("documents", "doc_id", "t").join(small(asked))  # all questions against all documents
-    return pairs.select("doc_id", "item_id", F.round(T.jaccard(F.col("q"), F.col("t")), 6).alias("jaccard"), F.round(T.overlap_share(F.col("q"), F.col("t")), 6).alias("overlap"))
+    """All questions against all documents."""
+    terms = lambda name, id_, out: table(spark, sf, name).select(F.col(id_).alias(out), F.array_distinct(T.simple_terms(F.col("text"))).alias("keys"))
+    pairs = shared_keys(terms("benchmark", "item_id", "query_id"), terms("documents", "doc_id", "chunk_id"))
+    shared, both = F.when(F.col("asked").isNotNull() & F.col("own").isNotNull(), F.col("shared")), F.col("asked") + F.col("own") - F.col("shared")
+    share = lambda of: F.round(F.when(of == 0, F.lit(0.0)).otherwise(shared / of), 6)
+    return pairs.select(F.col("chunk_id").alias("doc_id"), F.col("query_id").alias("item_id"), share(both).alias("jaccard"), share(F.col("asked")).alias("overlap"))
 
 
 @query(r"SELECT doc_id, pos - 1 AS pos, p[pos] AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, '. ', '.' || chr(10) || ' ' || chr(10)), '\n\s*\n'), lambda x: regexp_replace(regexp_replace(x, '[ \t\x{00A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents))")
