@@ -4,10 +4,8 @@ Encoders add a column to rows (..., search_text, posts): dense vectors are array
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -48,12 +46,6 @@ def with_column(rows: DataFrame, column: str, kind: str, make: Callable[[pa.Reco
     return rows.mapInArrow(apply, f"{kinds}, `{column}` {kind}")
 
 
-@lru_cache(500_000)
-def _bucket(term: str, dim: int) -> int:
-    """``functions.vectors.portable_bucket`` for one term."""
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
-
-
 @dataclass(frozen=True)
 class HashingDense:
     """Unit vectors to which each distinct term adds 1 + ln(tf) in its bucket; without terms all zero."""
@@ -63,17 +55,24 @@ class HashingDense:
     def documents(self, rows: DataFrame, column: str) -> DataFrame:
         dim = self.dim
 
-        def hashed(batch: pa.RecordBatch) -> pa.Array:
-            posts = batch.column("posts")
-            ends, flat = posts.offsets.to_numpy(), posts.flatten()
-            at = np.fromiter((_bucket(t, dim) for t in flat.field("term").to_pylist()), np.int64, len(flat))
-            row = np.repeat(np.arange(len(posts)), np.diff(ends))
-            out = np.zeros((len(posts), dim))
-            np.add.at(out, (row, at), 1 + np.log(flat.field("tf").to_numpy()))
+        # Only buckets and weights go to Python, no terms. What follows may explode the vectors, so no expression may be moved into them.
+        @F.arrow_udf(DENSE)
+        def summed(buckets: pa.Array, weights: pa.Array) -> pa.Array:
+            ends, at, w = buckets.offsets.to_numpy(), buckets.flatten().to_numpy(zero_copy_only=False), weights.flatten().to_numpy(zero_copy_only=False)
+            ends = ends - ends[0]
+            out = np.zeros((len(buckets), dim))
+            for a in range(0, len(buckets), 1024):
+                part, many = ends[a : a + 1025], np.diff(ends[a : a + 1025])
+                row = np.repeat(np.arange(len(many)), many)
+                own = slice(part[0], part[-1])
+                out[a : a + 1024] = np.bincount(row * dim + at[own], w[own], len(many) * dim).reshape(-1, dim)
             out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
             return pa.ListArray.from_arrays(np.arange(0, out.size + 1, dim, dtype=np.int32), pa.array(out.ravel()))
 
-        return with_column(rows, column, DENSE, hashed)
+        summed = summed.asNondeterministic()
+        posts = F.coalesce("posts", F.array().cast("array<struct<term: string, tf: bigint>>"))
+        buckets = F.transform(posts, lambda p: V.portable_bucket(p["term"], dim).cast("int"))
+        return rows.withColumn(column, summed(buckets, F.transform(posts, lambda p: 1 + F.log(p["tf"].cast("double")))))
 
     queries = documents
 
