@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lanternq.operators import search
 
 
@@ -31,3 +33,49 @@ def test_jaccard_terms_makes_no_nested_loop(spark, sf):
     from lanternq.plans import all_queries
 
     assert "NestedLoop" not in all_queries.QUERIES["jaccard_terms"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def vectors(spark, name, side, seed):
+    draw = random.Random(seed)
+    rows = [(i, x, None if x is None else [float(draw.randrange(1, 4)) for _ in x]) for i, x in enumerate(side)]
+    return rows, spark.createDataFrame(rows, f"{name} long, keys array<string>, weights array<double>")
+
+
+def test_sparse_top_is_exact_and_shuffles_no_pairs(spark):
+    """Whole lists with many ties and copies, for questions in several blocks, with scopes, against all pairs."""
+    asked, chunks = [*sets(3, 70, 90, 30), []], [*sets(4, 400, 120, 60), *[["w1", "w2"]] * 150, None]
+    a, queries = vectors(spark, "query_id", asked, 5)
+    b, rows = vectors(spark, "chunk_id", chunks, 6)
+    rows = rows.selectExpr("*", "chunk_id % 3 AS document_id")
+    seen = {0: [0, 1], 1: [], 2: None}
+    scopes = spark.createDataFrame(list(seen.items()), "query_id long, document_ids array<long>")
+    for given in (None, scopes):
+        got: dict = {}
+        for r in search.sparse_top(queries, rows, 7, query_block=30, scopes=given).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+        for q, keys, w in a:
+            own = Counter(dict(zip(keys, w)))
+            scores = [(-sum(own[k] * v for k, v in zip(ks or (), vs or ())), c) for c, ks, vs in b if given is None or seen.get(q) is None or c % 3 in seen[q]]
+            assert got.get(q, []) == sorted(x for x in scores if x[0] < 0)[:7]
+
+
+def test_searches_join_no_question_to_every_posting(spark, sf):
+    """Lexical and sparse lists come from products in tasks; only k rows for each question and task are shuffled."""
+    from lanternq.plans import all_queries
+
+    for name in ("bm25_topk", "sparse_topk"):
+        plan = all_queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0], name
+
+
+def test_dense_encoder_sends_no_terms_to_python(spark):
+    from lanternq.operators import index
+    from lanternq.operators.models import HashingDense
+
+    texts = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(sets(8, 3000, 500, 40))], "chunk_id long, search_text string").coalesce(1)
+    out = HashingDense(16).documents(index.with_posts(texts), "v")
+    assert "MapInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = index.hashed_dense(index.postings(texts), 16).groupBy("chunk_id").agg({"*": "count"})
+    flat = out.selectExpr("chunk_id", "posexplode(v) AS (bucket, w)").where("w <> 0").withColumn("bucket", F.col("bucket").cast("long"))
+    far = flat.join(index.hashed_dense(index.postings(texts), 16).withColumnRenamed("w", "x"), ["chunk_id", "bucket"], "full").where("coalesce(abs(w - x), 1) > 1e-9")
+    assert not far.count() and want.count() == flat.select("chunk_id").distinct().count()
