@@ -94,9 +94,16 @@ def location(page_start: Column, page_end: Column, section: Column) -> Column:
 def overlap_joined(left: Column, right: Column, least: int = 21, most: int = 2000) -> Column:
     """``left`` and ``right`` with their longest common border of ``least`` characters or more written once; else
     with a blank line between."""
-    top = F.least(F.length(left), F.length(right), F.lit(most))
-    fits = F.filter(F.when(top >= least, F.sequence(top, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>")), lambda n: F.endswith(left, F.left(right, n)))
-    n = F.get(fits, F.lit(0))
+    # The first ``least`` characters of ``right`` stand at few places of ``left``; only from these on the ends are compared.
+    seed = F.concat(F.lit(r"(?=\Q"), F.replace(F.left(right, F.lit(least)), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+
+    def longest(tail: Column) -> Column:
+        sizes = F.transform(F.split(tail, seed, -1), lambda x: F.length(x))
+        sums = F.aggregate(F.reverse(sizes), F.array().cast("array<int>"), lambda done, n: F.array_append(done, F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + n))
+        return F.transform(F.array(F.reverse(sums)), lambda ends: F.get(F.filter(ends, lambda n: (n >= least) & (n <= F.length(right)) & F.endswith(tail, F.left(right, n))), F.lit(0)))[0]
+
+    long_enough = (F.length(left) >= least) & (F.length(right) >= least)
+    n = F.when(long_enough, F.transform(F.array(F.right(left, F.lit(most))), longest)[0])
     return F.when(n.isNotNull(), F.concat(left, F.substring(right, n + 1, F.length(right)))).otherwise(F.concat(left, F.lit("\n\n"), right))
 
 
