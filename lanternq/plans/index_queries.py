@@ -68,9 +68,9 @@ cd AS (SELECT query_id, chunk_id, round({cover.WEIGHT} * n / ({cover.WEIGHT} * n
 
 @query(f"WITH q AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark)), {_COVER} SELECT * FROM {_top('cd', 10)}")
 def cover_density_topk(spark, sf):
-    """Cover density of any word of a question, from positional postings."""
-    positions = cover.positional_postings(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("search_text")))
-    return search.top(cover.scores(question_terms(spark, sf), positions), 10, positive_only=True)
+    """Cover density of any word of a question, from places counted within each document's row."""
+    documents = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("search_text"))
+    return cover.top(question_terms(spark, sf), documents, 10)
 
 
 @query()

@@ -79,3 +79,47 @@ def test_dense_encoder_sends_no_terms_to_python(spark):
     flat = out.selectExpr("chunk_id", "posexplode(v) AS (bucket, w)").where("w <> 0").withColumn("bucket", F.col("bucket").cast("long"))
     far = flat.join(index.hashed_dense(index.postings(texts), 16).withColumnRenamed("w", "x"), ["chunk_id", "bucket"], "full").where("coalesce(abs(w - x), 1) > 1e-9")
     assert not far.count() and want.count() == flat.select("chunk_id").distinct().count()
+
+
+def test_cover_top_equals_scores_of_positions(spark):
+    """Words behind the last place that is told apart, more places than are kept of a word, copies and empty texts."""
+    from lanternq.operators import cover
+
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(30)] + ["the", "of"]
+    texts = [" ".join(draw.choices(words, k=draw.choice((0, 5, 40, 400)))) for _ in range(60)]
+    filler = " ".join(["zz"] * 16_380)
+    texts += [f"{filler} w1 w2 w3 w1 w2 w4", f"w1 w2 {filler} w3 w1 w5 w6", " ".join(["w1"] * 300), f"{' '.join(['w1'] * 255)} {filler} w1 w1 w2", f"{' '.join(['w2'] * 256)} {filler} w2", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, search_text string")
+    terms = spark.createDataFrame([(q, w) for q in range(12) for w in draw.sample(words[:30], 1 + q % 5)] + [(99, "w1"), (99, "w2"), (98, "absent")], "query_id long, term string")
+    want = search.top(cover.scores(terms, cover.positional_postings(chunks)), 8, positive_only=True).collect()
+    got = cover.top(terms, chunks, 8)
+    assert sorted(got.collect()) == sorted(want) and len(want) > 80
+
+
+def test_cover_query_shuffles_no_positions(spark, sf):
+    from lanternq.plans import all_queries
+
+    plan = all_queries.QUERIES["cover_density_topk"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and "Join" not in plan
+
+
+def test_overlaps_are_found_from_a_seed(spark):
+    """Longest common borders of repetitive texts, quoting marks and wide characters, without trying every length."""
+    from lanternq.functions.text import overlap_joined
+
+    def joined(a, b):
+        n = next((n for n in range(min(len(a), len(b), 2000), 20, -1) if a.endswith(b[:n])), None)
+        return a + b[n:] if n else a + "\n\n" + b
+
+    draw, rows = random.Random(1), []
+    for _ in range(400):
+        kind = draw.choice(["a", "ab", "ab\\EQ", "xyz\n ", "é😀b"])
+        a = "".join(draw.choices(kind, k=draw.randrange(120)))
+        k = draw.randrange(100)
+        rows.append((a, (a[-k:] if k and draw.random() < 0.7 else "") + "".join(draw.choices(kind, k=draw.randrange(60)))))
+    long = "".join(draw.choices("abc ", k=9000))
+    rows += [(long, long[-k:] + "Q") for k in (1999, 2000, 2001)] + [("q" * 3000, "q" * 3000), ("q" * 21, "q" * 21)]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", overlap_joined(F.col("a"), F.col("b")).alias("j"))
+    assert "sequence(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["j"] == joined(r["a"], r["b"]) for r in df.collect())
