@@ -191,7 +191,7 @@ def _line_pieces(spark, sf):
 
 def _packed(spark, sf, overlap):
     rows = _line_pieces(spark, sf).withColumn("c", C.packed(F.col("p"), BUDGET, overlap))
-    return rows.select("doc_id", F.posexplode("c").alias("idx", "c")).select("doc_id", "idx", "c.text", "c.tokens")
+    return C.exploded(rows.select("doc_id", "c"), "c", "idx", "chunk").select("doc_id", "idx", "chunk.text", "chunk.tokens")
 
 
 @query(_pack_sql(0))
