@@ -175,8 +175,7 @@ def dense_topk(spark, sf):
 @query(f"SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round({_E}, 6) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def dense_similarity(spark, sf):
     rows, asked = _vectors(spark, sf)
-    pairs = rows.join(search.small(asked.withColumnRenamed("embedding", "qe")))
-    return pairs.select("query_id", "chunk_id", F.round(V.dot(F.col("qe"), F.col("embedding")), 6).alias("similarity"))
+    return search.dense_products(asked, rows).select("query_id", "chunk_id", F.round("score", 6).alias("similarity"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda y: (y::DOUBLE) * (y::DOUBLE)))), 1e-12)) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS embedding FROM embeddings))")
@@ -237,10 +236,10 @@ def rrf_weighted(spark, sf):
     return fuse.fused(candidate_lists(spark, sf), 60, {"lexical": 0.5, "dense": 2.0}).select("query_id", "chunk_id", "score", "position")
 
 
-def overlap_reranked(spark, sf, head=S.rerank_candidates):
+def overlap_reranked(spark, sf, head=S.rerank_candidates, lists=None):
     """Fused hits with the overlap score of the first ``head`` of each question; only their documents are analysed."""
     terms = lambda rows, id_, out: rows.select(F.col("chunk_id").alias(id_), T.simple_terms(F.col("search_text")).alias(out))
-    hits = materialized(fuse.fused(candidate_lists(spark, sf)).drop("ranks"), "fused")
+    hits = materialized(fuse.fused(candidate_lists(spark, sf) if lists is None else lists).drop("ranks"), "fused")
     first = hits.where(F.col("position") <= head)
     wanted = chunks(spark, sf).join(search.small(first.select("chunk_id").distinct()), "chunk_id", "left_semi")
     scored = first.join(terms(questions(spark, sf), "query_id", "qt"), "query_id").join(terms(wanted, "chunk_id", "ct"), "chunk_id")
@@ -409,17 +408,20 @@ def eval_sweep(spark, sf):
     ix, q = indexed(spark, sf, BOTH), asked(spark, sf, BOTH)
     found = {n: materialized(f(spark, sf, 100, ix=ix, q=q), n) for n, f in (("lexical", lexical), ("dense", dense), ("sparse", sparse))}
 
-    def hybrid(*names):
+    def ranked(*names):
         lists = None
         for n, name in enumerate(names):
             rows = found[name].withColumn("list_name", F.lit(name)).withColumn("list_ord", F.lit(n))
             lists = rows if lists is None else lists.unionByName(rows)
-        return fuse.fused(lists)
+        return lists
+
+    def hybrid(*names):
+        return fuse.fused(ranked(*names))
 
     configs = {n: df.select("query_id", F.col("chunk_id").alias("doc"), "rank") for n, df in found.items()}
     for name, parts in (("lexical+dense", ("lexical", "dense")), ("all", ("lexical", "dense", "sparse"))):
         configs[name] = hybrid(*parts).select("query_id", F.col("chunk_id").alias("doc"), F.col("position").alias("rank"))
-    configs["all+rerank"] = overlap_reranked(spark, sf, 50).select("query_id", F.col("chunk_id").alias("doc"), F.col("final").alias("rank"))
+    configs["all+rerank"] = overlap_reranked(spark, sf, 50, ranked("dense", "lexical", "sparse").where(F.col("rank") <= K)).select("query_id", F.col("chunk_id").alias("doc"), F.col("final").alias("rank"))
     rankings = None
     for name, df in configs.items():
         rows = df.withColumn("config", F.lit(name))
