@@ -5,9 +5,9 @@ vector after its centre is cut into ``parts`` stretches, and each stretch is cod
 same sample. The sample places centres and code words only: every vector is indexed.
 
 *Layout.* (cell, chunk_id, code of ``parts`` bytes, embedding), laid out by groups of cells, so a search reads the
-cells it probes. *Search.* A question takes its nearest cells; the product with a coded vector is that with its centre plus one entry
-of the question's table for each stretch, so a task scores Arrow batches of codes by table lookups and carries
-a short list for each question along. Only short lists meet the vectors themselves and are scored exactly."""
+cells it probes. *Search.* A question takes its nearest cells; a task puts vectors together again from centres and code words, a piece of
+bounded size at a time, multiplies them with all questions of a block and carries a short list for each question along. Only short lists,
+whose length does not grow with the index, meet the vectors themselves and are scored exactly."""
 
 from __future__ import annotations
 
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lanternq.functions.vectors import dot
 from lanternq.operators import search
 
-#: Vectors that a fit takes at most and for each cell, and stretches of a vector.
-SAMPLE, SAMPLE_A_CELL, PARTS = 20_000, 24, 16
+#: Vectors that a fit takes at most, for each cell and for each code word, and stretches of a vector.
+SAMPLE, SAMPLE_A_CELL, SAMPLE_A_WORD, PARTS = 20_000, 24, 32, 16
 #: Cells at most, groups of cells that vectors are laid out by, and questions that one pass takes.
 CELLS, GROUPS, QUESTIONS = 20_000, 64, 1000
 #: Exact scores for each row of a result.
@@ -60,11 +60,22 @@ class Quantizer:
     def fitted(cls, vectors: DataFrame, cells: int, parts: int = PARTS, sample: int = SAMPLE, seed: int = 7) -> Quantizer:
         centres = search.fitted_cells(vectors, cells, sample, seed=seed)
         points = search.sampled(vectors, sample, seed)
+        points = points[: 256 * SAMPLE_A_WORD]  # in the order of their hashes
         left = points - centres[np.argmax(points @ centres.T, axis=1)] if len(centres) else points
         cuts = np.linspace(0, left.shape[1], min(parts, left.shape[1]) + 1).astype(int).tolist()
         return cls(centres, cuts, [code_words(left[:, a:b]) for a, b in zip(cuts, cuts[1:])])
 
     def coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell and the code of each vector, in pieces of bounded size."""
+        size = max(64, search.CELLS // max(256, len(self.centres)))
+        got = [self._coded(x[at : at + size]) for at in range(0, len(x), size)]
+        return np.concatenate([c for c, _ in got]), np.concatenate([c for _, c in got])
+
+    def decoded(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Vectors as their cells and codes tell them."""
+        return self.centres[cell] + np.concatenate([w[code[:, k]] for k, w in enumerate(self.books)], axis=1)
+
+    def _coded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cell = np.argmax(x @ self.centres.T, axis=1)
         left = x - self.centres[cell]
         return cell, np.stack([_nearest(left[:, a:b], w).astype(np.uint8) for a, b, w in zip(self.cuts, self.cuts[1:], self.books)], axis=1)
@@ -118,51 +129,35 @@ class VectorIndex:
         return cls(spark.read.schema(schema + ", part int").parquet(f"{path}/vectors"), Quantizer(centres, cuts, books), n, groups)
 
     def short_lists(self, questions: DataFrame, size: int, probes: int) -> DataFrame | None:
-        """(query_id, chunk_id, cell, near): for each question the ``size`` best by coded products in its ``probes`` nearest cells."""
+        """(query_id, chunk_id, near): for each question the ``size`` best by products with decoded vectors in its ``probes`` nearest cells."""
         kind, q, out = dict(questions.dtypes)["query_id"], self.quantizer, None
         own = questions.select("query_id", "embedding").where("embedding IS NOT NULL")
         blocks = max(1, -(-own.count() // QUESTIONS))
         if not len(q.centres):
             return None
         for n in range(blocks):
-            part = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).orderBy("query_id").collect()  # about QUESTIONS rows
-            if not part:
+            part = own.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).toArrow()  # about QUESTIONS rows
+            if not len(part):
                 continue
-            asked = np.array([r["embedding"] for r in part], np.float64)
-            close = asked @ q.centres.T
-            probed = np.zeros(close.shape, bool)
-            np.put_along_axis(probed, np.argsort(-close, axis=1, kind="stable")[:, :probes], True, axis=1)
-            tables = [asked[:, a:b] @ w.T for a, b, w in zip(q.cuts, q.cuts[1:], q.books)]
-            sent = own.sparkSession.sparkContext.broadcast((np.array([r["query_id"] for r in part]), close, probed, tables))
-
-            def scored(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                ids, close, probed, tables = sent.value
-                held = None
+            asked = search.matrix(part.column("embedding").combine_chunks())
+            probed = np.zeros((len(asked), len(q.centres)), bool)
+            np.put_along_axis(probed, np.argsort(-(asked @ q.centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+            sent = own.sparkSession.sparkContext.broadcast((part.column("query_id").combine_chunks(), asked, probed, q))
+
+            def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                ids, asked, probed, q = sent.value
+                held, rows = search.Best(len(ids), size), max(64, search.CELLS // len(ids))
                 for batch in batches:
-                    cell = batch.column("cell").to_numpy()
-                    code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
-                    score = close[:, cell]
-                    for k, t in enumerate(tables):
-                        score += t[:, code[:, k]]
-                    score[~probed[:, cell]] = -np.inf
-                    least = len(cell) - min(size, len(cell))
-                    top = np.argpartition(score, least, axis=1)[:, least:]
-                    row = np.repeat(np.arange(len(ids)), top.shape[1])
-                    new = [row, top.ravel(), score[row, top.ravel()]]
-                    keep = np.isfinite(new[2])
-                    row, at, near = (x[keep] for x in new)
-                    rows = pa.table({"row": row, "chunk_id": batch.column("chunk_id").take(pa.array(at)), "cell": cell[at], "near": near})
-                    held = rows if held is None else pa.concat_tables([held, rows])
-                    order = np.lexsort((-held.column("near").to_numpy(), held.column("row").to_numpy()))
-                    r = held.column("row").to_numpy()[order]
-                    held = held.take(pa.array(order[np.arange(len(r)) - np.searchsorted(r, r) < size])).combine_chunks()
-                if held is not None:
-                    for b in held.to_batches():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[b.column("row").to_numpy()]), b.column("chunk_id"), b.column("cell").cast(pa.int32()), b.column("near")], ["query_id", "chunk_id", "cell", "near"])
+                    for at in range(0, batch.num_rows, rows):
+                        piece = batch.slice(at, rows)
+                        cell = piece.column("cell").to_numpy()
+                        code = np.frombuffer(b"".join(piece.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)
+                        held.add(piece.column("chunk_id"), asked @ q.decoded(cell, code).T, probed[:, cell])
+                yield from held.batches(ids)
 
             places = np.unique(np.flatnonzero(probed.any(0)) * self.groups // len(q.centres)).tolist()
             rows = self.rows.where(F.col("part").isin(places)).select("cell", "chunk_id", "code")
-            got = rows.mapInArrow(scored, f"query_id {kind}, chunk_id {dict(self.rows.dtypes)['chunk_id']}, cell int, near double")
+            got = rows.mapInArrow(best, f"query_id {kind}, chunk_id {dict(self.rows.dtypes)['chunk_id']}, score double").withColumnRenamed("score", "near")
             out = got if out is None else out.unionByName(got)
         if out is None:
             return None

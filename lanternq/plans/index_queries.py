@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lanternq.operators import cover, search
 from lanternq.operators.segments import SegmentIndex
 from lanternq.plans.registry import query, table
-from lanternq.operators.vectors import VectorIndex
+from lanternq.operators.vectors import PARTS, SHORT_LIST, VectorIndex
 from lanternq.plans.retrieval_queries import _BM25, _P, _top, _vectors, question_terms
 from lanternq.plans.text_queries import TERMS
 from lanternq.sources.tables import materialized, shared_dir
@@ -76,10 +76,12 @@ def cover_density_topk(spark, sf):
 @query()
 def ann_recall(spark, sf):
     """Recall of the vector index against exact search, and the share of all vectors that it scored exactly, for each question.
-    These vectors have no clusters, so three quarters of the cells are probed: their codes are read, not scored."""
+    These vectors have no clusters, so three quarters of the cells are probed: their codes are read, not scored. Codes have a byte for two
+    components, so that short lists of a fixed length are enough however many vectors there are."""
     rows, asked = _vectors(spark, sf)
-    index = VectorIndex.saved(rows, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
-    pairs = materialized(index.scored(asked, 10, probes=max(1, 3 * len(index.quantizer.centres) // 4), short=max(10, index.n * 9 // 100)), "scored-pairs")
+    index = VectorIndex.saved(rows, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", parts=2 * PARTS)
+    short = max(10, min(SHORT_LIST * 10, index.n * 9 // 100))
+    pairs = materialized(index.scored(asked, 10, probes=max(1, 3 * len(index.quantizer.centres) // 4), short=short), "scored-pairs")
     near = search.top(pairs, 10).select("query_id", "chunk_id", F.lit(1).alias("hit"))
     found = search.dense_top(asked, rows, 10).join(near, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
     share = pairs.groupBy("query_id").agg(F.round(F.count("*") / F.lit(max(index.n, 1)), 6).alias("scored"))
