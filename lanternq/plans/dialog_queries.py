@@ -252,7 +252,7 @@ def ingest_pipeline(spark, sf):
 
     pages = table(spark, sf, "pages").select("page_id", "html")
     first = index.to_register(pages.select("page_id", "html", F.sha2("html", 256).alias("hash"), F.col("page_id").alias("order")), spark.createDataFrame([], "hash string, status string"))
-    parsed = parsed_with(first, "page_id", "html", html_document)
+    parsed = materialized(parsed_with(first, "page_id", "html", html_document), "parsed")  # parsed once for status and chunks
     blocks = parsed.select(F.col("page_id").alias("doc_id"), F.posexplode("blocks").alias("pos", "b")).select("doc_id", "pos", "b.*")
     counts = chunked(blocks, 320, 48).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("chunks"), F.sum("tokens").alias("tokens"))
     status = F.when(F.col("error").isNull(), "ready").otherwise("failed")

@@ -12,7 +12,9 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -157,13 +159,27 @@ def docx_document(content: bytes) -> tuple[str, list[dict]]:
     return named or next((b["text"] for b in blocks if b["heading_level"] == 1), ""), blocks
 
 
+#: Bytes of content that are objects of Python at once, unless a single content is longer.
+PIECE_BYTES = 2_000_000
+
+
+def cut_by_bytes(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces whose ``column`` has at most ``most`` bytes, or a single row."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, most, at = np.cumsum(sizes, dtype=np.int64), most or PIECE_BYTES, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def parsed_with(docs: DataFrame, key: str, content: str, parser) -> DataFrame:
     """(key, title, blocks, error) with ``parser`` applied to each content; a failure fills error (500
-    characters at most) and never stops the job."""
+    characters at most) and never stops the job. A task holds the objects of a piece of a batch only."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("text", pa.string()), ("page", pa.int32()), ("heading_level", pa.int32())]))
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in cut_by_bytes(whole, "content")):
             titles, blocks, errors = [], [], []
             for value in batch.column("content").to_pylist():
                 try:

@@ -17,3 +17,26 @@ def test_short_lists_do_not_grow_with_the_vectors(spark, tmp_path):
     rows = all_queries.QUERIES["ann_recall"](spark, str(tmp_path)).collect()
     assert len(rows) == 25 and np.mean([r["recall"] for r in rows]) >= 0.9
     assert max(round(r["scored"] * len(x)) for r in rows) <= 80
+
+
+def test_parsing_goes_by_pieces_of_bounded_size(spark, monkeypatch):
+    """No content is lost or moved where a batch is cut: long, empty and missing ones among them."""
+    import pyarrow as pa
+
+    from lanternq.sources import parse
+
+    texts = ["x" * 5, None, "", "y" * 300, "z", "é" * 40, "w" * 99, None, "v"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["key", "content"])
+    pieces = list(parse.cut_by_bytes(batch, "content", 100))
+    assert [x for p in pieces for x in p.column("content").to_pylist()] == texts and len(pieces) > 3
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column("content").to_pylist()) <= 100 for p in pieces)
+    assert list(parse.cut_by_bytes(batch.slice(0, 0), "content", 100)) == []
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page_id long, html string")
+    got = parse.parsed_with(docs, "page_id", "html", lambda t: (t[:3], [{"text": t, "page": None, "heading_level": None}] if t else [])).collect()
+    assert {r["page_id"]: (r["title"], r["error"]) for r in got} == {i: ((t or "")[:3], None if t else "no extractable text") for i, t in enumerate(texts)}
+
+
+def test_ingest_parses_pages_once(spark, sf):
+    from lanternq.plans import all_queries
+
+    assert "MapInArrow" not in all_queries.QUERIES["ingest_pipeline"](spark, sf)._jdf.queryExecution().executedPlan().toString()
