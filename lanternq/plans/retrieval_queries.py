@@ -123,9 +123,9 @@ ds AS (SELECT query_id, chunk_id, round(sum(dx.w * dq.w), 6) AS score FROM dq JO
 @query(f"WITH {_P}, {_SPARSE} SELECT query_id, chunk_id, score FROM ss")
 def sparse_dot(spark, sf):
     """Sparse products of all pairs of question and document that share a bucket."""
-    posts = lambda rows: index.hashed_sparse(index.postings(rows))
-    q = posts(questions(spark, sf)).withColumnRenamed("chunk_id", "query_id")
-    return search.sparse_scores(q, posts(chunks(spark, sf))).withColumn("score", F.round("score", 6))
+    encoder = HashingSparse(30000)
+    rows = lambda df: search.arrays(encoder.documents(index.with_posts(df).select("chunk_id", "posts"), "sparse"))
+    return search.sparse_products(as_questions(rows(questions(spark, sf))), rows(chunks(spark, sf)))
 
 
 @query(f"WITH {_P}, {_SPARSE} SELECT * FROM {_top('ss', 10)}")

@@ -40,3 +40,19 @@ def test_ingest_parses_pages_once(spark, sf):
     from lanternq.plans import all_queries
 
     assert "MapInArrow" not in all_queries.QUERIES["ingest_pipeline"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_products_of_all_pairs_that_share_a_key(spark, sf):
+    """Questions in several blocks; repeated keys, empty and missing lists; no join and no shuffle of pairs."""
+    from lanternq.operators import search
+    from lanternq.plans import all_queries
+
+    draw = np.random.default_rng(5)
+    made = lambda n: [[f"k{x}" for x in draw.integers(0, 40, draw.integers(0, 6))] for _ in range(n)]
+    asked, rows = [*made(50), [], None], [*made(200), [], None]
+    frame = lambda side, name: spark.createDataFrame([(i, x, None if x is None else [float(len(k)) for k in x]) for i, x in enumerate(side)], f"{name} long, keys array<string>, weights array<double>")
+    got = {(r["query_id"], r["chunk_id"]): r["score"] for r in search.sparse_products(frame(asked, "query_id"), frame(rows, "chunk_id"), 20).collect()}
+    sums = {(q, c): float(sum(len(a) * len(b) for a in x or () for b in y or () if a == b)) for q, x in enumerate(asked) for c, y in enumerate(rows)}
+    assert got == {k: v for k, v in sums.items() if v}
+    plan = all_queries.QUERIES["sparse_dot"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
