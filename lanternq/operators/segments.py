@@ -167,7 +167,8 @@ class SegmentIndex:
         kinds = {c: chunks.schema[c].dataType.simpleString() for c in ("chunk_id", "document_id")}
         if self.content["kinds"] not in ({}, kinds):
             raise ValueError(f"this index has {self.content['kinds']}, not {kinds}")
-        own = self._written(index.with_posts(chunks.select("chunk_id", "document_id", "search_text")).select("chunk_id", "document_id", "length", "posts"))
+        posted = index.with_posts(chunks.select("chunk_id", "document_id", "search_text")).select("chunk_id", "document_id", "length", "posts")
+        own = self._written(materialized(posted, "posted"))  # analysed once: ranges are found from a sample of what is written
         return self._next(kinds=kinds, segments=[*self.content["segments"], own])
 
     def deleted(self, documents: DataFrame) -> SegmentIndex:
@@ -204,22 +205,33 @@ class SegmentIndex:
     def lexical_search(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = False) -> DataFrame:
         """BM25 top-k (query_id, chunk_id, score, rank) for terms (query_id, term). ``scopes`` as ``search.in_scope`` takes them.
         ``pruned`` leaves out blocks that cannot reach a question's k-th score; it takes two passes, which pay where
-        questions are about few chunks."""
+        questions are about few chunks. Without it, questions whose terms lie in most buckets meet the chunks with their terms, in blocks and
+        with no pair shuffled, as they would read nearly all postings anyway."""
+        if not pruned:
+            _, buckets, weights, _ = self._asked(question_terms)
+            if 2 * len(buckets) > self.content["buckets"]:
+                part = self._part(settings or Settings())
+                rows = self.chunks().select("chunk_id", "document_id", F.col("posts.term").alias("keys"), F.transform("posts", lambda p: part(p["tf"], F.col("length"))).alias("weights"))
+                return search.sparse_top(search.listed(weights, "query_id", "term", F.col("idf")), rows, k, scopes=scopes)
         rows = self.pairs(question_terms, k, settings, scopes, pruned)
         return search.top(rows.groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score")), k, positive_only=True)
 
-    def pairs(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = False) -> DataFrame:
-        """What ``lexical_search`` adds up: (query_id, chunk_id, s), a row for each term that a question and a chunk share."""
-        s = settings or Settings()
+    def _asked(self, question_terms: DataFrame) -> tuple[DataFrame, list[int], DataFrame, int]:
+        """Questions' distinct terms, their buckets, and their weights with how many these are."""
         terms = question_terms.select("query_id", "term").where("term IS NOT NULL").distinct()
         terms = materialized(terms.withColumn("bucket", portable_bucket(F.col("term"), self.content["buckets"]).cast("int")), "question-terms")
         buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # no more rows than there are buckets
         weights = materialized(self.weights(terms, buckets), "question-weights")
-        asked = weights.count()
+        return terms, buckets, weights, weights.count()
 
-        def part(tf, length):
-            return tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * length / F.lit(float(self.avg_length))))
+    def _part(self, s: Settings):
+        """What a term adds to a score, but for its weight."""
+        return lambda tf, length: tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * length / F.lit(float(self.avg_length))))
 
+    def pairs(self, question_terms: DataFrame, k: int, settings: Settings | None = None, scopes: DataFrame | None = None, pruned: bool = False) -> DataFrame:
+        """What ``lexical_search`` adds up: (query_id, chunk_id, s), a row for each term that a question and a chunk share."""
+        part = self._part(settings or Settings())
+        _, buckets, weights, asked = self._asked(question_terms)
         posts = self.postings().where(F.col("bucket").isin(buckets))
 
         def scored(rows: DataFrame) -> DataFrame:

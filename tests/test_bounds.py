@@ -56,3 +56,22 @@ def test_sparse_products_of_all_pairs_that_share_a_key(spark, sf):
     assert got == {k: v for k, v in sums.items() if v}
     plan = all_queries.QUERIES["sparse_dot"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "hashpartitioning" not in plan
+
+
+def test_broad_questions_meet_chunks_without_a_join_of_postings(spark, tmp_path):
+    """Questions whose terms lie in most buckets give what the postings give, with deletions and scopes, and no pairs are shuffled."""
+    from lanternq.operators import search
+    from lanternq.operators.segments import SegmentIndex
+
+    draw = np.random.default_rng(9)
+    text = lambda n: " ".join(f"w{x}" for x in draw.integers(0, 60, n))
+    rows = spark.createDataFrame([(i, i, text(int(draw.integers(0, 30)))) for i in range(120)], "chunk_id long, document_id long, search_text string")
+    ix = SegmentIndex.created(spark, str(tmp_path / "ix"), buckets=4).appended(rows.where("chunk_id < 70")).appended(rows.where("chunk_id >= 70"))
+    ix = ix.deleted(rows.where("chunk_id % 7 = 0").select("document_id"))
+    terms = spark.createDataFrame([(q, w) for q in range(6) for w in text(12).split()], "query_id long, term string")
+    scopes = spark.createDataFrame([(0, list(range(40))), (1, [])], "query_id long, document_ids array<long>")
+    for given in (None, scopes):
+        got = ix.lexical_search(terms, 5, scopes=given)
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+        pairs = ix.pairs(terms, 5, scopes=given).groupBy("query_id", "chunk_id").agg(F.sum("s").alias("score"))
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search.top(pairs, 5, positive_only=True).collect()))
