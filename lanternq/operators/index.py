@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lanternq.functions.stem import stem
 from lanternq.functions.text import simple_terms, stemmed
 from lanternq.functions.vectors import portable_bucket
 
@@ -66,17 +71,44 @@ def with_posts(chunks: DataFrame, text: str = "search_text") -> DataFrame:
     return chunks.withColumn("posted_", posted(F.col(text))).withColumns({"posts": F.col("posted_.posts"), "length": F.col("posted_.length")}).drop("posted_")
 
 
-def _counted_in_rows(chunks: DataFrame, id_: str = "chunk_id", text: str = "search_text") -> DataFrame:
-    rows = with_posts(chunks.select(F.col(id_).alias("chunk_id"), F.col(text).alias("search_text")))
-    return rows.select("chunk_id", F.inline("posts"))
+#: Words whose stems are counted at once.
+WORDS = 500_000
+
+
+def stemmed_posts(posts: Column, only: Broadcast | None = None) -> Column:
+    """``posts`` (term, tf) by the stems of their terms, in order; ``only`` (a set that was sent to all tasks) leaves out all other stems. Stems
+    are counted within each row, without a shuffle, in pieces of bounded size, each of whose distinct words is looked up once."""
+
+    def counted(piece: pa.Array) -> pa.Array:
+        words, tf = piece.flatten().flatten()
+        row = np.repeat(np.arange(len(piece)), pc.list_value_length(piece).fill_null(0).to_numpy(zero_copy_only=False))
+        coded = words.dictionary_encode()
+        stems = [stem(w) for w in coded.dictionary.to_pylist()]
+        names = sorted(set(stems) if only is None else only.value.intersection(stems))
+        place = {w: n for n, w in enumerate(names)}
+        code = np.array([place.get(w, -1) for w in stems], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        own, many = code >= 0, max(1, len(names))
+        key, at = np.unique(row[own] * many + code[own], return_inverse=True)
+        n = np.bincount(at, tf.to_numpy(zero_copy_only=False)[own], len(key)).astype(np.int64)
+        starts = np.searchsorted(key, np.arange(len(piece) + 1) * many).astype(np.int32)
+        return pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([pa.array(names, pa.string()).take(pa.array(key % many)), pa.array(n)], ["term", "tf"]))
 
+    # What follows may explode the stems, so the expression may not be moved or repeated.
+    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
+    def made(posts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.list_value_length(posts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // WORDS)) + 1).tolist(), len(posts)]
+        return pa.concat_arrays([counted(posts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
 
-def postings(chunks: DataFrame, analyzer: str = "simple", **columns) -> DataFrame:
-    """(chunk_id, term, tf). The simple analyzer counts within each row, without a shuffle, so a chunk has to be
-    one row; the stemming one meets the stems of the vocabulary in a join and counts after it."""
-    if analyzer == "simple":
-        return _counted_in_rows(chunks, **columns)
-    return term_rows(chunks, analyzer, **columns).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return made.asNondeterministic()(posts)
+
+
+def postings(chunks: DataFrame, analyzer: str = "simple", id_: str = "chunk_id", text: str = "search_text") -> DataFrame:
+    """(chunk_id, term, tf). Both analyzers count within each row, without a shuffle, so a chunk has to be one row."""
+    rows = with_posts(chunks.select(F.col(id_).alias("chunk_id"), F.col(text).alias("search_text")))
+    if analyzer == "english":
+        rows = rows.withColumn("posts", stemmed_posts(F.col("posts")))
+    return rows.select("chunk_id", F.inline("posts"))
 
 
 def chunk_lengths(chunks: DataFrame, id_: str = "chunk_id", text: str = "search_text") -> DataFrame:

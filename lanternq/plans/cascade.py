@@ -6,6 +6,7 @@ import time
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ HYDE = -1
 @dataclass(frozen=True)
 class Indexed:
     """Chunks as all searches over them read them, written once: (chunk_id struct of document_id and idx, document_id,
-    search_text, posts, length, embedding, sparse), what is counted while they are written, and the postings of lexical search."""
+    search_text, posts, length, embedding, sparse), what is counted while they are written, and the postings of lexical search. Posts
+    are those of the analyzer."""
 
     rows: DataFrame
     postings: DataFrame
@@ -50,9 +52,10 @@ def timed(timings: dict[str, int] | None, step: str):
         timings[step] = timings.get(step, 0) + round(1000 * (time.perf_counter() - start))
 
 
-def indexed(chunks: DataFrame, models: Models | None = None, analyzer: str = "simple", queries: Column | None = None, name: str = "index", text: bool = True) -> Indexed:
+def indexed(chunks: DataFrame, models: Models | None = None, analyzer: str = "simple", queries: Column | None = None, name: str = "index", text: bool = True, only: Broadcast | None = None) -> Indexed:
     """An index of ``chunks`` (chunk_id, search_text, and document_id if scopes are to be applied), with the vectors of those
-    encoders that there are. With ``queries`` (a boolean column of ``chunks``) the rows where it holds are encoded as questions."""
+    encoders that there are. With ``queries`` (a boolean column of ``chunks``) the rows where it holds are encoded as questions. ``only`` are the
+    stems that will be asked for, if these are known; the English analyzer keeps no others then. Missing texts count as chunks but not in the average length."""
     models = models or Models()
     rows = index.with_posts(chunks)
 
@@ -65,15 +68,15 @@ def indexed(chunks: DataFrame, models: Models | None = None, analyzer: str = "si
         rows = encoded(rows, "documents")
     else:
         rows = encoded(rows.where(queries), "queries").unionByName(encoded(rows.where(~queries), "documents"))
+    if analyzer == "english":
+        rows = rows.withColumn("posts", index.stemmed_posts(F.col("posts"), only))
     counted = Observation()
-    seen = [F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("posts")), F.lit(0)).alias("terms"), *([] if models.dense is None else [F.count_if(F.col("embedding").isNull()).alias("missing")])]
-    rows = materialized((rows if text else rows.drop("search_text")).observe(counted, *seen), name)
+    seen = [F.count("*").alias("n"), F.count("search_text").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("length"), F.coalesce(F.sum(F.size("posts")), F.lit(0)).alias("terms"), *([] if models.dense is None else [F.count_if(F.col("embedding").isNull()).alias("missing")])]
+    rows = rows.observe(counted, *seen)
+    rows = materialized(rows if text else rows.drop("search_text"), name)
     got = counted.get
     posts = rows.select("chunk_id", "length", F.inline("posts"))
-    if analyzer != "simple":
-        posts = index.postings(rows.select("chunk_id", "search_text"), analyzer).join(rows.select("chunk_id", "length"), "chunk_id")
-        posts = materialized(posts, f"{name}-postings")
-    return Indexed(rows, posts, got["n"], got["length"] / got["n"] if got["n"] else 1.0, got["terms"], not got.get("missing"))
+    return Indexed(rows, posts, got["n"], got["length"] / got["texts"] if got["texts"] else 1.0, got["terms"], not got.get("missing"))
 
 
 def candidates(ix: Indexed, variants: DataFrame, s: Settings, analyzer: str, models: Models, allowed: DataFrame | None = None, scopes: DataFrame | None = None) -> DataFrame:
@@ -90,20 +93,11 @@ def candidates(ix: Indexed, variants: DataFrame, s: Settings, analyzer: str, mod
         keys = asked.rows.select("chunk_id").distinct()
         scopes = keys.join(scopes, F.col("chunk_id.query_id") == F.col("query_id")).select(F.col("chunk_id").alias("query_id"), "document_ids")
 
-    def seen(scores: DataFrame) -> DataFrame:
-        return scores if scopes is None else search.in_scope(scores.withColumn("document_id", F.col("chunk_id.document_id")), scopes)
-
     found = []
     if models.dense is not None:
         found.append(("dense", search.dense_top(as_q(asked.rows.select("chunk_id", "embedding")), own.rows, k, complete=ix.complete, scopes=scopes)))
     words = as_q(asked.postings.where(plain)).select("query_id", "term")
-    if analyzer == "simple":
-        found.append(("lexical", search.bm25_top(words, own.rows, ix.postings, ix.n, ix.avg_length, k, s.bm25_k1, s.bm25_b, asked.terms, scopes)))
-    else:
-        stats = variants.sparkSession.createDataFrame([(ix.n, float(ix.avg_length))], "n long, avg_length double")
-        narrowed = None if allowed is None else ix.postings.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        scores = search.bm25_scores(words, ix.postings, None, stats, s.bm25_k1, s.bm25_b, asked.terms, narrowed)
-        found.append(("lexical", search.top(seen(scores), k, True)))
+    found.append(("lexical", search.bm25_top(words, own.rows, ix.postings, ix.n, ix.avg_length, k, s.bm25_k1, s.bm25_b, asked.terms, scopes)))
     if models.sparse is not None:
         found.append(("sparse", search.sparse_top(as_q(search.arrays(asked.rows.where(plain))), search.arrays(own.rows), k, scopes=scopes)))
     lists, order = None, {"dense": 0, "lexical": 1, "sparse": 2}

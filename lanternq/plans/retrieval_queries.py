@@ -42,20 +42,20 @@ def questions(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("search_text"))
 
 
-def question_terms(spark, sf, analyzer="simple"):
-    return index.term_rows(questions(spark, sf), analyzer).withColumnRenamed("chunk_id", "query_id")
+def question_terms(spark, sf):
+    return index.term_rows(questions(spark, sf)).withColumnRenamed("chunk_id", "query_id")
 
 
 WORDS = Models(None, None, None)
 
 
-def indexed(spark, sf, models=WORDS):
+def indexed(spark, sf, models=WORDS, analyzer="simple", only=None):
     """The documents, analysed and encoded once and written for the searches of one query."""
-    return cascade.indexed(chunks(spark, sf), models, text=False)
+    return cascade.indexed(chunks(spark, sf), models, analyzer, text=False, only=only)
 
 
-def asked(spark, sf, models=WORDS):
-    return cascade.indexed(questions(spark, sf), models, queries=F.lit(True), name="questions", text=False)
+def asked(spark, sf, models=WORDS, analyzer="simple"):
+    return cascade.indexed(questions(spark, sf), models, analyzer, F.lit(True), "questions", text=False)
 
 
 def as_questions(rows):
@@ -63,14 +63,10 @@ def as_questions(rows):
 
 
 def lexical(spark, sf, k, analyzer="simple", allowed=None, ix=None, q=None):
-    if analyzer == "simple":
-        ix, q = ix or indexed(spark, sf), q or asked(spark, sf)
-        rows = ix.rows if allowed is None else ix.rows.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
-        return search.bm25_top(as_questions(q.postings), rows, ix.postings, ix.n, ix.avg_length, k, S.bm25_k1, S.bm25_b, q.terms)
-    else:
-        posts, lengths = index.postings(chunks(spark, sf), analyzer), index.chunk_lengths(chunks(spark, sf))
-        scores = search.bm25_scores(question_terms(spark, sf, analyzer), posts, lengths, index.corpus_stats(lengths), S.bm25_k1, S.bm25_b)
-    return search.top(scores, k, positive_only=True, allowed=allowed)
+    q = q or asked(spark, sf, analyzer=analyzer)
+    ix = ix or indexed(spark, sf, analyzer=analyzer, only=search.wanted(q.postings) if analyzer == "english" else None)
+    rows = ix.rows if allowed is None else ix.rows.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return search.bm25_top(as_questions(q.postings), rows, ix.postings, ix.n, ix.avg_length, k, S.bm25_k1, S.bm25_b, q.terms)
 
 
 def sparse(spark, sf, k, dim=30000, ix=None, q=None):

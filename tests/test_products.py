@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -149,3 +150,95 @@ def test_sweep_indexes_the_documents_once(spark, sf, monkeypatch):
     monkeypatch.setattr(R.cascade, "indexed", lambda *a, **b: made.append(b.get("name", "index")) or whole(*a, **b))
     R.eval_sweep(spark, sf)
     assert sorted(made) == ["index", "questions"]
+
+
+def _bm25(texts, asked, k, form, seen=lambda q, c: True):
+    """Brute force: {query_id: [(chunk_id, score)]}; missing texts are chunks without a length."""
+    import math
+
+    from lanternq.functions.text import STOPWORDS
+
+    def terms(text):
+        return Counter(form(w) for w in re.findall("[a-z0-9]+", (text or "").lower()) if w not in STOPWORDS)
+
+    own = {c: terms(t) for c, t in texts.items()}
+    average = sum(map(Counter.total, own.values())) / sum(t is not None for t in texts.values())
+    found = {}
+    for q, text in asked.items():
+        scores: Counter = Counter()
+        for term in sorted(terms(text)):
+            df = sum(term in x for x in own.values())
+            for c, x in own.items():
+                if x[term]:
+                    scores[c] += math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * x[term] * 2.2 / (x[term] + 1.2 * (0.25 + 0.75 * x.total() / average))
+        found[q] = sorted(((c, round(s, 6)) for c, s in scores.items() if s > 0 and seen(q, c)), key=lambda x: (-x[1], x[0]))[:k]
+    return {q: rows for q, rows in found.items() if rows}
+
+
+def _forms(seed, n, most):
+    draw = random.Random(seed)
+    roots = ["run", "nation", "hope", "rate", "fly", "cat", "able", "relate", "b", "42", "the"]
+    return [" ".join(draw.choice(roots) + draw.choice(["", "s", "ing", "ed", "al", "ally", "fulness"]) for _ in range(draw.randrange(most))) for _ in range(n)]
+
+
+def _listed(rows, key="query_id"):
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        got.setdefault(r[key], []).append((r["chunk_id"], r["score"]))
+    return got
+
+
+def _close(got, want):
+    return got.keys() == want.keys() and all([c for c, _ in got[q]] == [c for c, _ in want[q]] and all(abs(a[1] - b[1]) < 2e-6 for a, b in zip(got[q], want[q])) for q in want)
+
+
+def test_bm25_of_both_analyzers_shuffles_no_postings(spark, tmp_path, monkeypatch):
+    """Stems that several forms of one text have, missing and empty texts, in many pieces, with all or too many stems asked for; the plan joins nothing to postings."""
+    from lanternq.functions.stem import stem
+    from lanternq.operators import index
+    from lanternq.plans import all_queries
+
+    monkeypatch.setattr(index, "WORDS", 40, raising=False)
+    texts, asked = dict(enumerate([*_forms(11, 300, 30), "", None, None, " ".join(["hoping"] * 90)])), dict(enumerate([*_forms(12, 25, 6), "absent words", None]))
+    for name, key, rows in (("documents", "doc_id", texts), ("benchmark", "item_id", asked)):
+        spark.createDataFrame(list(rows.items()), f"{key} long, text string").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, form in (("bm25_english", stem), ("bm25_topk", str)):
+        got = all_queries.QUERIES[name](spark, str(tmp_path))
+        assert _close(_listed(got.collect()), _bm25(texts, asked, 10, form)), name
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan.split("MapInArrow")[0], name
+    monkeypatch.setattr(search.wanted, "__defaults__", (3,))
+    assert _close(_listed(all_queries.QUERIES["bm25_english"](spark, str(tmp_path)).collect()), _bm25(texts, asked, 10, stem))
+
+
+def test_stems_of_the_cascade_join_no_postings(spark):
+    from lanternq.config import Settings
+    from lanternq.functions.stem import stem
+    from lanternq.operators.models import Models
+    from lanternq.plans import cascade
+
+    texts, asked, words = dict(enumerate(_forms(13, 120, 30))), dict(enumerate(_forms(14, 12, 6))), Models(None, None, None)
+    rows = cascade.keyed(spark.createDataFrame([(f"d{c % 5}", c, t) for c, t in texts.items()], "document_id string, idx long, search_text string"))
+    ix = cascade.indexed(rows, words, "english")
+    variants = spark.createDataFrame([(q, 0, t) for q, t in asked.items()], "query_id long, variant int, text string")
+    scopes = spark.createDataFrame([(0, ["d1", "d3"]), (1, []), (2, None)], "query_id long, document_ids array<string>")
+    for given, seen in ((None, {}), (scopes, {0: (1, 3), 1: ()})):
+        lists = cascade.candidates(ix, variants, Settings(), "english", words, scopes=given)
+        got = {q: [(c["idx"], s) for c, s in found] for q, found in _listed(lists.collect()).items()}
+        keyed = {(c % 5, c): t for c, t in texts.items()}
+        want = _bm25(keyed, asked, Settings().candidates_per_retriever, stem, lambda q, c: q not in seen or c[0] in seen[q])
+        assert _close(got, {q: [(c[1], s) for c, s in found] for q, found in want.items()})
+        assert "Join" not in lists._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_words_that_no_step_changes_are_their_own_stems():
+    """The early way out gives what all steps give, and suffixes are still found: words of every ending, with vowels and doubled letters before it."""
+    from lanternq.functions import stem as S
+
+    draw = random.Random(15)
+    for _ in range(3000):
+        word = "".join(draw.choices("abdehilnorstuy'", k=draw.randrange(3, 9))) + draw.choice(["", *S.ENDS])
+        if S.stem(word) != word:
+            assert word.endswith(S.ENDS) or word[0] == "'"
+    known = {"thatblean": "thatblean", "stopping": "stop", "happily": "happili", "nationally": "nation", "hopefulness": "hope", "skies": "sky", "abilities": "abil", "conditional": "condit", "rolling": "roll", "generously": "generous"}
+    assert {w: S.stem(w) for w in known} == known
