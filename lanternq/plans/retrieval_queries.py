@@ -55,7 +55,7 @@ def indexed(spark, sf, models=WORDS, analyzer="simple", only=None):
 
 
 def asked(spark, sf, models=WORDS, analyzer="simple"):
-    return cascade.indexed(questions(spark, sf), models, analyzer, F.lit(True), "questions", text=False)
+    return cascade.indexed(questions(spark, sf), models, analyzer, queries=F.lit(True), name="questions", text=False)
 
 
 def as_questions(rows):
