@@ -242,3 +242,54 @@ def test_words_that_no_step_changes_are_their_own_stems():
             assert word.endswith(S.ENDS) or word[0] == "'"
     known = {"thatblean": "thatblean", "stopping": "stop", "happily": "happili", "nationally": "nation", "hopefulness": "hope", "skies": "sky", "abilities": "abil", "conditional": "condit", "rolling": "roll", "generously": "generous"}
     assert {w: S.stem(w) for w in known} == known
+
+
+def test_all_questions_meet_chunks_in_one_pass(spark):
+    """However many questions there are: lists of a turn loop, whose questions grow with its chunks, read the chunks once for thousands of them."""
+    asked, chunks = sets(16, 5000, 90, 8), sets(17, 40, 120, 60)
+    queries, rows = vectors(spark, "query_id", asked, 18)[1], vectors(spark, "chunk_id", chunks, 19)[1]
+    plan = search.sparse_top(queries, rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    units = queries.selectExpr("query_id", "array(1D, query_id) AS embedding"), rows.selectExpr("chunk_id", "array(2D, chunk_id) AS embedding")
+    assert search.dense_top(*units, 3)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_common_keys_left_out_at_first_lose_nothing(spark, monkeypatch):
+    """Many small blocks, so least scores are known early: common and rare keys, keys that stand twice, negative weights, ties, scopes and few hits, against all pairs."""
+    draw = random.Random(20)
+    monkeypatch.setattr(search, "ROWS", 50)
+    for low in (1, -2):
+        side = lambda n, most: [[f"w{min(int(draw.expovariate(0.15)), 60)}" for _ in range(draw.randrange(most))] for _ in range(n)]  # noqa: B023, E731
+        weighed = lambda x: [draw.choice([low, 1, 1, 2, 3]) * 1.0 for _ in x]  # noqa: B023, E731
+        a = [(q, x, weighed(x)) for q, x in enumerate([*side(60, 25), [], ["absent"], ["w50"]])]
+        b = [(c, x, weighed(x)) for c, x in enumerate([*side(900, 40), *[["w1", "w2"]] * 60, []])]
+        queries = spark.createDataFrame(a, "query_id long, keys array<string>, weights array<double>")
+        rows = spark.createDataFrame(b, "chunk_id long, keys array<string>, weights array<double>").selectExpr("*", "chunk_id % 3 AS document_id").coalesce(1)
+        seen = {0: [0, 1], 1: [], 2: None}
+        for given in (None, spark.createDataFrame(list(seen.items()), "query_id long, document_ids array<long>")):
+            got = _listed(search.sparse_top(queries, rows, 7, scopes=given).collect())
+            for q, keys, w in a:
+                scores = [(c, sum(x * y for k, x in zip(keys, w) for o, y in zip(ks, vs) if k == o)) for c, ks, vs in b if given is None or seen.get(q) is None or c % 3 in seen[q]]
+                assert got.get(q, []) == sorted((x for x in scores if x[1] > 0), key=lambda x: (-x[1], x[0]))[:7]
+
+
+def test_screened_products_are_exact(spark):
+    """Single precision only tells which pairs are multiplied: near ties that it cannot tell apart, copies, no numbers, huge and tiny numbers."""
+    import numpy as np
+
+    draw = np.random.default_rng(21)
+    base = draw.normal(size=(4, 8))
+    plain = np.concatenate([base[draw.integers(0, 4, 900)] * (1 + draw.integers(0, 9, (900, 1)) * 1e-7), draw.normal(size=(300, 8))])
+    for scale, hole in ((1.0, False), (1e20, False), (1e-20, False), (1.0, True)):
+        rows, asked = plain * 30, draw.normal(size=(50, 8)) * scale
+        if hole:
+            rows[5, 2], asked[3, 1] = np.nan, np.inf
+        frames = [spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(side)], f"{name} long, embedding array<double>") for side, name in ((asked, "query_id"), (rows, "chunk_id"))]
+        got = _listed(search.dense_top(frames[0], frames[1].coalesce(1), 9, block=128).collect())
+        with np.errstate(invalid="ignore"):
+            score = np.round(asked @ rows.T, 6)
+        score[np.isnan(score)] = -np.inf
+        for q in range(50):
+            want = sorted(((c, s) for c, s in enumerate(score[q].tolist())), key=lambda x: (-x[1], x[0]))[:9]
+            assert len(got[q]) == 9 and np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12, atol=1.1e-6), (scale, hole, q)
+            assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
