@@ -293,3 +293,14 @@ def test_screened_products_are_exact(spark):
             want = sorted(((c, s) for c, s in enumerate(score[q].tolist())), key=lambda x: (-x[1], x[0]))[:9]
             assert len(got[q]) == 9 and np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=1e-12, atol=1.1e-6), (scale, hole, q)
             assert got[q] == sorted(got[q], key=lambda x: (-x[1], x[0]))
+
+
+def test_reranking_takes_no_terms_anew(spark):
+    """Pairs that bring the terms of both texts have the scores of those that don't, and no text is taken apart for them."""
+    from lanternq.operators.models import OverlapReranker
+
+    pairs = spark.createDataFrame([("bb aa bb the", "aa cc"), ("xx", "aa"), ("", "aa"), ("aa bb", ""), ("aa", None)], "question string, search_text string")
+    known = pairs.selectExpr("*", "array_distinct(filter(split(question, ' '), x -> x NOT IN ('', 'the'))) AS asked_terms", "array_sort(filter(split(search_text, ' '), x -> x <> '')) AS own_terms")
+    scored = [OverlapReranker().scored(x).select("question", "search_text", "rerank_score") for x in (pairs, known)]
+    assert sorted(map(str, scored[0].collect())) == sorted(map(str, scored[1].collect()))
+    assert "regexp_extract_all" not in scored[1]._jdf.queryExecution().analyzed().toString()
