@@ -304,3 +304,23 @@ def test_reranking_takes_no_terms_anew(spark):
     scored = [OverlapReranker().scored(x).select("question", "search_text", "rerank_score") for x in (pairs, known)]
     assert sorted(map(str, scored[0].collect())) == sorted(map(str, scored[1].collect()))
     assert "regexp_extract_all" not in scored[1]._jdf.queryExecution().analyzed().toString()
+
+
+def test_postings_are_met_once(spark, monkeypatch):
+    """Document frequencies are counted for the weights of all questions once, though their blocks are counted and read."""
+    texts = spark.createDataFrame(list(enumerate(_forms(22, 50, 20))), "chunk_id long, search_text string")
+    from lanternq.operators import index
+
+    met = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            met.add(batch.num_rows)
+            yield batch
+
+    rows = index.with_posts(texts)
+    posts = rows.selectExpr("chunk_id", "inline(posts)").coalesce(1)
+    n, posts = posts.count(), posts.mapInArrow(seen, "chunk_id long, term string, tf long")
+    asked = spark.createDataFrame([(q, w) for q in range(5) for w in ("run", "rate", "cat")], "query_id long, term string")
+    search.bm25_top(asked, rows, posts, 50, 10.0, 3, asked=15).collect()
+    assert met.value == n
